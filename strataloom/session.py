@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import importlib.util
+import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,3 +37,15 @@ def durable(df: DataFrame) -> DataFrame:
     if not spark.conf.get("spark.checkpoint.dir", None) and sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="strataloom-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once per Spark context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_strataloom_shipped", False):
+        return
+    root = Path(importlib.util.find_spec("strataloom").origin).parent
+    stage = Path(tempfile.mkdtemp(prefix="strataloom-ship-"))
+    shutil.copytree(root, stage / "src" / "strataloom", ignore=shutil.ignore_patterns("__pycache__"))
+    sc.addPyFile(shutil.make_archive(os.fspath(stage / "strataloom"), "zip", stage / "src"))
+    sc._strataloom_shipped = True
