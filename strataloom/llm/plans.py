@@ -3,11 +3,30 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strataloom.llm import leakage
+from strataloom.llm import leakage, near_duplicates
+from strataloom.operators.components import connected_components
 from strataloom.tables import load
 
 
+FINDING_TEXTS = ["title", "what_happens", "remediation"]
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, pairs = near_duplicates.near_duplicates(load(spark, sf_dir, "findings"), "id", FINDING_TEXTS)
+    return near_duplicates.record_pairs(members, pairs).select(F.col("a").alias("finding_a"), F.col("b").alias("finding_b"))
+
+
+def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each finding with its group (linked directly or through others) and the number of near classes."""
+    members, pairs = near_duplicates.near_duplicates(load(spark, sf_dir, "findings"), "id", FINDING_TEXTS)
+    groups = connected_components(pairs).withColumnsRenamed({"node": "rep", "component": "group_id"})
+    links = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    out = members.join(groups, "rep", "left").join(links, "rep", "left")
+    return out.select(F.col("id").alias("finding_id"), F.col("rep").alias("class_id"), F.coalesce("group_id", "rep").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every leaked item by document, with exact and substitution-tolerant overlap."""
     found = leakage.leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items"))
@@ -18,5 +37,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
 
 
-QUERIES = {"p8_found": p8_found, "p8_leaks": p8_leaks}
+QUERIES = {"p6_found": p6_found, "p6_groups": p6_groups, "p8_found": p8_found, "p8_leaks": p8_leaks}
 ORACLES: dict[str, str] = {}
