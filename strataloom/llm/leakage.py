@@ -144,7 +144,7 @@ def leaks(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", ite
         .groupBy(F.col("id").alias("doc_id"), "item_id")
         .agg(F.collect_set(F.col("at") - F.col("item_at")).alias("diagonals"))  # at most as many as the two texts have units
     )
-    pairs = hits.join(docs.distinct(), "doc_id").join(items, "item_id")
+    pairs = hits.join(docs, "doc_id").dropDuplicates(["doc_id", "item_id", "text"]).join(items, "item_id")
     return pairs.select("doc_id", "item_id", "kind", "text", "item_text", "diagonals").mapInPandas(
         lambda frames: _verify(frames, gap),
         f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, unit string, longest_run int, tolerant_span int, tolerant_equal int, item_units int",
