@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import importlib.util
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +41,38 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share; a temporary one of this machine where the session names none."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not hasattr(sc, "_strataloom_folder"):
+        sc._strataloom_folder = "file://" + tempfile.mkdtemp(prefix="strataloom-shared-")
+    return sc._strataloom_folder
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, removed when the session ends.
+
+    Smaller on disk than a checkpoint, and its columns can be read one by one.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/strataloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # noqa: BLE001 - the session is gone already
+        pass
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors' Python workers this package, once per Spark context."""
     sc = spark.sparkContext
