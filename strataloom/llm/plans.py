@@ -5,11 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.llm import leakage, near_duplicates
+from strataloom.llm import leakage, near_duplicates, shared_spans
 from strataloom.operators.components import connected_components
 from strataloom.tables import load
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_spans.sharing_ids(load(spark, sf_dir, "blobs"), "hash", "content").select(F.col("id").alias("hash"))
+
+
+def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each blob also stands in another."""
+    return shared_spans.shared_spans(load(spark, sf_dir, "blobs"), "hash", "content").withColumnRenamed("id", "hash")
+
+
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blobs linked by shared stretches, with the smallest hash of each group."""
+    return shared_spans.sharing_groups(load(spark, sf_dir, "blobs"), "hash", "content").select(F.col("id").alias("hash"), F.col("group").alias("group_hash"))
+
+
 FINDING_TEXTS = ["title", "what_happens", "remediation"]
 
 
@@ -37,5 +51,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
 
 
-QUERIES = {"p6_found": p6_found, "p6_groups": p6_groups, "p8_found": p8_found, "p8_leaks": p8_leaks}
+QUERIES = {"p5_found": p5_found, "p5_shares": p5_shares, "p5_groups": p5_groups, "p6_found": p6_found, "p6_groups": p6_groups, "p8_found": p8_found, "p8_leaks": p8_leaks}
 ORACLES: dict[str, str] = {}
