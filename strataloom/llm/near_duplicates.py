@@ -6,7 +6,7 @@ class is compared.
 
 The wanted overlap (words shared over words of the longer record) of at least s means a Jaccard similarity of the
 element sets of at least s / (2 - s). Bands are tuned for that value: BANDS bands of ROWS rows miss a pair just at the
-threshold s = 0.8 with probability (1 - (2/3)**8)**150 = 0.0025, and one of overlap 0.85 with 1e-5. Pairs that meet in
+threshold s = 0.8 with probability (1 - (2/3)**7)**50 = 0.05, one of overlap 0.82 with 0.02 and of 0.85 with 0.0015. Pairs that meet in
 a band compare one-byte signatures in batches; after each batch a pair is dropped when the posterior probability
 (uniform prior) that it reaches the threshold is below MISS. Survivors are verified exactly.
 """
@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.llm.arrays import U64, mix
-from strataloom.session import durable
+from strataloom.session import written
 
 WORD = re.compile(r"[^\W_]+")
-BANDS, ROWS, SIGNATURE, BATCH, MISS = 150, 8, 256, 32, 1e-4
+BANDS, ROWS, SIGNATURE, BATCH, MISS = 50, 7, 256, 32, 1e-4
 
 
 @functools.lru_cache(maxsize=1 << 20)
@@ -53,36 +53,44 @@ def _coefficients() -> tuple[np.ndarray, np.ndarray]:
     return seeds[:n] | U64(1), seeds[n:]
 
 
-def minhashes(items: np.ndarray) -> np.ndarray:
-    """The smallest hash of the items under each of the hash functions."""
-    a, b = _coefficients()
+def minhashes(items: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """The smallest hash of the items under each of the hash functions ``lo`` to ``hi``."""
+    a, b = (x[lo:hi] for x in _coefficients())
     low = np.full(len(a), np.iinfo(np.uint64).max, dtype=U64)
     for at in range(0, len(items), 512):
         np.minimum(low, (items[at : at + 512, None] * a + b).min(axis=0), out=low)
     return low
 
 
+def _bag(items: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(items.tobytes()) - (1 << 63)
+
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    flat = np.concatenate([np.array([], dtype=U64), *parts]).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), type=pa.int32()), pa.array(flat))
+
+
 def _bag_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         bags = [elements(t) for t in batch.column(1).to_pylist()]
-        digest = [xxhash.xxh128_hexdigest(x.tobytes()) for x in bags]
-        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, bags)]), type=pa.int32()), pa.array(np.concatenate([np.array([], dtype=U64), *bags]).view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest), lists], names=["id", "bag", "elements"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_bag(x) for x in bags], type=pa.int64()), pa.array([len(x) for x in bags], type=pa.int32())], names=["id", "bag", "words"])
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     salt = mix(np.arange(1, ROWS + 1, dtype=U64))
     number = np.arange(BANDS, dtype=U64) * U64(0xD6E8FEB86659FD93)
     for batch in batches:
-        bands, signatures = [], []
-        lists = batch.column(1)
-        values, offsets = lists.values.to_numpy().view(U64), lists.offsets.to_numpy()
-        for lo, hi in zip(offsets[:-1], offsets[1:], strict=True):
-            low = minhashes(values[lo:hi])
-            bands.append(mix((mix(low[SIGNATURE:]).reshape(BANDS, ROWS) * salt).sum(axis=1, dtype=U64) + number))
-            signatures.append(mix(low[:SIGNATURE]).astype(np.uint8).tobytes())
-        flat = pa.array(np.concatenate([np.array([], dtype=U64), *bands]).view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signatures, type=pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1) * BANDS, type=pa.int32()), flat)], names=["rep", "signature", "bands"])
+        once = {_bag(x): x for t in batch.column(0).to_pylist() if len(x := elements(t))}
+        bands = [mix((mix(minhashes(x, 0, BANDS * ROWS)).reshape(BANDS, ROWS) * salt).sum(axis=1, dtype=U64) + number) for x in once.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.array([], dtype=U64), *bands]).view(np.int64)), pa.array(np.repeat(np.array(list(once), dtype=np.int64), BANDS))], names=["band", "bag"])
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        bags = [elements(t) for t in batch.column(0).to_pylist()]
+        signatures = [mix(minhashes(x, BANDS * ROWS, BANDS * ROWS + SIGNATURE)).astype(np.uint8).tobytes() for x in bags]
+        yield pa.RecordBatch.from_arrays([pa.array([_bag(x) for x in bags], type=pa.int64()), pa.array(signatures, type=pa.binary()), _lists(bags)], names=["bag", "signature", "elements"])
 
 
 @functools.cache
@@ -113,39 +121,43 @@ def _pruned(batches: Iterator[pa.RecordBatch], jaccard: float) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(alive)) for k in (0, 1)], names=["a", "b"])
 
 
-def bags(df: DataFrame, id_column: str, texts: Sequence[str]) -> DataFrame:
-    """(id, bag, elements) of each record; ``bag`` is a digest of the word multiset."""
-    text = F.concat_ws("\n", *[F.col(t).cast("string") for t in texts])
-    return df.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("string"), text.alias("t")).distinct().mapInArrow(_bag_rows, "id string, bag string, elements array<bigint>")
+def texts_of(df: DataFrame, id_column: str, texts: Sequence[str]) -> DataFrame:
+    """(id, t): each record's texts together; rows without id are left out."""
+    return df.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("string").alias("id"), F.concat_ws("\n", *[F.col(t).cast("string") for t in texts]).alias("t"))
 
 
-def class_pairs(classes: DataFrame, overlap: float) -> DataFrame:
-    """(a, b, similarity) of different classes; ``classes`` has rep and elements."""
-    signed = durable(classes.select("rep", "elements").mapInArrow(_signed, "rep string, signature binary, bands array<bigint>"))
-    banded = signed.select("rep", F.explode("bands").alias("band"))
-    met = banded.alias("x").join(banded.alias("y").hint("merge"), (F.col("x.band") == F.col("y.band")) & (F.col("x.rep") < F.col("y.rep"))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    marks = signed.select("rep", "signature")
+def near_bags(records: DataFrame, members: DataFrame, overlap: float) -> DataFrame:
+    """(a, b, similarity) of the word multisets that are near but not equal.
+
+    Copies are one row per band and batch already where the bands are made. Signatures and words are made a second
+    time for the multisets that met another one, which are few, rather than kept for all.
+    """
+    banded = records.select("t").mapInArrow(_band_rows, "band long, bag long").repartition("band").dropDuplicates(["band", "bag"])
+    met = banded.alias("x").join(banded.alias("y").hint("merge"), (F.col("x.band") == F.col("y.band")) & (F.col("x.bag") < F.col("y.bag")))
+    met = written(met.select(F.col("x.bag").alias("a"), F.col("y.bag").alias("b")).distinct())
+    asked = met.select(F.explode(F.array("a", "b")).alias("bag")).distinct()
+    named = members.join(asked, "bag", "left_semi").groupBy("bag").agg(F.min("id").alias("id"))
+    one = records.join(named.select("id").distinct(), "id", "left_semi").select("t").distinct()
+    signed = written(one.mapInArrow(_signed, "bag long, signature binary, elements array<bigint>").dropDuplicates(["bag"]))
+    marks, words = signed.select("bag", "signature"), signed.select("bag", "elements")
+    pairs = met.join(marks.withColumnsRenamed({"bag": "a", "signature": "sa"}).hint("merge"), "a").join(marks.withColumnsRenamed({"bag": "b", "signature": "sb"}).hint("merge"), "b")
     jaccard = overlap / (2 - overlap)
-    pairs = met.join(marks.select(F.col("rep").alias("a"), F.col("signature").alias("sa")).hint("merge"), "a").join(marks.select(F.col("rep").alias("b"), F.col("signature").alias("sb")).hint("merge"), "b")
-    kept = pairs.select("a", "b", "sa", "sb").mapInArrow(lambda batches: _pruned(batches, jaccard), "a string, b string")
-    own = classes.select("rep", "elements")
-    full = kept.join(own.select(F.col("rep").alias("a"), F.col("elements").alias("ea")).hint("merge"), "a").join(own.select(F.col("rep").alias("b"), F.col("elements").alias("eb")).hint("merge"), "b")
+    kept = pairs.select("a", "b", "sa", "sb").mapInArrow(lambda batches: _pruned(batches, jaccard), "a long, b long")
+    full = kept.join(words.withColumnsRenamed({"bag": "a", "elements": "ea"}).hint("merge"), "a").join(words.withColumnsRenamed({"bag": "b", "elements": "eb"}).hint("merge"), "b")
     shared, longer = F.size(F.array_intersect("ea", "eb")), F.greatest(F.size("ea"), F.size("eb"))
-    return full.select("a", "b", (shared / longer).alias("similarity"), (shared * 100 >= longer * round(overlap * 100)).alias("near")).where("near").drop("near")
+    return full.where(shared * 100 >= longer * round(overlap * 100)).select("a", "b", (shared / longer).alias("similarity"))
 
 
 def near_duplicates(df: DataFrame, id_column: str, texts: Sequence[str], overlap: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """(members, pairs): (id, rep) of each record and (a, b, similarity) of each two near class representatives.
+    """(members, pairs): (id, rep) of each record and (a, b, similarity) of each two near classes.
 
-    Null texts count as empty; records without any word belong to no class, rows without id are left out and repeated
-    rows count once. Records whose words are the same in any order share a class (rep is its smallest id). Other
-    columns are ignored. A record delivered with several texts is a member of several classes.
+    Records whose words are the same in any order share a class, named by the 64-bit digest of its word multiset. Null
+    texts count as empty; records without any word belong to no class, rows without id are left out and repeated rows
+    count once. Other columns are ignored. A record delivered with several texts is a member of several classes.
     """
-    made = durable(bags(df, id_column, texts).where(F.size("elements") > 0))
-    classes = made.groupBy("bag").agg(F.min("id").alias("rep"), F.first("elements").alias("elements"))
-    members = made.select("id", "bag").distinct().join(classes.select("bag", "rep"), "bag").select("id", "rep")
-    pairs = class_pairs(classes, overlap)
-    return members, pairs
+    records = texts_of(df, id_column, texts)
+    members = written(records.mapInArrow(_bag_rows, "id string, bag long, words int").where("words > 0").select("id", "bag").distinct())
+    return members.withColumnRenamed("bag", "rep"), near_bags(records, members, overlap)
 
 
 def record_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:

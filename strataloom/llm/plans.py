@@ -35,10 +35,12 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each finding with its group (linked directly or through others) and the number of near classes."""
     members, pairs = near_duplicates.near_duplicates(load(spark, sf_dir, "findings"), "id", FINDING_TEXTS)
-    groups = connected_components(pairs).withColumnsRenamed({"node": "rep", "component": "group_id"})
+    classes = members.groupBy("rep").agg(F.min("id").alias("class_id"))
+    groups = connected_components(pairs).withColumnRenamed("node", "rep")
     links = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    out = members.join(groups, "rep", "left").join(links, "rep", "left")
-    return out.select(F.col("id").alias("finding_id"), F.col("rep").alias("class_id"), F.coalesce("group_id", "rep").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = classes.join(groups, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    named = out.join(out.groupBy("component").agg(F.min("class_id").alias("group_id")), "component").join(links, "rep", "left")
+    return members.join(named, "rep").select(F.col("id").alias("finding_id"), "class_id", "group_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
