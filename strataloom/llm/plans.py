@@ -5,11 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.llm import leakage, near_duplicates, shared_spans
+from strataloom.llm import leakage, mixing, near_duplicates, shared_spans, splitting
 from strataloom.operators.components import connected_components
 from strataloom.tables import load
 
 
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.pieces(load(spark, sf_dir, "blobs"), "hash", "content").withColumnRenamed("id", "hash")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = p4_pieces(spark, sf_dir).where("piece_no = 1").select("hash")
+    return load(spark, sf_dir, "files").where("id is not null").join(cut, "hash", "left_semi").select(F.col("id").alias("file_id")).distinct()
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans.sharing_ids(load(spark, sf_dir, "blobs"), "hash", "content").select(F.col("id").alias("hash"))
 
@@ -53,5 +62,19 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
 
 
-QUERIES = {"p5_found": p5_found, "p5_shares": p5_shares, "p5_groups": p5_groups, "p6_found": p6_found, "p6_groups": p6_groups, "p8_found": p8_found, "p8_leaks": p8_leaks}
-ORACLES: dict[str, str] = {}
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The drawn documents with their repeat counts, in order of their virtual finish time."""
+    drawn, _ = mixing.mix(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets"))
+    return drawn.withColumnRenamed("id", "doc_id")
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual token share of each source."""
+    _, shares = mixing.mix(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets"))
+    return shares
+
+
+QUERIES = {"p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_shares": p5_shares, "p5_groups": p5_groups, "p6_found": p6_found, "p6_groups": p6_groups, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_mix": p9_mix, "p9_shares": p9_shares}
+ORACLES: dict[str, str] = {
+    "p4_found": "SELECT DISTINCT f.id AS file_id FROM files f JOIN blobs b ON b.hash = f.hash WHERE f.id IS NOT NULL AND length(b.content) > 6000",
+}
