@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.llm import leakage, mixing, near_duplicates, shared_spans, splitting
+from strataloom.llm import leakage, mixing, near_duplicates, sentences, shared_spans, splitting
 from strataloom.operators.components import connected_components
 from strataloom.tables import load
 
@@ -74,7 +74,15 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares
 
 
-QUERIES = {"p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_shares": p5_shares, "p5_groups": p5_groups, "p6_found": p6_found, "p6_groups": p6_groups, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_mix": p9_mix, "p9_shares": p9_shares}
+def p10_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentences(load(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_sentences(spark, sf_dir).select("doc_id", "start_char").distinct()
+
+
+QUERIES = {"p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_shares": p5_shares, "p5_groups": p5_groups, "p6_found": p6_found, "p6_groups": p6_groups, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_sentences": p10_sentences}
 ORACLES: dict[str, str] = {
     "p4_found": "SELECT DISTINCT f.id AS file_id FROM files f JOIN blobs b ON b.hash = f.hash WHERE f.id IS NOT NULL AND length(b.content) > 6000",
 }
