@@ -6,7 +6,7 @@ class is compared.
 
 The wanted overlap (words shared over words of the longer record) of at least s means a Jaccard similarity of the
 element sets of at least s / (2 - s). Bands are tuned for that value: BANDS bands of ROWS rows miss a pair just at the
-threshold s = 0.8 with probability (1 - (2/3)**7)**50 = 0.05, one of overlap 0.82 with 0.02 and of 0.85 with 0.0015. Pairs that meet in
+threshold s = 0.8 with probability (1 - (2/3)**8)**64 = 0.08, one of overlap 0.82 with 0.03 and of 0.85 with 0.003. Pairs that meet in
 a band compare one-byte signatures in batches; after each batch a pair is dropped when the posterior probability
 (uniform prior) that it reaches the threshold is below MISS. Survivors are verified exactly.
 """
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -27,38 +28,44 @@ from strataloom.llm.arrays import U64, mix
 from strataloom.session import written
 
 WORD = re.compile(r"[^\W_]+")
-BANDS, ROWS, SIGNATURE, BATCH, MISS = 50, 7, 256, 32, 1e-4
+BANDS, ROWS, SIGNATURE, BATCH, MISS = 64, 8, 256, 32, 1e-4
+
+
+_HASHES: dict[str, int] = {}
 
 
-@functools.lru_cache(maxsize=1 << 20)
 def _word_hash(word: str) -> int:
-    return xxhash.xxh64_intdigest(word)
+    if len(_HASHES) > 1 << 20:
+        _HASHES.clear()
+    return _HASHES.setdefault(word, xxhash.xxh64_intdigest(word))
 
 
 def elements(text: str) -> np.ndarray:
     """Sorted 64-bit hashes of (word, n-th occurrence)."""
-    seen: dict[str, int] = {}
-    out = []
-    for word in WORD.findall(text.lower()):
-        n = seen.get(word, 0)
-        seen[word] = n + 1
-        out.append((_word_hash(word) + n * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
+    out: list[int] = []
+    known = _HASHES.get
+    for word, n in Counter(WORD.findall(text.lower())).items():
+        h = known(word) or _word_hash(word)
+        out.append(h)
+        if n > 1:
+            out += [(h + k * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF for k in range(1, n)]
     return np.sort(np.array(out, dtype=U64))
 
 
 @functools.cache
 def _coefficients() -> tuple[np.ndarray, np.ndarray]:
     n = BANDS * ROWS + SIGNATURE
-    seeds = mix(np.arange(1, 2 * n + 1, dtype=U64))
-    return seeds[:n] | U64(1), seeds[n:]
+    seeds = (mix(np.arange(1, 2 * n + 1, dtype=U64)) >> U64(32)).astype(np.uint32)
+    return seeds[:n] | np.uint32(1), seeds[n:]
 
 
 def minhashes(items: np.ndarray, lo: int, hi: int) -> np.ndarray:
-    """The smallest hash of the items under each of the hash functions ``lo`` to ``hi``."""
+    """The smallest 32-bit hash of the items under each of the hash functions ``lo`` to ``hi``."""
     a, b = (x[lo:hi] for x in _coefficients())
-    low = np.full(len(a), np.iinfo(np.uint64).max, dtype=U64)
+    short = (mix(items) >> U64(32)).astype(np.uint32)
+    low = np.full(len(a), np.iinfo(np.uint32).max, dtype=np.uint32)
     for at in range(0, len(items), 512):
-        np.minimum(low, (items[at : at + 512, None] * a + b).min(axis=0), out=low)
+        np.minimum(low, (short[at : at + 512, None] * a + b).min(axis=0), out=low)
     return low
 
 
