@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.llm import leakage, mixing, near_duplicates, sentences, shared_spans, splitting
+from strataloom.llm import credentials, leakage, mixing, near_duplicates, sentences, shared_spans, splitting
 from strataloom.operators.components import connected_components
 from strataloom.tables import load
 
@@ -52,6 +52,22 @@ def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.join(named, "rep").select(F.col("id").alias("finding_id"), "class_id", "group_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
+def p7_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each place of a credential in a blob."""
+    return credentials.credentials(load(spark, sf_dir, "blobs"), "hash", "content").withColumnRenamed("id", "hash")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_places(spark, sf_dir).select("hash", "line_no").distinct()
+
+
+def p7_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blobs that hold credentials, with the values masked."""
+    blobs = load(spark, sf_dir, "blobs")
+    places = credentials.credentials(blobs, "hash", "content")
+    return credentials.redacted(blobs, "hash", "content", places).withColumnRenamed("id", "hash")
+
+
 def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every leaked item by document, with exact and substitution-tolerant overlap."""
     found = leakage.leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items"))
@@ -82,7 +98,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_sentences(spark, sf_dir).select("doc_id", "start_char").distinct()
 
 
-QUERIES = {"p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_shares": p5_shares, "p5_groups": p5_groups, "p6_found": p6_found, "p6_groups": p6_groups, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_sentences": p10_sentences}
+QUERIES = {"p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_shares": p5_shares, "p5_groups": p5_groups, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p7_places": p7_places, "p7_redacted": p7_redacted, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_sentences": p10_sentences}
 ORACLES: dict[str, str] = {
     "p4_found": "SELECT DISTINCT f.id AS file_id FROM files f JOIN blobs b ON b.hash = f.hash WHERE f.id IS NOT NULL AND length(b.content) > 6000",
 }
