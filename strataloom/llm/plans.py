@@ -5,11 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.llm import credentials, leakage, mixing, near_duplicates, sentences, shared_spans, splitting
+from strataloom.llm import credentials, handwritten, leakage, mixing, near_duplicates, sentences, shared_spans, splitting
 from strataloom.operators.components import connected_components
 from strataloom.tables import load
 
 
+def p1_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each file that is not hand-written, with what speaks against it."""
+    found = handwritten.machine_written(load(spark, sf_dir, "files"), load(spark, sf_dir, "blobs"))
+    return found.withColumnRenamed("id", "file_id")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_evidence(spark, sf_dir).select("file_id").distinct()
+
+
 def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.pieces(load(spark, sf_dir, "blobs"), "hash", "content").withColumnRenamed("id", "hash")
 
@@ -98,7 +108,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_sentences(spark, sf_dir).select("doc_id", "start_char").distinct()
 
 
-QUERIES = {"p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_shares": p5_shares, "p5_groups": p5_groups, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p7_places": p7_places, "p7_redacted": p7_redacted, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_sentences": p10_sentences}
+QUERIES = {"p1_found": p1_found, "p1_evidence": p1_evidence, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_shares": p5_shares, "p5_groups": p5_groups, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p7_places": p7_places, "p7_redacted": p7_redacted, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_sentences": p10_sentences}
 ORACLES: dict[str, str] = {
     "p4_found": "SELECT DISTINCT f.id AS file_id FROM files f JOIN blobs b ON b.hash = f.hash WHERE f.id IS NOT NULL AND length(b.content) > 6000",
 }
