@@ -28,7 +28,8 @@ from strataloom.llm.arrays import U64, mix
 from strataloom.session import written
 
 WORD = re.compile(r"[^\W_]+")
-BANDS, ROWS, SIGNATURE, BATCH, MISS = 64, 8, 256, 32, 1e-4
+BANDS, ROWS, SIGNATURE, BATCH, MISS = 64, 8, 64, 16, 1e-4
+FILTER_BITS = 26
 
 
 _HASHES: dict[str, int] = {}
@@ -81,7 +82,8 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
 def _bag_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         bags = [elements(t) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_bag(x) for x in bags], type=pa.int64()), pa.array([len(x) for x in bags], type=pa.int32())], names=["id", "bag", "words"])
+        signatures = [mix(minhashes(x, BANDS * ROWS, BANDS * ROWS + SIGNATURE)).astype(np.uint8).tobytes() for x in bags]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_bag(x) for x in bags], type=pa.int64()), pa.array([len(x) for x in bags], type=pa.int32()), pa.array(signatures, type=pa.binary())], names=["id", "bag", "words", "signature"])
 
 
 def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,11 +95,39 @@ def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.array([], dtype=U64), *bands]).view(np.int64)), pa.array(np.repeat(np.array(list(once), dtype=np.int64), BANDS))], names=["band", "bag"])
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slot(bags: np.ndarray) -> np.ndarray:
+    return (mix(bags.view(U64)) >> U64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def _element_rows(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        bags = [elements(t) for t in batch.column(0).to_pylist()]
-        signatures = [mix(minhashes(x, BANDS * ROWS, BANDS * ROWS + SIGNATURE)).astype(np.uint8).tobytes() for x in bags]
-        yield pa.RecordBatch.from_arrays([pa.array([_bag(x) for x in bags], type=pa.int64()), pa.array(signatures, type=pa.binary()), _lists(bags)], names=["bag", "signature", "elements"])
+        bags = [x for t in batch.column(0).to_pylist() if len(x := elements(t))]
+        names = np.array([_bag(x) for x in bags], dtype=np.int64)
+        slots = _slot(names)
+        kept = {names[k]: bags[k] for k in np.flatnonzero((wanted[slots >> 3] >> (slots & 7)) & 1)}
+        yield pa.RecordBatch.from_arrays([pa.array(list(kept), type=pa.int64()), _lists(list(kept.values()))], names=["bag", "elements"])
+
+
+def _filter_of(bags: DataFrame) -> np.ndarray:
+    """A bit field of 2**FILTER_BITS bits (8 MB, whatever the input) with the bits of all bags set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << (FILTER_BITS - 3), dtype=np.uint8)
+        for batch in batches:
+            slots = _slot(batch.column(0).to_numpy())
+            np.bitwise_or.at(bits, slots >> 3, (1 << (slots & 7)).astype(np.uint8))
+        parts = bits.reshape(-1, 1 << 12)
+        used = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([parts[k].tobytes() for k in used], type=pa.binary())], names=["part", "bits"])
+
+    def merge(parts: pa.Table) -> pa.Table:
+        bits = np.bitwise_or.reduce([np.frombuffer(x, dtype=np.uint8) for x in parts["bits"].to_pylist()])
+        return pa.table({"part": parts["part"][:1], "bits": pa.array([bits.tobytes()], type=pa.binary())})
+
+    out = np.zeros(1 << (FILTER_BITS - 3), dtype=np.uint8).reshape(-1, 1 << 12)
+    for row in bags.mapInArrow(run, "part long, bits binary").groupBy("part").applyInArrow(merge, "part long, bits binary").toLocalIterator():
+        out[row.part] = np.frombuffer(row.bits, dtype=np.uint8)
+    return out.ravel()
 
 
 @functools.cache
@@ -136,20 +166,19 @@ def texts_of(df: DataFrame, id_column: str, texts: Sequence[str]) -> DataFrame:
 def near_bags(records: DataFrame, members: DataFrame, overlap: float) -> DataFrame:
     """(a, b, similarity) of the word multisets that are near but not equal.
 
-    Copies are one row per band and batch already where the bands are made. Signatures and words are made a second
-    time for the multisets that met another one, which are few, rather than kept for all.
+    Copies are one row per band and batch already where the bands are made. Words are made a second time for the pairs
+    that are left, rather than kept or shuffled for all; a bit field of fixed size picks their texts in the scan.
     """
     banded = records.select("t").mapInArrow(_band_rows, "band long, bag long").repartition("band").dropDuplicates(["band", "bag"])
     met = banded.alias("x").join(banded.alias("y").hint("merge"), (F.col("x.band") == F.col("y.band")) & (F.col("x.bag") < F.col("y.bag")))
     met = written(met.select(F.col("x.bag").alias("a"), F.col("y.bag").alias("b")).distinct())
-    asked = met.select(F.explode(F.array("a", "b")).alias("bag")).distinct()
-    named = members.join(asked, "bag", "left_semi").groupBy("bag").agg(F.min("id").alias("id"))
-    one = records.join(named.select("id").distinct(), "id", "left_semi").select("t").distinct()
-    signed = written(one.mapInArrow(_signed, "bag long, signature binary, elements array<bigint>").dropDuplicates(["bag"]))
-    marks, words = signed.select("bag", "signature"), signed.select("bag", "elements")
+    marks = members.groupBy("bag").agg(F.first("signature").alias("signature"))
     pairs = met.join(marks.withColumnsRenamed({"bag": "a", "signature": "sa"}).hint("merge"), "a").join(marks.withColumnsRenamed({"bag": "b", "signature": "sb"}).hint("merge"), "b")
     jaccard = overlap / (2 - overlap)
-    kept = pairs.select("a", "b", "sa", "sb").mapInArrow(lambda batches: _pruned(batches, jaccard), "a long, b long")
+    kept = written(pairs.select("a", "b", "sa", "sb").mapInArrow(lambda batches: _pruned(batches, jaccard), "a long, b long"))
+    wanted = records.sparkSession.sparkContext.broadcast(_filter_of(kept.select(F.explode(F.array("a", "b")).alias("bag"))))
+    words = written(records.select("t").mapInArrow(lambda batches: _element_rows(batches, wanted.value), "bag long, elements array<bigint>"))
+    words = words.dropDuplicates(["bag"])
     full = kept.join(words.withColumnsRenamed({"bag": "a", "elements": "ea"}).hint("merge"), "a").join(words.withColumnsRenamed({"bag": "b", "elements": "eb"}).hint("merge"), "b")
     shared, longer = F.size(F.array_intersect("ea", "eb")), F.greatest(F.size("ea"), F.size("eb"))
     return full.where(shared * 100 >= longer * round(overlap * 100)).select("a", "b", (shared / longer).alias("similarity"))
@@ -163,8 +192,8 @@ def near_duplicates(df: DataFrame, id_column: str, texts: Sequence[str], overlap
     count once. Other columns are ignored. A record delivered with several texts is a member of several classes.
     """
     records = texts_of(df, id_column, texts)
-    members = written(records.mapInArrow(_bag_rows, "id string, bag long, words int").where("words > 0").select("id", "bag").distinct())
-    return members.withColumnRenamed("bag", "rep"), near_bags(records, members, overlap)
+    members = written(records.mapInArrow(_bag_rows, "id string, bag long, words int, signature binary").where("words > 0").select("id", "bag", "signature").distinct())
+    return members.select("id", F.col("bag").alias("rep")), near_bags(records, members, overlap)
 
 
 def record_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
