@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.llm import credentials, handwritten, leakage, mixing, near_duplicates, sentences, shared_spans, splitting
+from strataloom.llm import credentials, handwritten, leakage, mixing, near_duplicates, sentences, shared_spans, splitting, syntax
 from strataloom.operators.components import connected_components
 from strataloom.tables import load
 
@@ -20,6 +20,25 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_evidence(spark, sf_dir).select("file_id").distinct()
 
 
+def p3_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each file whose content is not valid in its language, with the first fault."""
+    found = syntax.unparsable(load(spark, sf_dir, "files"), load(spark, sf_dir, "blobs"))
+    return found.withColumnRenamed("id", "file_id")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_faults(spark, sf_dir).select("file_id").distinct()
+
+
+def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invalid files of all files with content, per project and language."""
+    bad = p3_found(spark, sf_dir).withColumn("bad", F.lit(1))
+    blobs = load(spark, sf_dir, "blobs").where("content is not null").select("hash").distinct()
+    files = load(spark, sf_dir, "files").where(F.col("language").isin(*syntax.LANGUAGES)).select(F.col("id").alias("file_id"), "project_id", "language", "hash").distinct()
+    counted = files.join(blobs, "hash", "left_semi").join(bad, "file_id", "left").groupBy("project_id", "language").agg(F.count("*").alias("n_files"), F.sum(F.coalesce("bad", F.lit(0))).alias("n_invalid"))
+    return counted.withColumn("invalid_rate", F.col("n_invalid") / F.col("n_files"))
+
+
 def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.pieces(load(spark, sf_dir, "blobs"), "hash", "content").withColumnRenamed("id", "hash")
 
@@ -108,7 +127,8 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_sentences(spark, sf_dir).select("doc_id", "start_char").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_evidence": p1_evidence, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_shares": p5_shares, "p5_groups": p5_groups, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p7_places": p7_places, "p7_redacted": p7_redacted, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_sentences": p10_sentences}
+QUERIES = {
+    "p1_found": p1_found, "p1_evidence": p1_evidence, "p3_found": p3_found, "p3_faults": p3_faults, "p3_rates": p3_rates, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_shares": p5_shares, "p5_groups": p5_groups, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p7_places": p7_places, "p7_redacted": p7_redacted, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_sentences": p10_sentences}
 ORACLES: dict[str, str] = {
     "p4_found": "SELECT DISTINCT f.id AS file_id FROM files f JOIN blobs b ON b.hash = f.hash WHERE f.id IS NOT NULL AND length(b.content) > 6000",
 }

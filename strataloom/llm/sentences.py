@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FEATURES = 1 << 15
-#: Texts of the training sample (those of the smallest hashes).
+#: About how many texts the training sample has (those of the smallest hashes).
 TRAINING_TEXTS = 4000
 #: Abbreviations that stand before a name or number and never end a sentence: labels for training, not a rule.
 TITLES = ("dr", "mr", "mrs", "ms", "prof", "st", "nr", "no", "art", "fig", "sec", "vs", "cf", "z", "b", "d", "h", "p", "e.g", "i.e", "pág", "डॉ", "jan", "feb", "aug", "sept", "oct", "nov", "dec", "bzw", "ca", "approx", "aprox", "env", "sr", "sra", "mme", "vgl", "s", "u", "n", "vol", "ch")
@@ -290,9 +290,11 @@ class Splitter:
 
 
 def fit(df: DataFrame, text: str, texts: int = TRAINING_TEXTS) -> Splitter:
-    """Train on the ``texts`` different texts of smallest hash; all of the sample reaches the driver."""
-    sample = df.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("h"), F.col(text).alias("t")).orderBy("h").limit(texts).select("t").toPandas()["t"]
-    return Splitter(train([e for t in sample.unique() for e in labelled(t)]).tolist())
+    """Train on about ``texts`` different texts, those of the smallest hashes; this sample reaches the driver."""
+    rows = df.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("h"), F.col(text).alias("t"))
+    below = int(min(1.0, texts / max(rows.count(), 1)) * 2.0**64) - 2**63
+    sample = rows.where(F.col("h") <= min(below, 2**63 - 1)).select("t").distinct().limit(2 * texts).toPandas()["t"]
+    return Splitter(train([e for t in sorted(sample) for e in labelled(t)]).tolist())
 
 
 def sentences(df: DataFrame, id_column: str, text: str, splitter: Splitter | None = None) -> DataFrame:
