@@ -83,7 +83,7 @@ def _bag_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         bags = [elements(t) for t in batch.column(1).to_pylist()]
         signatures = [mix(minhashes(x, BANDS * ROWS, BANDS * ROWS + SIGNATURE)).astype(np.uint8).tobytes() for x in bags]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_bag(x) for x in bags], type=pa.int64()), pa.array([len(x) for x in bags], type=pa.int32()), pa.array(signatures, type=pa.binary())], names=["id", "bag", "words", "signature"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([_bag(x) for x in bags], type=pa.int64()), pa.array([len(x) for x in bags], type=pa.int32()), pa.array(signatures, type=pa.binary())], names=["id", "text", "bag", "words", "signature"])
 
 
 def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,15 +101,14 @@ def _slot(bags: np.ndarray) -> np.ndarray:
 
 def _element_rows(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        bags = [x for t in batch.column(0).to_pylist() if len(x := elements(t))]
-        names = np.array([_bag(x) for x in bags], dtype=np.int64)
-        slots = _slot(names)
-        kept = {names[k]: bags[k] for k in np.flatnonzero((wanted[slots >> 3] >> (slots & 7)) & 1)}
+        slots = _slot(batch.column(0).to_numpy())
+        near = pa.array(np.flatnonzero((wanted[slots >> 3] >> (slots & 7)) & 1))
+        kept = {_bag(x): x for t in batch.column(1).take(near).to_pylist() if len(x := elements(t))}
         yield pa.RecordBatch.from_arrays([pa.array(list(kept), type=pa.int64()), _lists(list(kept.values()))], names=["bag", "elements"])
 
 
-def _filter_of(bags: DataFrame) -> np.ndarray:
-    """A bit field of 2**FILTER_BITS bits (8 MB, whatever the input) with the bits of all bags set."""
+def _filter_of(hashes: DataFrame) -> np.ndarray:
+    """A bit field of 2**FILTER_BITS bits (8 MB, whatever the input) with the bits of all hashes set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << (FILTER_BITS - 3), dtype=np.uint8)
@@ -125,7 +124,7 @@ def _filter_of(bags: DataFrame) -> np.ndarray:
         return pa.table({"part": parts["part"][:1], "bits": pa.array([bits.tobytes()], type=pa.binary())})
 
     out = np.zeros(1 << (FILTER_BITS - 3), dtype=np.uint8).reshape(-1, 1 << 12)
-    for row in bags.mapInArrow(run, "part long, bits binary").groupBy("part").applyInArrow(merge, "part long, bits binary").toLocalIterator():
+    for row in hashes.mapInArrow(run, "part long, bits binary").groupBy("part").applyInArrow(merge, "part long, bits binary").toLocalIterator():
         out[row.part] = np.frombuffer(row.bits, dtype=np.uint8)
     return out.ravel()
 
@@ -176,8 +175,8 @@ def near_bags(records: DataFrame, members: DataFrame, overlap: float) -> DataFra
     pairs = met.join(marks.withColumnsRenamed({"bag": "a", "signature": "sa"}).hint("merge"), "a").join(marks.withColumnsRenamed({"bag": "b", "signature": "sb"}).hint("merge"), "b")
     jaccard = overlap / (2 - overlap)
     kept = written(pairs.select("a", "b", "sa", "sb").mapInArrow(lambda batches: _pruned(batches, jaccard), "a long, b long"))
-    wanted = records.sparkSession.sparkContext.broadcast(_filter_of(kept.select(F.explode(F.array("a", "b")).alias("bag"))))
-    words = written(records.select("t").mapInArrow(lambda batches: _element_rows(batches, wanted.value), "bag long, elements array<bigint>"))
+    wanted = records.sparkSession.sparkContext.broadcast(_filter_of(members.join(kept.select(F.explode(F.array("a", "b")).alias("bag")).distinct(), "bag", "left_semi").select("text")))
+    words = written(records.select(F.xxhash64("t").alias("text"), "t").mapInArrow(lambda batches: _element_rows(batches, wanted.value), "bag long, elements array<bigint>"))
     words = words.dropDuplicates(["bag"])
     full = kept.join(words.withColumnsRenamed({"bag": "a", "elements": "ea"}).hint("merge"), "a").join(words.withColumnsRenamed({"bag": "b", "elements": "eb"}).hint("merge"), "b")
     shared, longer = F.size(F.array_intersect("ea", "eb")), F.greatest(F.size("ea"), F.size("eb"))
@@ -192,8 +191,8 @@ def near_duplicates(df: DataFrame, id_column: str, texts: Sequence[str], overlap
     count once. Other columns are ignored. A record delivered with several texts is a member of several classes.
     """
     records = texts_of(df, id_column, texts)
-    members = written(records.mapInArrow(_bag_rows, "id string, bag long, words int, signature binary").where("words > 0").select("id", "bag", "signature").distinct())
-    return members.select("id", F.col("bag").alias("rep")), near_bags(records, members, overlap)
+    members = written(records.select("id", "t", F.xxhash64("t").alias("text")).mapInArrow(_bag_rows, "id string, text long, bag long, words int, signature binary").where("words > 0").select("id", "text", "bag", "signature").distinct())
+    return members.select("id", F.col("bag").alias("rep")).distinct(), near_bags(records, members, overlap)
 
 
 def record_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
