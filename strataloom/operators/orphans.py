@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataloom.functions.times import utc
 from strataloom.operators.bitmaps import Container
 
 RANGE_BITS = 15
@@ -30,7 +31,7 @@ PARENT_COLUMNS = ["table_name", "field_name", "key", "created_at"]
 
 def month_of(ms: str) -> F.Column:
     """Months since year 0 of an epoch-millisecond column, ``NO_PERIOD`` where it is null."""
-    ts = F.timestamp_millis(F.col(ms))
+    ts = utc(ms)
     return F.coalesce(F.year(ts) * 12 + F.month(ts) - 1, F.lit(NO_PERIOD)).cast("int")
 
 
@@ -139,7 +140,7 @@ def orphan_references(refs: DataFrame, targets: DataFrame) -> DataFrame:
 
 def orphan_report(refs: DataFrame, orphans: DataFrame) -> DataFrame:
     """References and orphans per table, field and month (``yyyy-MM``, null where the time is unknown)."""
-    month = F.date_format(F.timestamp_millis("report_at"), "yyyy-MM").alias("month")
+    month = F.date_format(utc("report_at"), "yyyy-MM").alias("month")
     both = refs.distinct().select("table_name", "field_name", month, F.lit(1).alias("r"), F.lit(0).alias("o")).unionByName(
         orphans.select("table_name", "field_name", month, F.lit(0).alias("r"), F.lit(1).alias("o"))
     )
