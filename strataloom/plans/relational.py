@@ -265,11 +265,11 @@ def w04_top_per_project(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""WITH l AS (SELECT hash, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS n FROM (SELECT DISTINCT hash, content FROM blobs WHERE content IS NOT NULL)),
 w AS (SELECT hash, n, line, lag(line) OVER (PARTITION BY hash ORDER BY n) AS before, lead(line) OVER (PARTITION BY hash ORDER BY n) AS after FROM l)
-SELECT hash, n AS line_no, concat_ws(chr(10), before, line, after) AS evidence FROM w WHERE contains(line, 'TODO') OR contains(line, 'eval(') OR regexp_matches(line, 'except\\s*:')""")
+SELECT hash, n AS line_no, concat_ws(chr(10), before, line, after) AS evidence FROM w WHERE regexp_matches(line, 'console\\.warn\\(|except \\w+:')""")
 def w05_line_context(spark: SparkSession, sf: str) -> DataFrame:
     """W-05, W-06: matching lines with the line before and after, without exploding other texts."""
-    b = load(spark, sf, "blobs").where("content is not null").where(F.col("content").rlike(r"TODO|eval\(|except\s*:")).select("hash", F.split("content", "\n", -1).alias("ls")).dropDuplicates(["hash"])
-    x = b.select("hash", "ls", F.posexplode("ls").alias("pos", "line")).where(F.col("line").rlike(r"TODO|eval\(|except\s*:"))
+    b = load(spark, sf, "blobs").where("content is not null").where(F.col("content").rlike(r"console\.warn\(|except \w+:")).select("hash", F.split("content", "\n", -1).alias("ls")).dropDuplicates(["hash"])
+    x = b.select("hash", "ls", F.posexplode("ls").alias("pos", "line")).where(F.col("line").rlike(r"console\.warn\(|except \w+:"))
     return x.select("hash", (F.col("pos") + 1).cast("long").alias("line_no"), F.concat_ws("\n", F.get("ls", F.col("pos") - 1), "line", F.get("ls", F.col("pos") + 1)).alias("evidence"))
 
 
