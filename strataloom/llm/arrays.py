@@ -44,7 +44,7 @@ def _table(name: str) -> np.ndarray:
         else:
             made = np.arange(0x110000, dtype=np.uint32)
             for c in range(size):
-                low = unicodedata.normalize("NFKC", chr(c)).lower()
+                low = (unicodedata.normalize("NFKC", chr(c)) if name == "fold" else chr(c)).lower()
                 if len(low) == 1:
                     made[c] = ord(low)
         _TABLES[name] = made
@@ -61,6 +61,11 @@ def fold(points: np.ndarray) -> np.ndarray:
     return _table("fold")[points]
 
 
+def lower(points: np.ndarray) -> np.ndarray:
+    """Lower case, nothing else changed; characters with a longer lower form stay."""
+    return _table("lower")[points]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit (the finaliser of SplitMix64)."""
     x = x.astype(U64)

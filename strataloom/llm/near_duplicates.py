@@ -14,8 +14,6 @@ a band compare one-byte signatures in batches; after each batch a pair is droppe
 from __future__ import annotations
 
 import functools
-import re
-from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -24,49 +22,44 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.llm.arrays import U64, mix
+from strataloom.llm.arrays import U64, Rolling, chunks, code_points, lower, mix, word_spans
 from strataloom.session import written
 
-WORD = re.compile(r"[^\W_]+")
 BANDS, ROWS, SIGNATURE, BATCH, MISS = 64, 8, 64, 16, 1e-4
 FILTER_BITS = 26
 
 
-_HASHES: dict[str, int] = {}
-
-
-def _word_hash(word: str) -> int:
-    if len(_HASHES) > 1 << 20:
-        _HASHES.clear()
-    return _HASHES.setdefault(word, xxhash.xxh64_intdigest(word))
-
-
-def elements(text: str) -> np.ndarray:
-    """Sorted 64-bit hashes of (word, n-th occurrence)."""
-    out: list[int] = []
-    known = _HASHES.get
-    for word, n in Counter(WORD.findall(text.lower())).items():
-        h = known(word) or _word_hash(word)
-        out.append(h)
-        if n > 1:
-            out += [(h + k * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF for k in range(1, n)]
-    return np.sort(np.array(out, dtype=U64))
+def elements(texts: pa.Array) -> list[np.ndarray]:
+    """For each text the 64-bit hashes of (word, n-th occurrence), in an order that depends on the words only."""
+    out: list[np.ndarray] = []
+    for _, part in chunks(texts):
+        points, starts = code_points(part)
+        small = lower(points)
+        begin, end, owner = word_spans(small, starts)
+        hashes = Rolling(small)(begin, end)
+        order = np.lexsort((hashes, owner))
+        hashes, owner = hashes[order], owner[order]
+        first = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])])[: len(hashes)]
+        at = np.arange(len(hashes))
+        occurrence = at - np.maximum.accumulate(np.where(first, at, 0)) if len(at) else at
+        made = hashes + occurrence.astype(U64) * U64(0x9E3779B97F4A7C15)
+        out += np.split(made, np.searchsorted(owner, np.arange(1, len(part))))
+    return out
 
 
 @functools.cache
-def _coefficients() -> tuple[np.ndarray, np.ndarray]:
+def _coefficients() -> np.ndarray:
     n = BANDS * ROWS + SIGNATURE
-    seeds = (mix(np.arange(1, 2 * n + 1, dtype=U64)) >> U64(32)).astype(np.uint32)
-    return seeds[:n] | np.uint32(1), seeds[n:]
+    return (mix(np.arange(1, n + 1, dtype=U64)) >> U64(32)).astype(np.uint32) | np.uint32(1)
 
 
 def minhashes(items: np.ndarray, lo: int, hi: int) -> np.ndarray:
     """The smallest 32-bit hash of the items under each of the hash functions ``lo`` to ``hi``."""
-    a, b = (x[lo:hi] for x in _coefficients())
+    a = _coefficients()[lo:hi]
     short = (mix(items) >> U64(32)).astype(np.uint32)
     low = np.full(len(a), np.iinfo(np.uint32).max, dtype=np.uint32)
-    for at in range(0, len(items), 512):
-        np.minimum(low, (short[at : at + 512, None] * a + b).min(axis=0), out=low)
+    for at in range(0, len(items), 128):
+        np.minimum(low, (short[at : at + 128, None] * a).min(axis=0), out=low)
     return low
 
 
@@ -81,17 +74,17 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
 
 def _bag_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        bags = [elements(t) for t in batch.column(1).to_pylist()]
+        bags = elements(batch.column(1))
         signatures = [mix(minhashes(x, BANDS * ROWS, BANDS * ROWS + SIGNATURE)).astype(np.uint8).tobytes() for x in bags]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([_bag(x) for x in bags], type=pa.int64()), pa.array([len(x) for x in bags], type=pa.int32()), pa.array(signatures, type=pa.binary())], names=["id", "text", "bag", "words", "signature"])
 
 
 def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    salt = mix(np.arange(1, ROWS + 1, dtype=U64))
+    salt = mix(np.arange(1, ROWS + 1, dtype=U64)) | U64(1)
     number = np.arange(BANDS, dtype=U64) * U64(0xD6E8FEB86659FD93)
     for batch in batches:
-        once = {_bag(x): x for t in batch.column(0).to_pylist() if len(x := elements(t))}
-        bands = [mix((mix(minhashes(x, 0, BANDS * ROWS)).reshape(BANDS, ROWS) * salt).sum(axis=1, dtype=U64) + number) for x in once.values()]
+        once = {_bag(x): x for x in elements(batch.column(0)) if len(x)}
+        bands = [mix((minhashes(x, 0, BANDS * ROWS).reshape(BANDS, ROWS) * salt).sum(axis=1, dtype=U64) + number) for x in once.values()]
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.array([], dtype=U64), *bands]).view(np.int64)), pa.array(np.repeat(np.array(list(once), dtype=np.int64), BANDS))], names=["band", "bag"])
 
 
@@ -103,7 +96,7 @@ def _element_rows(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iter
     for batch in batches:
         slots = _slot(batch.column(0).to_numpy())
         near = pa.array(np.flatnonzero((wanted[slots >> 3] >> (slots & 7)) & 1))
-        kept = {_bag(x): x for t in batch.column(1).take(near).to_pylist() if len(x := elements(t))}
+        kept = {_bag(x): x for x in elements(batch.column(1).take(near)) if len(x)}
         yield pa.RecordBatch.from_arrays([pa.array(list(kept), type=pa.int64()), _lists(list(kept.values()))], names=["bag", "elements"])
 
 
