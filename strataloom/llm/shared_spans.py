@@ -7,7 +7,7 @@ their smallest K-gram; a run of them is one row, about two in (SPAN - K + 2) cha
 
 Colliding runs are then verified exactly: first the hashes of a run's first and last window; where both also stand in
 another record, all windows between lie inside the two. Runs with an end that no other record has are resolved window
-by window. Records are never paired: a window is shared when its smallest and its largest owner differ, which a
+by window, together with all runs of the same smallest K-gram (equal windows have equal ones). Records are never paired: a window is shared when its smallest and its largest owner differ, which a
 map-side combined aggregation finds for windows of any number of owners.
 """
 
@@ -90,7 +90,8 @@ def shared_windows(df: DataFrame, id_column: str, text: str, span: int = SPAN, k
     ends = met.select("owner", "at", "size", F.explode(F.array(F.struct(F.col("at").alias("place"), F.col("head").alias("window")), F.struct((F.col("at") + F.col("size") - 1).alias("place"), F.col("tail").alias("window")))).alias("e")).select("owner", "at", "size", "e.*")
     good = written(ends.join(_owned_twice(ends.select("window", "owner"), "window").hint("merge"), "window", "left_semi").distinct())
     settled = good.groupBy("owner", "at", "size").agg(F.count_distinct("place").alias("n")).where((F.col("n") == 2) | (F.col("size") == 1)).select("owner", "at", "size")
-    open_runs = met.select("owner", "at", "size").join(settled, ["owner", "at", "size"], "left_anti").groupBy("owner").agg(F.collect_list("at").alias("ats"), F.collect_list("size").alias("sizes"))  # of one record each
+    unsettled = met.join(settled, ["owner", "at", "size"], "left_anti").select("low").distinct()
+    open_runs = met.join(unsettled.hint("merge"), "low", "left_semi").groupBy("owner").agg(F.collect_list("at").alias("ats"), F.collect_list("size").alias("sizes"))  # of one record each
     singles = written(base.join(open_runs, "owner").select("owner", "content", "ats", "sizes").mapInArrow(lambda b: _window_rows(b, span), "owner long, at int, window long"))
     more = singles.join(_owned_twice(singles.select("window", "owner"), "window").hint("merge"), "window", "left_semi")
     return good.select("owner", F.col("place").alias("at"), "window").unionByName(more.select("owner", "at", "window")).distinct()
