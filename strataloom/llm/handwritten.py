@@ -4,8 +4,9 @@ A random forest learns how such contents look. Its features are taken from the t
 ratio, entropy of the tokens, length of the identifiers, density of comments, share of long lines and of literal data.
 Its labels come from what the features don't see: notices and banners in the head comment, and the names that tools
 give their files; contents that are almost only literal data are labelled too. Labels are incomplete (most minified
-files carry no notice), so a content is taken when its probability is LIFT times the share of labelled ones, and
-confirmed when long lines or literal data make up most of it. Notices, banners and paths also count by themselves.
+files carry no notice), so that the forest's probability is a share of the true one: a content is taken from CUT times
+the mean probability of the labelled contents of its look, and confirmed when long lines or literal data make up most
+of it. Notices, banners and paths also count by themselves.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from strataloom.session import written
 LANGUAGES = ("TypeScript", "JavaScript", "Python", "Go")
 #: Contents (those of the smallest hashes) that the forest is trained on.
 TRAINING_ROWS = 20_000
-LIFT = 2.0
+CUT = 0.5
 FEATURES = ["compression", "entropy", "identifier", "comments", "long_lines", "data"]
 
 # Wording of notices and names that tools and package managers give.
@@ -108,7 +109,7 @@ def content_measures(blobs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.mapInPandas(run, f"{key} {kind}, notice boolean, banner boolean, " + ", ".join(f"{f} double" for f in FEATURES))
 
 
-def machine_written(files: DataFrame, blobs: DataFrame, languages: tuple[str, ...] = LANGUAGES, training_rows: int = TRAINING_ROWS, lift: float = LIFT) -> DataFrame:
+def machine_written(files: DataFrame, blobs: DataFrame, languages: tuple[str, ...] = LANGUAGES, training_rows: int = TRAINING_ROWS, cut: float = CUT) -> DataFrame:
     """Each file of the languages that is not hand-written, with the evidence.
 
     ``files`` has id, path, language, hash; ``blobs`` hash, content. Columns: id, path_evidence (vendor, tool or null),
@@ -126,10 +127,11 @@ def machine_written(files: DataFrame, blobs: DataFrame, languages: tuple[str, ..
     gather = VectorAssembler(inputCols=FEATURES, outputCol="features")
     if counts.n and 0 < counts.share < 1:
         forest = RandomForestClassifier(numTrees=30, maxDepth=6, seed=7, labelCol="label", featuresCol="features").fit(gather.transform(sample))
-        judged = forest.transform(gather.transform(rows)).withColumn("p", vector_to_array("probability")[1])
+        judged = forest.transform(gather.transform(labelled)).withColumn("p", vector_to_array("probability")[1])
     else:
-        judged = rows.withColumn("p", F.lit(0.0))
-    confirmed = (F.col("p") >= lift * (counts.share or 0.0)) & ((F.col("long_lines") >= 0.7) & (F.col("comments") < 0.5) & ((F.col("identifier") < 5.5) | (F.col("data") > 0.3)) | (F.col("data") >= 0.5))
-    judged = judged.select("hash", "notice", "banner", confirmed.alias("looks"), F.col("p").alias("probability"))
+        judged = labelled.withColumn("p", F.lit(0.0))
+    shape = ((F.col("long_lines") >= 0.7) & (F.col("comments") < 0.5) & ((F.col("identifier") < 5.5) | (F.col("data") > 0.3))) | (F.col("data") >= 0.5)
+    usual = judged.where((F.col("label") == 1) & shape).agg(F.avg("p")).first()[0]
+    judged = judged.select("hash", "notice", "banner", (shape & (F.col("p") >= (cut * usual if usual else 0.5))).alias("looks"), F.col("p").alias("probability"))
     out = own.join(judged, "hash", "left").select("id", "path_evidence", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("notice", "banner", "looks")], "probability")
     return out.where("path_evidence is not null or notice or banner or looks")

@@ -159,7 +159,8 @@ def features(text: str, begin: int, end: int, right: int) -> tuple[list[str], st
     word = rt[0].lower() if rt and len(rt[0]) <= 6 else ""
     size = str(min(len(token), 6))
     known = token if len(token) <= 7 else ""
-    return [f"m={kind}", f"lt={known}", f"ls={ls}", f"ll={size}", f"ws={ws}", f"rk={rk}", f"rt={word}", f"m,rk={kind},{rk}", f"ls,rk={ls},{rk}", f"lt,rk={known},{rk}", f"m,ws,rk={kind},{ws},{rk}", f"ll,ls={size},{ls}"], token, rk
+    dated = len(token) < 3 and token.isdigit() and rt is not None and rt[0].lower() in MONTHS
+    return [f"special={'title' if token in TITLES and kind == '.' else 'day' if dated else ''}", f"m={kind}", f"lt={known}", f"ls={ls}", f"ll={size}", f"ws={ws}", f"rk={rk}", f"rt={word}", f"m,rk={kind},{rk}", f"ls,rk={ls},{rk}", f"lt,rk={known},{rk}", f"m,ws,rk={kind},{ws},{rk}", f"ll,ls={size},{ls}"], token, rk
 
 
 def hashed(names: list[str]) -> list[int]:
@@ -188,14 +189,19 @@ def labelled(text: str) -> Iterator[tuple[list[int], int]]:
             right = SPACE.match(body, m.end())
             right = right.end() if right else m.end()
             names, token, rk = features(body, m.start(), m.end(), right)
-            word = RIGHT.match(body, right)
-            dated = len(token) < 3 and token.isdigit() and word and word[0].lower() in MONTHS
+            dated = names[0] == "special=day"
             if rk in ("lower", "digit", "punct", "dash", "caseless") or (right == m.end() and rk == "name") or (m[0] == "." and (dated or token in TITLES)):
                 yield hashed(names), 0
             elif right == m.end() and rk == "upper" and len(token) > 2 and m[0] in ".!?" and body[right + 1 : right + 2].islower():
                 yield hashed(names), 1
 
 
+def seeds() -> list[tuple[list[int], int]]:
+    """Labelled examples of titles before a name and days before a month, so that a small sample has them too."""
+    width = len(features("a. B", 1, 2, 3)[0])
+    return [(hashed([f"special={s}", *["-"] * (width - 1)]), 0) for s in ("title", "day") for _ in range(100)]
+
+
 def train(examples: list[tuple[list[int], int]], rounds: int = 200, l2: float = 1e-4) -> np.ndarray:
     """Weights of the maximum-entropy (logistic) model; both classes weigh the same."""
     if not examples:
@@ -294,7 +300,7 @@ def fit(df: DataFrame, text: str, texts: int = TRAINING_TEXTS) -> Splitter:
     rows = df.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("h"), F.col(text).alias("t"))
     below = int(min(1.0, texts / max(rows.count(), 1)) * 2.0**64) - 2**63
     sample = rows.where(F.col("h") <= min(below, 2**63 - 1)).select("t").distinct().limit(2 * texts).toPandas()["t"]
-    return Splitter(train([e for t in sorted(sample) for e in labelled(t)]).tolist())
+    return Splitter(train([*seeds(), *(e for t in sorted(sample) for e in labelled(t))]).tolist())
 
 
 def sentences(df: DataFrame, id_column: str, text: str, splitter: Splitter | None = None) -> DataFrame:
@@ -314,7 +320,7 @@ def sentences(df: DataFrame, id_column: str, text: str, splitter: Splitter | Non
                 ids += [i] * len(at)
                 numbers += range(len(at))
                 begins += at
-                parts += [t[a:b].rstrip() for a, b in zip(at, [*at[1:], len(t)], strict=True)]
+                parts += [t[a:b].rstrip() for a, b in zip(at, [*at[1:], len(t)], strict=False)]
             yield pd.DataFrame({"id": pd.Series(ids, dtype=frame["id"].dtype), "sentence_no": pd.Series(numbers, dtype="int32"), "start_char": pd.Series(begins, dtype="int32"), "sentence": pd.Series(parts, dtype=object)})
 
     rows = df.where(F.col(id_column).isNotNull() & F.col(text).isNotNull()).select(F.col(id_column).alias("id"), F.col(text).alias("t"))

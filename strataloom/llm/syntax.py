@@ -27,7 +27,7 @@ MATCH = {")": "(", "]": "[", "}": "{", "<": ">"}
 
 # --- Python -------------------------------------------------------------------------------------------------------
 # n name, m soft keyword, c number or constant, s string, E ellipsis, u + -, ~, * and ^ for **, o binary operator, < comparison, = , a augmented
-# assignment, w walrus, r arrow, b and/or, ! not, i in, I is, 1..9 and letters below for keywords, N newline, B newline after a block's colon,
+# assignment, w walrus, r arrow, b and/or, ! not, i in, I is, 1..9 and letters below for keywords, N newline, O newline after a block in one line, B newline after a block's colon,
 # > indent, } ... brackets themselves, < dedent as "d", S start, Z end
 PY_KEYWORDS = {"and": "b", "or": "b", "not": "!", "in": "i", "is": "I", "if": "f", "else": "e", "for": "F", "lambda": "l", "await": "W", "yield": "y", "async": "A", "from": "R", "import": "M", "as": "T", "def": "D", "class": "D", "return": "t", "raise": "t", "del": "x", "assert": "x", "global": "g", "nonlocal": "g", "pass": "p", "break": "p", "continue": "p", "while": "h", "elif": "L", "try": "Y", "except": "X", "finally": "Q", "with": "h", "None": "c", "True": "c", "False": "c", "match": "m", "case": "m", "type": "m"}
 PY_TOKEN = re.compile(
@@ -36,14 +36,15 @@ PY_TOKEN = re.compile(
 )
 PY_OPERATORS = {"...": "E", "->": "r", ":=": "w", "**": "^", "*": "*", "+": "u", "-": "u", "~": "~", "=": "=", "<": "<", ">": "<", "@": "@"} | dict.fromkeys(["==", "!=", "<=", ">="], "<") | dict.fromkeys(["//", "<<", ">>", "/", "%", "&", "|", "^"], "o") | dict.fromkeys(["**=", "//=", ">>=", "<<=", "+=", "-=", "*=", "/=", "%=", "@=", "&=", "|=", "^="], "a")
 PY_START, PY_END = "ncsm([{u~!lWE", "ncsm)]}E"
-PY_AFTER_END = "u*^o<!iIbfeFATRM,:.;=awr([)]}NB@"
+PY_AFTER_END = "u*^o<!iIbfeFATRM,:.;=awr([)]}NOB@"
 PY_STATEMENT = PY_START + "@*yfFADRMtxgphLYXQedZTt" + "m"
+PY_NEW = "".join(c for c in PY_STATEMENT if c not in "eLXQ")
 PY_FOLLOW = (
     dict.fromkeys(PY_END, PY_AFTER_END)
     | {"s": PY_AFTER_END + "s", "m": PY_AFTER_END + PY_START, "u": PY_START, "~": PY_START, "o": PY_START + ",):", "*": PY_START + ",):", "^": PY_START, "<": PY_START, "=": PY_START + "*y", "a": PY_START + "*y", "w": PY_START + "y", "r": PY_START, "b": PY_START, "!": PY_START + "i", "i": PY_START + "*", "I": PY_START}
-    | {"(": PY_START + "*^)y", "[": PY_START + "*]:y", "{": PY_START + "*^}", ",": PY_START + "*^)]}N=:oB", ":": PY_START + "*NB],):=ytpxgRMhfFDA}", ".": "nmME.", ";": PY_STATEMENT + "N", "@": PY_START}
-    | {"f": PY_START, "e": PY_START + ":", "F": PY_START + "*", "T": "nm([", "R": PY_START + ".E", "M": "nm(*", "D": "nm", "t": PY_START + "*N;", "y": PY_START + "*RN),;]}", "X": PY_START + ":*", "Y": ":", "Q": ":", "h": PY_START, "A": "DFh", "W": PY_START, "g": "nm", "x": PY_START, "p": "N;", "L": PY_START, "l": "nm:*^"}
-    | {"N": PY_STATEMENT, "B": ">", ">": PY_STATEMENT.replace("Z", "").replace("d", ""), "d": PY_STATEMENT, "S": PY_STATEMENT}
+    | {"(": PY_START + "*^)y", "[": PY_START + "*]:y", "{": PY_START + "*^}", ",": PY_START + "*^)]}NO=:oB", ":": PY_START + "*NOB],):=ytpxgRMhfFDA}", ".": "nmME.", ";": PY_NEW + "NO", "@": PY_START}
+    | {"f": PY_START, "e": PY_START + ":", "F": PY_START + "*", "T": "nm([", "R": PY_START + ".E", "M": "nm(*", "D": "nm", "t": PY_START + "*NO;", "y": PY_START + "*RNO),;]}", "X": PY_START + ":*", "Y": ":", "Q": ":", "h": PY_START, "A": "DFh", "W": PY_START, "g": "nm", "x": PY_START, "p": "NO;", "L": PY_START, "l": "nm:*^"}
+    | {"N": PY_NEW, "O": PY_STATEMENT, "B": ">", ">": PY_NEW.replace("Z", "").replace("d", ""), "d": PY_STATEMENT, "S": PY_NEW}
 )
 
 # --- JavaScript and TypeScript ------------------------------------------------------------------------------------
@@ -68,8 +69,10 @@ def _js_follow(typed: bool) -> dict[str, str]:
     end = JS_BINARY + "{" + ("!" if typed else "")
     follow = dict.fromkeys("ncstrk", end) | {"s": JS_BINARY, "c": JS_BINARY + "{", "r": JS_BINARY, "t": JS_BINARY, "n": end, "k": end}
     follow |= {"x": end + JS_START + "VDE", ")": end + JS_STATEMENT, "]": JS_BINARY + ("!{" if typed else "{"), "}": end + JS_STATEMENT + "Z", "p": JS_BINARY + "nck([x", "(": JS_START + ")DV;" + ("*" if typed else ""), "[": JS_START + "],D" + ("-" if typed else ""), "{": JS_STATEMENT + "D,*.I" + ("o" if typed else ""), ",": JS_START + "D)]},*" + "VFIPERCYHQBTX", ";": JS_STATEMENT + ")DZ", ":": JS_STATEMENT + ("o)D*" if typed else ""), ".": "nkx", "v": "nkx([t"}
+    follow["s"] += "{" if typed else ""
     follow |= dict.fromkeys("uoL*=a~!Iq>", JS_START) | {"<": JS_START + ("cs" if typed else ""), "G": JS_START + ("uoLG<=,;:)]}([>.T{qxvI*" if typed else ""), "*": JS_START + "x=,}", "q": JS_START + (":),;=]}G" if typed else "") + ".", "D": JS_START, "=": JS_START + ("o" if typed else ""), "<": JS_START + "/", ">": JS_START}
     if typed:
+        follow[","] += "G"
         follow |= {"!": JS_START + "uoLG<*I=aqv.,;:)]}([", "o": JS_START + "<", "u": JS_START + "q", "I": JS_START, "T": JS_START, "=": JS_START + "o"}
     follow |= {"V": "nx[{k" + ("K" if typed else ""), "f": "nx(*" + ("<" if typed else ""), "K": "nx{T" + ("<" if typed else ""), "R": JS_START + ";}", "P": "(xU", "E": JS_STATEMENT, "Y": "{", "H": "({", "Q": "{", "N": "ncx(.fK[t", "U": JS_START + ")" + ("G,;]}|o:=" if typed else ""), "C": JS_START, "F": ":" + JS_START + "xV" + "},", "B": "nx;}Z", "M": "nxs{*(.t" + ("=" if typed else ""), "X": "VfKxF{*nM@" + ("=" if typed else ""), "W": JS_START + "*;)],}", "T": JS_START, "@": "nxc(", "S": JS_STATEMENT + "Z"}
     return follow
@@ -87,7 +90,7 @@ GO_OPERATORS = {"...": "D", "<-": "A", ":=": "d", "=": "=", "++": "p", "--": "p"
 GO_START = "ncs([u*&!AFKmC"
 GO_AFTER = "u*&oL=da:.,;([)]}{pAD"
 GO_STATEMENT = GO_START + "TVRIHJBg;}{EM"
-GO_FOLLOW = {"n": GO_AFTER + "nsFKmC*[", "c": "u*&oL=a:.,;)]}{D", "s": "u*&oL=a:.,;([)]}{", ")": GO_AFTER + "nFKmC", "]": GO_AFTER + "nFKmC", "}": GO_AFTER + "Es", "(": GO_START + ")D", "[": GO_START + "]:D", "{": GO_STATEMENT + "", ",": GO_START + ")}]DG_", ";": GO_STATEMENT + "Z)", ":": GO_STATEMENT + "])}G", ".": "n(Ts", "u": GO_START, "*": GO_START, "&": GO_START, "o": GO_START, "L": GO_START, "!": GO_START, "A": GO_START + "C", "D": GO_START + ")]},", "=": GO_START + "G", "d": GO_START + "G", "a": GO_START, "p": ";{})", "P": "n", "M": "s(n.", "F": "n(", "T": "n(", "K": "{", "m": "[", "C": GO_START, "V": "n(", "R": GO_START + ";}", "I": GO_START + "{;VG", "E": "{I", "G": GO_START, "H": GO_START, "J": ":", "B": "n;}", "g": GO_START, "S": "P"}
+GO_FOLLOW = {"n": GO_AFTER + "nsFKmC*[", "c": "u*&oL=a:.,;)]}{D", "s": "u*&oL=a:.,;([)]}{", ")": GO_AFTER + "nFKmC", "]": GO_AFTER + "nFKmC", "}": GO_AFTER + "Es", "(": GO_START + ")DT", "[": GO_START + "]:D", "{": GO_STATEMENT + "", ",": GO_START + ")}]DG_", ";": GO_STATEMENT + "Z)", ":": GO_STATEMENT + "])}G", ".": "n(Ts", "u": GO_START, "*": GO_START, "&": GO_START, "o": GO_START, "L": GO_START, "!": GO_START, "A": GO_START + "C", "D": GO_START + ")]},", "=": GO_START + "G", "d": GO_START + "G", "a": GO_START, "p": ";{})", "P": "n", "M": "s(n.", "F": "n(", "T": "n()", "K": "{", "m": "[", "C": GO_START, "V": "n(", "R": GO_START + ";}", "I": GO_START + "{;VG", "E": "{I", "G": GO_START, "H": GO_START, "J": ":", "B": "n;}", "g": GO_START, "S": "P"}
 
 # --- JSON ---------------------------------------------------------------------------------------------------------
 # k key string, v any other value, : , o and l comma in an object or list
@@ -166,9 +169,9 @@ def lex_python(text: str, out: Sink) -> None:
                 continue
             begin = True
             out.end_line()
-            if prev in "SNBd>":
+            if prev in "SNOBd>":
                 continue
-            code = "B" if prev == ":" and last_open else "N"
+            code = "B" if prev == ":" and last_open else "O" if last_open else "N"
             pairs.setdefault(prev + code, line - 1)
             prev, head = code, last_open or ""
             last_open = ""
@@ -209,8 +212,8 @@ def lex_python(text: str, out: Sink) -> None:
         fresh = False
         pairs.setdefault(prev + code, line)
         prev = code
-    if depth == 0 and prev not in "SNBd>":
-        code = "B" if prev == ":" and last_open else "N"
+    if depth == 0 and prev not in "SNOBd>":
+        code = "B" if prev == ":" and last_open else "O" if last_open else "N"
         pairs.setdefault(prev + code, line)
         prev = code
     for _ in indents[1:]:
