@@ -7,7 +7,8 @@ the tokens on both sides, their case, length, digits and script, and the white s
 
 The classifier is trained on reliable boundaries of a bounded sample: an end mark before a blank line and another
 paragraph is one; a mark directly before a lower-case letter, digit or further punctuation, before a lower-case word,
-or after a title is none.
+or after a title is none. A single mark after a long word and before a lower-case word, which careful writing doesn't
+have, is left unlabelled and taken for the end of a sentence in text without capitals.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ THAI = re.compile(r"[ก-๛]")
 SPACE = re.compile(r"\s+")
 CASELESS = re.compile(r"[ऀ-෿฀-๿぀-ヿ㐀-鿿가-힯]")
 LEFT = re.compile(r"[^\s`\"“”«»„()（）「」『』*]+\Z")
+#: A sentence that begins right after the end mark of the one before, as in "it.Mr".
+GLUED = re.compile(r"\w{3}[.!?]([^\W\d_a-z]\w*)\Z")
 RIGHT = re.compile(r"[^\s`\"“”«»„()（）「」『』*]+")
 OPENERS = {"“": "”", "„": "“”", "«": "»", "‹": "›", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]", "【": "】", "《": "》"}
 BRACKETS = re.compile(r"[“”„«»‹›「」『』()（）\[\]【】《》\"]")
@@ -150,17 +153,22 @@ def features(text: str, begin: int, end: int, right: int) -> tuple[list[str], st
     if mark == "…":
         kind = "dots"
     left = LEFT.search(text, max(0, begin - 30), begin)
-    token = left[0].lower() if left else ""
-    ls = shape(left[0]) if left else "none"
+    word = left[0] if left else ""
+    glued = GLUED.search(word)
+    word = glued[1] if glued else word
+    token = word.lower()
+    ls = shape(word) if word else "none"
     gap = text[end:right]
     ws = "none" if not gap else "line" if "\n" in gap else "space"
     rk = right_kind(text, right)
+    if rk == "lower" and mark in (".", "!", "?") and gap and len(token) > 4 and token not in TITLES:
+        rk = "small"
     rt = RIGHT.match(text, right)
-    word = rt[0].lower() if rt and len(rt[0]) <= 6 else ""
+    follows = rt[0].lower() if rt and len(rt[0]) <= 6 else ""
     size = str(min(len(token), 6))
     known = token if len(token) <= 7 else ""
     dated = len(token) < 3 and token.isdigit() and rt is not None and rt[0].lower() in MONTHS
-    return [f"special={'title' if token in TITLES and kind == '.' else 'day' if dated else ''}", f"m={kind}", f"lt={known}", f"ls={ls}", f"ll={size}", f"ws={ws}", f"rk={rk}", f"rt={word}", f"m,rk={kind},{rk}", f"ls,rk={ls},{rk}", f"lt,rk={known},{rk}", f"m,ws,rk={kind},{ws},{rk}", f"ll,ls={size},{ls}"], token, rk
+    return [f"special={'title' if token in TITLES and kind == '.' else 'day' if dated else ''}", f"m={kind}", f"lt={known}", f"ls={ls}", f"ll={size}", f"ws={ws}", f"rk={rk}", f"rt={follows}", f"m,rk={kind},{rk}", f"ls,rk={ls},{rk}", f"lt,rk={known},{rk}", f"m,ws,rk={kind},{ws},{rk}", f"ll,ls={size},{ls}"], token, rk
 
 
 def hashed(names: list[str]) -> list[int]:
@@ -245,7 +253,8 @@ class Splitter:
 
     def ends(self, text: str, begin: int, end: int, right: int) -> bool:
         w = self.weights
-        return sum(w[i] for i in hashed(features(text, begin, end, right)[0])) > 0
+        names, _, kind = features(text, begin, end, right)
+        return kind == "small" or sum(w[i] for i in hashed(names)) > 0
 
     def paragraph(self, body: str) -> list[int]:
         """The beginnings of the sentences of one text block."""
