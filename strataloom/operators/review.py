@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 HUNK = re.compile(r"^@@(?: -(\d+)(?:,\d+)? \+\d+(?:,\d+)?)? ?@@?")
@@ -173,12 +173,15 @@ def keep_first(rows: list[tuple[str, str, int, int, int]], similar: float = 0.4,
 def deduped(findings: DataFrame, keys: list[str]) -> DataFrame:
     """The ids that stay of findings (id, keys, title, start_line, end_line, rank).
 
-    The rule is greedy in rank, line and id, so each file's findings are folded in order; only findings that overlap
-    another one within five lines enter the fold, the others stay as they are.
+    The rule is greedy in rank, line and id. It can only reach from finding to finding within five lines, so the fold
+    runs over each island of such findings, not over a file; findings without lines stay.
     """
     f = findings.where("title is not null and start_line is not null and end_line is not null").dropDuplicates(["id"])
+    own = Window.partitionBy(*keys).orderBy("start_line", "id")
+    f = f.withColumn("_far", F.max("end_line").over(own.rowsBetween(Window.unboundedPreceding, -1)))
+    f = f.withColumn("_island", F.sum(F.when(F.col("start_line") <= F.col("_far") + 5, 0).otherwise(1)).over(own.rowsBetween(Window.unboundedPreceding, 0)))
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"id": keep_first(list(frame[["id", "title", "start_line", "end_line", "rank"]].itertuples(index=False, name=None)))})
 
-    return f.groupBy(*keys).applyInPandas(fold, "id string").unionByName(findings.where("title is null or start_line is null or end_line is null").select("id").distinct())
+    return f.groupBy(*keys, "_island").applyInPandas(fold, "id string").unionByName(findings.where("title is null or start_line is null or end_line is null").select("id").distinct())

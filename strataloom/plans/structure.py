@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.functions import text as fn
-from strataloom.operators import extract, graph, retrieval, rules
+from strataloom.operators import captions, extract, graph, retrieval, review, rules
 from strataloom.operators.components import connected_components
 from strataloom.operators.relational import top_k
 from strataloom.plans.registry import Registry
@@ -199,6 +199,42 @@ def p02_addresses(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("value").alias("n_distinct"))
 
 
+@query()
+def u07_dedupe(spark: SparkSession, sf: str) -> DataFrame:
+    """U-07, V-03: findings of a file that overlap and read alike, the worst stays."""
+    f = live(spark, sf).where("file_path is not null").withColumn("rank", rank_of())
+    return review.deduped(f.select("id", "project_id", "file_path", "title", "start_line", "end_line", "rank"), ["project_id", "file_path"])
+
+
+@query("""WITH c AS (SELECT DISTINCT ON (f.id) f.id AS claim_id, f.start_line, trim(f.evidence) AS q, b.content FROM findings f JOIN (SELECT project_id, path, min(hash) AS hash FROM files WHERE hash IS NOT NULL GROUP BY ALL) x ON x.project_id = f.project_id AND x.path = f.file_path JOIN blobs b USING (hash)),
+l AS (SELECT claim_id, start_line, q, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS n FROM c WHERE q <> '' AND contains(content, q))
+SELECT c.claim_id, CAST((SELECT n FROM l WHERE l.claim_id = c.claim_id AND contains(line, l.q) ORDER BY abs(n - l.start_line), n LIMIT 1) AS BIGINT) AS line_no FROM c""")
+def x33_reanchor(spark: SparkSession, sf: str) -> DataFrame:
+    """X-33, V-02: the line of a finding's file that holds its evidence."""
+    paths = load(spark, sf, "files").where("hash is not null").groupBy("project_id", F.col("path").alias("file_path")).agg(F.min("hash").alias("hash"))
+    claims = load(spark, sf, "findings").dropDuplicates(["id"]).join(paths, ["project_id", "file_path"]).join(load(spark, sf, "blobs").select("hash"), "hash", "left_semi")
+    claims = claims.select(F.col("id").alias("claim_id"), "hash", "start_line", F.coalesce("evidence", F.lit("")).alias("quote"))
+    return review.reanchored(claims, load(spark, sf, "blobs").select("hash", "content"), ["hash"]).select("claim_id", F.col("line_no").cast("long").alias("line_no"))
+
+
+def _timed(spark: SparkSession, sf: str) -> DataFrame:
+    e = load(spark, sf, "events")
+    ms = F.col("event_id") * 400
+    return e.select(F.col("user_id").alias("track"), F.col("event_type").alias("section"), F.col("event_id").cast("int").alias("idx"), "event_type", ms.alias("start_ms"), (ms + 300).alias("end_ms")).withColumnRenamed("event_type", "text")
+
+
+@query()
+def w12_cues(spark: SparkSession, sf: str) -> DataFrame:
+    """W-12, B-12: timed words folded into cues."""
+    return captions.cues(_timed(spark, sf))
+
+
+@query()
+def k12_vtt(spark: SparkSession, sf: str) -> DataFrame:
+    """K-12, S-14: a caption file per track."""
+    return captions.vtt(captions.cues(_timed(spark, sf)))
+
+
 # --- jobs and streams ----------------------------------------------------------------------------------------------
 
 
