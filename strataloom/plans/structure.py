@@ -193,7 +193,7 @@ def d03_settings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH d AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) AS value FROM documents) SELECT doc_id, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT value) AS BIGINT) AS n_distinct FROM d GROUP BY doc_id""")
-def p02_addresses(spark: SparkSession, sf: str) -> DataFrame:
+def pii02_addresses(spark: SparkSession, sf: str) -> DataFrame:
     """P-02: e-mail addresses in documents."""
     found = load(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"), F.lit(0))).alias("value"))
     return found.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("value").alias("n_distinct"))
