@@ -129,6 +129,21 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_evidence": p1_evidence, "p3_found": p3_found, "p3_faults": p3_faults, "p3_rates": p3_rates, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_shares": p5_shares, "p5_groups": p5_groups, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p7_places": p7_places, "p7_redacted": p7_redacted, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_sentences": p10_sentences}
+_WINDOWS = """w AS (SELECT DISTINCT b.hash, i, hash(substr(b.content, i, 240)) AS h FROM (SELECT DISTINCT hash, content FROM blobs WHERE content IS NOT NULL) b, LATERAL (SELECT unnest(range(1, length(b.content) - 238)) AS i)),
+t AS (SELECT h FROM w GROUP BY h HAVING min(hash) <> max(hash)), s AS (SELECT hash, i FROM w WHERE h IN (SELECT h FROM t))"""
+
 ORACLES: dict[str, str] = {
     "p4_found": "SELECT DISTINCT f.id AS file_id FROM files f JOIN blobs b ON b.hash = f.hash WHERE f.id IS NOT NULL AND length(b.content) > 6000",
+    "p5_found": f"WITH {_WINDOWS} SELECT DISTINCT hash FROM s",
+    "p5_shares": f"""WITH {_WINDOWS}, c AS (SELECT hash, least(240, coalesce(lead(i) OVER (PARTITION BY hash ORDER BY i) - i, 240)) AS n FROM s)
+SELECT b.hash, b.n_chars, coalesce((SELECT sum(n) FROM c WHERE c.hash = b.hash), 0) AS shared_chars FROM (SELECT hash, max(coalesce(length(content), 0)) AS n_chars FROM blobs GROUP BY hash) b""",
+    "p6_found": r"""WITH t AS (SELECT DISTINCT id, regexp_extract_all(lower(concat_ws(chr(10), title, what_happens, remediation)), '[\p{L}\p{N}]+') AS w FROM findings),
+e AS (SELECT id, n, word, row_number() OVER (PARTITION BY id, word) AS k FROM (SELECT id, len(w) AS n, unnest(w) AS word FROM t))
+SELECT a.id AS finding_a, b.id AS finding_b FROM e a JOIN e b ON a.word = b.word AND a.k = b.k AND a.id < b.id GROUP BY a.id, b.id, a.n, b.n HAVING count(*) * 10 >= greatest(a.n, b.n) * 8""",
+    "p8_found": r"""WITH i AS (SELECT item_id, coalesce(lang IN ('zh', 'ja'), FALSE) AS cjk, lower(text) AS t FROM eval_items WHERE text IS NOT NULL), d AS (SELECT doc_id, lower(text) AS t FROM documents WHERE text IS NOT NULL),
+iw AS (SELECT item_id, regexp_extract_all(t, '[\p{L}\p{N}]+') AS w FROM i WHERE NOT cjk), dw AS (SELECT doc_id, regexp_extract_all(t, '[\p{L}\p{N}]+') AS w FROM d),
+ig AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, k, k + 11), ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 10)) AS k FROM iw)), dg AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, k, k + 11), ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 10)) AS k FROM dw)),
+ic AS (SELECT item_id, regexp_replace(t, '[^\p{L}\p{N}]', '', 'g') AS s FROM i WHERE cjk), dc AS (SELECT doc_id, regexp_replace(t, '[^\p{L}\p{N}]', '', 'g') AS s FROM d),
+ih AS (SELECT DISTINCT item_id, substr(s, k, 30) AS g FROM (SELECT *, unnest(range(1, length(s) - 28)) AS k FROM ic)), dh AS (SELECT DISTINCT doc_id, substr(s, k, 30) AS g FROM (SELECT *, unnest(range(1, length(s) - 28)) AS k FROM dc))
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g) UNION SELECT DISTINCT doc_id, item_id FROM dh JOIN ih USING (g)""",
 }
