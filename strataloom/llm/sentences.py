@@ -16,7 +16,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -250,11 +250,23 @@ class Splitter:
     """Cuts texts with trained weights."""
 
     weights: list[float]
+    known: dict[str, float] = field(default_factory=dict)
 
     def ends(self, text: str, begin: int, end: int, right: int) -> bool:
-        w = self.weights
+        if right == end and (text[end].islower() or text[end].isdigit()):
+            return False  # what the labels are certain of needs no classifier
         names, _, kind = features(text, begin, end, right)
-        return kind == "small" or sum(w[i] for i in hashed(names)) > 0
+        if kind == "small":
+            return True
+        known, total = self.known, 0.0
+        for n in names:
+            w = known.get(n)
+            if w is None:
+                if len(known) > 200_000:
+                    known.clear()
+                w = known[n] = self.weights[zlib.crc32(n.encode()) & (FEATURES - 1)]
+            total += w
+        return total > 0
 
     def paragraph(self, body: str) -> list[int]:
         """The beginnings of the sentences of one text block."""
