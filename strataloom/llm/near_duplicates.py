@@ -6,8 +6,9 @@ class is compared.
 
 The wanted overlap (words shared over words of the longer record) of at least s means a Jaccard similarity of the
 element sets of at least s / (2 - s). Bands are tuned for that value: BANDS bands of ROWS rows miss a pair just at the
-threshold s = 0.8 with probability (1 - (2/3)**8)**64 = 0.08, one of overlap 0.82 with 0.03 and of 0.85 with 0.003. Pairs that meet in
-a band compare one-byte signatures in batches; after each batch a pair is dropped when the posterior probability
+threshold s = 0.8 with probability (1 - (2/3)**8)**150 = 0.0026, one of overlap 0.82 with 0.0003. GROUP bands at a time
+are shuffled and their pairs written, and their shuffle files go before the next ones, so that disk does not grow with
+the number of bands; words are hashed once. Pairs that meet in a band compare one-byte signatures in batches; after each batch a pair is dropped when the posterior probability
 (uniform prior) that it reaches the threshold is below MISS. Survivors are verified exactly.
 """
 
@@ -25,7 +26,10 @@ from pyspark.sql import functions as F
 from strataloom.llm.arrays import U64, Rolling, chunks, code_points, lower, mix, word_spans
 from strataloom.session import written
 
-BANDS, ROWS, SIGNATURE, BATCH, MISS = 64, 8, 64, 16, 1e-4
+BANDS, ROWS, SIGNATURE, BATCH, MISS = 150, 8, 64, 16, 1e-4
+GROUP = 50
+PAIRS = 1 << 20
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 FILTER_BITS = 26
 
 
@@ -53,12 +57,16 @@ def _coefficients() -> np.ndarray:
     return (mix(np.arange(1, n + 1, dtype=U64)) >> U64(32)).astype(np.uint32) | np.uint32(1)
 
 
-def minhashes(items: np.ndarray, lo: int, hi: int) -> np.ndarray:
-    """The smallest 32-bit hash of the items under each of the hash functions ``lo`` to ``hi``."""
+def shortened(items: np.ndarray) -> np.ndarray:
+    """The 32-bit hashes of the items that MinHash works on."""
+    return (mix(items) >> U64(32)).astype(np.uint32)
+
+
+def minhashes(short: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """The smallest value of the 32-bit hashes under each of the hash functions ``lo`` to ``hi``."""
     a = _coefficients()[lo:hi]
-    short = (mix(items) >> U64(32)).astype(np.uint32)
     low = np.full(len(a), np.iinfo(np.uint32).max, dtype=np.uint32)
-    for at in range(0, len(items), 128):
+    for at in range(0, len(short), 128):
         np.minimum(low, (short[at : at + 128, None] * a).min(axis=0), out=low)
     return low
 
@@ -75,17 +83,67 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
 def _bag_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         bags = elements(batch.column(1))
-        signatures = [mix(minhashes(x, BANDS * ROWS, BANDS * ROWS + SIGNATURE)).astype(np.uint8).tobytes() for x in bags]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([_bag(x) for x in bags], type=pa.int64()), pa.array([len(x) for x in bags], type=pa.int32()), pa.array(signatures, type=pa.binary())], names=["id", "text", "bag", "words", "signature"])
+        shorts = [shortened(x) for x in bags]
+        signatures = [mix(minhashes(x, BANDS * ROWS, BANDS * ROWS + SIGNATURE)).astype(np.uint8).tobytes() for x in shorts]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(2), pa.array([_bag(x) for x in bags], type=pa.int64()), pa.array([len(x) for x in bags], type=pa.int32()), pa.array(signatures, type=pa.binary()), pa.array([x.tobytes() for x in shorts], type=pa.binary())],
+            names=["id", "text", "bag", "words", "signature", "short"],
+        )
 
 
-def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _band_rows(batches: Iterator[pa.RecordBatch], lo: int, hi: int) -> Iterator[pa.RecordBatch]:
     salt = mix(np.arange(1, ROWS + 1, dtype=U64)) | U64(1)
-    number = np.arange(BANDS, dtype=U64) * U64(0xD6E8FEB86659FD93)
+    number = np.arange(lo, hi, dtype=U64) * U64(0xD6E8FEB86659FD93)
+    for batch in batches:
+        once = dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        bands = [mix((minhashes(np.frombuffer(x, dtype=np.uint32), lo * ROWS, hi * ROWS).reshape(hi - lo, ROWS) * salt).sum(axis=1, dtype=U64) + number) for x in once.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.array([], dtype=U64), *bands]).view(np.int64)), pa.array(np.repeat(np.array(list(once), dtype=np.int64), hi - lo))], names=["band", "bag"])
+
+
+def _met_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) with a < b of each two bags of a band, from rows in the order of their bands; a band may span batches."""
+
+    def pairs(band: np.ndarray, bag: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((bag, band))
+        band, bag = band[order], bag[order]
+        new = np.concatenate([[True], (band[1:] != band[:-1]) | (bag[1:] != bag[:-1])])[: len(band)]
+        band, bag = band[new], bag[new]
+        after = np.searchsorted(band, band, side="right") - np.arange(len(band)) - 1
+        total = np.concatenate([[0], np.cumsum(after)])
+        at = 0
+        while at < len(band) and total[at] < total[-1]:
+            end = max(at + 1, int(np.searchsorted(total, total[at] + PAIRS, side="right")) - 1)
+            n = after[at:end]
+            x = np.repeat(np.arange(at, end), n)
+            y = x + 1 + np.arange(len(x)) - np.repeat(total[at:end] - total[at], n)
+            yield pa.RecordBatch.from_arrays([pa.array(bag[x]), pa.array(bag[y])], names=["a", "b"])
+            at = end
+
+    band = bag = np.array([], dtype=np.int64)
     for batch in batches:
-        once = {_bag(x): x for x in elements(batch.column(0)) if len(x)}
-        bands = [mix((minhashes(x, 0, BANDS * ROWS).reshape(BANDS, ROWS) * salt).sum(axis=1, dtype=U64) + number) for x in once.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.array([], dtype=U64), *bands]).view(np.int64)), pa.array(np.repeat(np.array(list(once), dtype=np.int64), BANDS))], names=["band", "bag"])
+        if not len(batch):
+            continue
+        band, bag = np.concatenate([band, batch.column(0).to_numpy()]), np.concatenate([bag, batch.column(1).to_numpy()])
+        whole = np.searchsorted(band, band[-1])
+        yield from pairs(band[:whole], bag[:whole])
+        band, bag = band[whole:], bag[whole:]
+    yield from pairs(band, bag)
+
+
+def met_pairs(bags: DataFrame) -> DataFrame:
+    """(a, b) of the bags that meet in a band, from (bag, short); ``GROUP`` bands are on disk at a time."""
+    conf, out = bags.sparkSession.conf, None
+    before = conf.get(CLEANUP)
+    conf.set(CLEANUP, "true")
+    try:
+        for lo in range(0, BANDS, GROUP):
+            hi = min(lo + GROUP, BANDS)
+            banded = bags.mapInArrow(lambda b, lo=lo, hi=hi: _band_rows(b, lo, hi), "band long, bag long")
+            part = written(banded.repartition("band").sortWithinPartitions("band").mapInArrow(_met_rows, "a long, b long").distinct())
+            out = part if out is None else out.unionByName(part)
+        return written(out.distinct())
+    finally:
+        conf.set(CLEANUP, before)
 
 
 def _slot(bags: np.ndarray) -> np.ndarray:
@@ -155,15 +213,13 @@ def texts_of(df: DataFrame, id_column: str, texts: Sequence[str]) -> DataFrame:
     return df.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("string").alias("id"), F.concat_ws("\n", *[F.col(t).cast("string") for t in texts]).alias("t"))
 
 
-def near_bags(records: DataFrame, members: DataFrame, overlap: float) -> DataFrame:
+def near_bags(records: DataFrame, members: DataFrame, bags: DataFrame, overlap: float) -> DataFrame:
     """(a, b, similarity) of the word multisets that are near but not equal.
 
-    Copies are one row per band and batch already where the bands are made. Words are made a second time for the pairs
+    ``bags`` has (bag, short); copies are one row per band and batch already where the bands are made. Words are made a second time for the pairs
     that are left, rather than kept or shuffled for all; a bit field of fixed size picks their texts in the scan.
     """
-    banded = records.select("t").mapInArrow(_band_rows, "band long, bag long").repartition("band").dropDuplicates(["band", "bag"])
-    met = banded.alias("x").join(banded.alias("y").hint("merge"), (F.col("x.band") == F.col("y.band")) & (F.col("x.bag") < F.col("y.bag")))
-    met = written(met.select(F.col("x.bag").alias("a"), F.col("y.bag").alias("b")).distinct())
+    met = met_pairs(bags)
     marks = members.groupBy("bag").agg(F.first("signature").alias("signature"))
     pairs = met.join(marks.withColumnsRenamed({"bag": "a", "signature": "sa"}).hint("merge"), "a").join(marks.withColumnsRenamed({"bag": "b", "signature": "sb"}).hint("merge"), "b")
     jaccard = overlap / (2 - overlap)
@@ -184,8 +240,9 @@ def near_duplicates(df: DataFrame, id_column: str, texts: Sequence[str], overlap
     count once. Other columns are ignored. A record delivered with several texts is a member of several classes.
     """
     records = texts_of(df, id_column, texts)
-    members = written(records.select("id", "t", F.xxhash64("t").alias("text")).mapInArrow(_bag_rows, "id string, text long, bag long, words int, signature binary").where("words > 0").select("id", "text", "bag", "signature").distinct())
-    return members.select("id", F.col("bag").alias("rep")).distinct(), near_bags(records, members, overlap)
+    bags = written(records.select("id", "t", F.xxhash64("t").alias("text")).mapInArrow(_bag_rows, "id string, text long, bag long, words int, signature binary, short binary").where("words > 0"))
+    members = written(bags.select("id", "text", "bag", "signature").distinct())
+    return members.select("id", F.col("bag").alias("rep")).distinct(), near_bags(records, members, bags.select("bag", "short"), overlap)
 
 
 def record_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:

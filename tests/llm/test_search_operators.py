@@ -44,6 +44,30 @@ def test_near_duplicates_against_brute_force(spark, seed):
     assert ("short", "short2") in got and ("copy", "r0") in got
 
 
+def test_near_duplicates_at_the_threshold(spark):
+    r = random.Random(5)
+    rows = []
+    for i in range(500):
+        ws = [f"w{r.randrange(10**9)}" for _ in range(120)]
+        rows += [(f"a{i}", " ".join(ws[:100])), (f"b{i}", " ".join(ws[20:]))]
+    members, pairs = near_duplicates.near_duplicates(spark.createDataFrame(rows, "id string, t string"), "id", ["t"])
+    got = {(x.a, x.b) for x in near_duplicates.record_pairs(members, pairs).collect()}
+    assert got <= {(f"a{i}", f"b{i}") for i in range(500)}
+    assert len(got) >= 490  # of 500 pairs of overlap 0.80
+
+
+def test_pairs_of_a_band_over_batches(monkeypatch):
+    import pyarrow as pa
+
+    r = random.Random(3)
+    rows = sorted((r.randrange(12), r.randrange(30)) for _ in range(150))
+    monkeypatch.setattr(near_duplicates, "PAIRS", 7)
+    batches = [pa.RecordBatch.from_arrays([pa.array([x for x, _ in part]), pa.array([y for _, y in part])], names=["band", "bag"]) for part in (rows[k : k + 9] for k in range(0, 150, 9))]
+    got = [(x, y) for out in near_duplicates._met_rows(iter(batches)) for x, y in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True)]
+    expected = [(y, z) for band in range(12) for y in {b for a, b in rows if a == band} for z in {b for a, b in rows if a == band} if y < z]
+    assert sorted(got) == sorted(expected)
+
+
 def test_near_duplicates_of_nothing(spark):
     df = spark.createDataFrame([], "id string, t string")
     members, pairs = near_duplicates.near_duplicates(df, "id", ["t"])
