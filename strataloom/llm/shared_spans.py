@@ -78,11 +78,12 @@ def _owned_twice(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.min("owner").alias("lo"), F.max("owner").alias("hi")).where("lo <> hi").select(key)
 
 
-def shared_windows(df: DataFrame, id_column: str, text: str, span: int = SPAN, k: int = K) -> DataFrame:
+def shared_windows(df: DataFrame, id_column: str, text: str, span: int = SPAN, k: int = K, links: bool = False) -> DataFrame:
     """(owner, at, window): windows of ``span`` characters that also stand in another record, enough to cover all.
 
     ``owner`` is the 64-bit hash of the id, ``at`` the window's place, ``window`` its hash. Every character of a shared
-    stretch lies in one of the windows.
+    stretch lies in one of the windows. With ``links`` any two owners of a window are also linked through the windows
+    given: runs of one smallest K-gram that are not all equal are resolved window by window, settled or not.
     """
     base = df.where(F.col(id_column).isNotNull() & F.col(text).isNotNull()).select(F.xxhash64(id_column).alias("owner"), F.col(text).alias("content"))
     found = written(base.where(F.length("content") >= span).mapInArrow(lambda b: _run_rows(b, span, k), "owner long, at int, size smallint, low long, head long, tail long"))
@@ -91,6 +92,9 @@ def shared_windows(df: DataFrame, id_column: str, text: str, span: int = SPAN, k
     good = written(ends.join(_owned_twice(ends.select("window", "owner"), "window").hint("merge"), "window", "left_semi").distinct())
     settled = good.groupBy("owner", "at", "size").agg(F.count_distinct("place").alias("n")).where((F.col("n") == 2) | (F.col("size") == 1)).select("owner", "at", "size")
     unsettled = met.join(settled, ["owner", "at", "size"], "left_anti").select("low").distinct()
+    if links:
+        differ = " or ".join(f"min({c}) <> max({c})" for c in ("head", "tail", "size"))
+        unsettled = unsettled.unionByName(met.groupBy("low").agg(F.expr(differ).alias("differ")).where("differ").select("low")).distinct()
     open_runs = met.join(unsettled.hint("merge"), "low", "left_semi").groupBy("owner").agg(F.collect_list("at").alias("ats"), F.collect_list("size").alias("sizes"))  # of one record each
     singles = written(base.join(open_runs, "owner").select("owner", "content", "ats", "sizes").mapInArrow(lambda b: _window_rows(b, span), "owner long, at int, window long"))
     more = singles.join(_owned_twice(singles.select("window", "owner"), "window").hint("merge"), "window", "left_semi")
@@ -127,7 +131,7 @@ def sharing_groups(df: DataFrame, id_column: str, text: str, span: int = SPAN, k
 
     Each window links its owners to the smallest of them, so a window of n owners gives n - 1 links.
     """
-    windows = shared_windows(df, id_column, text, span, k).select("window", "owner").distinct()
+    windows = shared_windows(df, id_column, text, span, k, links=True).select("window", "owner").distinct()
     least = windows.groupBy("window").agg(F.min("owner").alias("low"))
     links = windows.join(least.hint("merge"), "window").where("owner <> low").select(F.col("owner").alias("a"), F.col("low").alias("b")).distinct()
     groups = connected_components(links)

@@ -218,3 +218,20 @@ def test_pieces(spark):
     df = spark.createDataFrame([("a", "é" * 6000), ("b", "é" * 6001), ("b", "é" * 6001), ("c", None), ("d", ""), (None, "x" * 9000)], "id string, t string").withColumn("content", F.lit("clash"))
     rows = splitting.pieces(df, "id", "t").orderBy("piece_no").collect()
     assert [(r.id, r.piece_no, r.start_char, r.own_char, r.end_char) for r in rows] == [("b", 0, 0, 0, 5800), ("b", 1, 5600, 5800, 6001)]
+
+
+def test_sharing_groups_link_pairs_of_copies(spark):
+    r = random.Random(11)
+
+    def text(n):
+        return "".join(r.choices(string.ascii_lowercase, k=n))
+
+    rows = []
+    for i, n in enumerate(range(240, 341, 10)):
+        common = text(n)
+        for side in "ab":
+            before, after = text(500), text(500)
+            rows += [(f"{i}{side}{c}", text(50) + before + common + after + text(50)) for c in "12"]
+    df = spark.createDataFrame(rows, "id string, t string")
+    groups = {x.id: x.group for x in shared_spans.sharing_groups(df, "id", "t").collect()}
+    assert groups == {i: i[:-2] + "a1" for i, _ in rows}
