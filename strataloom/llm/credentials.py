@@ -2,8 +2,9 @@
 
 Pass one indexes the literals of the whole corpus that stand where a credential could stand: values of provider
 formats, values beside a name of a secret, parts of addresses and headers, bodies of private keys, encoded values of
-secret manifests. A literal that very many different contents hold is a placeholder and suppressed; rare structured
-values are confirmed. Pass two reads every content again and finds the confirmed values wherever they stand, with an
+secret manifests. A literal that very many unlike contents hold is a placeholder and suppressed; rare structured
+values are confirmed, and so are private keys and provider formats unless
+their own text is repetitive too. Pass two reads every content again and finds the confirmed values wherever they stand, with an
 Aho-Corasick automaton, block by block of confirmed values.
 """
 
@@ -18,13 +19,18 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.session import written
 
-#: A value held by more different contents than this is a placeholder.
+#: A value held by more groups of near-copies than this, and than this share of all contents, is a placeholder.
 MOST_OWNERS = 50
+MOST_SHARE = 0.003
+#: Kinds that many owners alone don't suppress, and the bits per character below which a value is repetitive.
+CERTAIN = ("private key", "provider")
+DULL = 2.5
 #: Confirmed values per automaton.
 BLOCK = 50_000
 #: Values shorter than this are not searched for elsewhere.
@@ -184,23 +190,33 @@ def candidates(text: str) -> list[tuple[int, int, int, str, str]]:
     return out
 
 
+def sketch(text: str) -> int:
+    """The least hash of what stands before the first = or : of each line: mostly equal for near-copies."""
+    return min((xxhash.xxh64_intdigest(x.strip()) for x in (re.split("[=:]", line, maxsplit=1)[0] for line in text.split("\n")) if x.strip()), default=0) - (1 << 63)
+
+
 def literal_index(df: DataFrame, id_column: str, text: str) -> DataFrame:
-    """(id, line_no, begin, end, kind, value) of every candidate of every text."""
+    """(id, line_no, begin, end, kind, value, sketch, dull) of every candidate of every text; ``sketch`` is the text's, ``dull`` a repetitive value."""
     kind = df.schema[id_column].dataType.simpleString()
     rows = df.where(F.col(id_column).isNotNull() & F.col(text).isNotNull()).select(F.col(id_column).alias("id"), F.col(text).alias("t"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            found = [(i, *c) for i, t in zip(frame["id"], frame["t"], strict=True) for c in candidates(t)]
-            yield pd.DataFrame(found, columns=["id", "line_no", "begin", "end", "kind", "value"])
+            each = ((i, t, candidates(t)) for i, t in zip(frame["id"], frame["t"], strict=True))
+            found = [(i, *c, like, entropy(c[4][-24:]) < DULL) for i, t, cs in each if cs for like in [sketch(t)] for c in cs]
+            yield pd.DataFrame(found, columns=["id", "line_no", "begin", "end", "kind", "value", "sketch", "dull"])
 
-    return rows.mapInPandas(run, f"id {kind}, line_no int, begin int, end int, kind string, value string")
+    return rows.mapInPandas(run, f"id {kind}, line_no int, begin int, end int, kind string, value string, sketch long, dull boolean")
 
 
 def confirmed(index: DataFrame, most_owners: int = MOST_OWNERS) -> DataFrame:
-    """The candidates whose value at most ``most_owners`` different texts hold."""
-    owners = index.groupBy("value").agg(F.count_distinct("id").alias("owners")).where(F.col("owners") <= most_owners).select("value")
-    return index.join(owners, "value", "left_semi")
+    """The candidates but placeholders: repetitive values of more than ``most_owners`` texts, and others, unless of a
+    certain kind, of more than ``most_owners`` groups of near-copies."""
+    spread = index.groupBy("value").agg(
+        F.count_distinct("id").alias("owners"), F.count_distinct("sketch").alias("groups"), F.max(F.col("kind").isin(*CERTAIN)).alias("certain"), F.max("dull").alias("dull")
+    )
+    kept = F.when(F.col("dull"), F.col("owners") <= most_owners).otherwise(F.col("certain") | (F.col("groups") <= most_owners))
+    return index.join(spread.where(kept).select("value"), "value", "left_semi").drop("sketch", "dull")
 
 
 def _scan(frames: Iterator[pd.DataFrame], values: list[str]) -> Iterator[pd.DataFrame]:
@@ -243,7 +259,9 @@ def credentials(df: DataFrame, id_column: str, text: str, most_owners: int = MOS
     Null and empty texts hold none; rows without id are left out; repeated rows count once. The line of a private key
     is that of its BEGIN mark, its value the key's body.
     """
-    sure = written(confirmed(written(literal_index(df, id_column, text)), most_owners))
+    index = written(literal_index(df, id_column, text))
+    contents = df.where(F.col(text).isNotNull()).select(id_column).distinct().count()
+    sure = written(confirmed(index, max(most_owners, int(MOST_SHARE * contents))))
     known = sure.where("kind not in ('private key', 'encoded')")
     places = sure.unionByName(rescan(df, id_column, text, known))
     return places.groupBy("id", "line_no", "begin", "end").agg(F.min("kind").alias("kind"))

@@ -139,6 +139,14 @@ def test_credentials(spark):
     assert many == {("b0", 2), ("bare", 3)}
 
 
+def test_credentials_of_many_owners(spark):
+    key, password, sample = "AKIA" + "QZ7RM4KX2WPL9TDN", "Vq7%hTz2LpXw", "Kd93#mWq81Ze"
+    family = [(f"f{i}", f"name = service{i}\nregion = north\naws = {key}\ndb_password = {password}\n") for i in range(60)]
+    unlike = [(f"u{i}", f"head{i} = {i}\nother{i * 7} = 2\nthird{i * 11} = 3\npassword = {sample}\n") for i in range(400)]
+    lines = {(r.id, r.line_no) for r in credentials.credentials(spark.createDataFrame(family + unlike, "id string, t string"), "id", "t").collect()}
+    assert lines == {(i, n) for i, _ in family for n in (3, 4)}
+
+
 def test_credentials_of_nothing(spark):
     df = spark.createDataFrame([], "id string, t string")
     assert credentials.credentials(df, "id", "t").count() == 0
