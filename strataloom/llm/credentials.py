@@ -33,8 +33,10 @@ CERTAIN = ("private key", "provider")
 DULL = 2.5
 #: Confirmed values per automaton.
 BLOCK = 50_000
-#: Values shorter than this are not searched for elsewhere.
+#: Values shorter than this are searched for between token boundaries, and only if they don't look like a word.
 SEARCHED = 12
+#: Characters of a value in the automaton; the rest is compared in the text.
+HEAD = 64
 
 # Public formats of credentials.
 PROVIDER = re.compile(
@@ -69,6 +71,9 @@ PLACEHOLDER = re.compile(
 )
 PATHLIKE = re.compile(r"(?:[\w@.-]+/)+[\w.-]*\.[a-z]{1,5}$|^(?:[a-z_-]+/)+[a-zA-Z_.-]+$|://|^[\w.-]+\.(?:py|js|ts|tsx|go|json|ya?ml|md|invalid|com|org|net|io)\b")
 IDENTIFIER = re.compile(r"[A-Za-z_$][a-zA-Z_$.]*\d{0,3}(?:\(.*|:|\)+)?$")
+TOKEN = re.compile(r"\w")
+#: What stands before a body that is meant to be public.
+PUBLISHED = re.compile(r"-----BEGIN [A-Z0-9 ]*(?:PUBLIC KEY|CERTIFICATE)[A-Z ]*-----\s*\Z")
 CALL = re.compile(r"[A-Za-z_$][\w$.]*\(")
 
 
@@ -196,17 +201,20 @@ def sketch(text: str) -> int:
 
 
 def literal_index(df: DataFrame, id_column: str, text: str) -> DataFrame:
-    """(id, line_no, begin, end, kind, value, sketch, dull) of every candidate of every text; ``sketch`` is the text's, ``dull`` a repetitive value."""
+    """(id, line_no, begin, end, kind, value, sketch, dull, raw) of every candidate of every text.
+
+    ``sketch`` is the text's, ``dull`` marks a repetitive value, ``raw`` is the value as it stands in the text.
+    """
     kind = df.schema[id_column].dataType.simpleString()
     rows = df.where(F.col(id_column).isNotNull() & F.col(text).isNotNull()).select(F.col(id_column).alias("id"), F.col(text).alias("t"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             each = ((i, t, candidates(t)) for i, t in zip(frame["id"], frame["t"], strict=True))
-            found = [(i, *c, like, entropy(c[4][-24:]) < DULL) for i, t, cs in each if cs for like in [sketch(t)] for c in cs]
-            yield pd.DataFrame(found, columns=["id", "line_no", "begin", "end", "kind", "value", "sketch", "dull"])
+            found = [(i, *c, like, entropy(c[4][-24:]) < DULL, t[c[1] : c[2]].rstrip(" \t\r\n\"'`,") if c[3] == "private key" else c[4]) for i, t, cs in each if cs for like in [sketch(t)] for c in cs]
+            yield pd.DataFrame(found, columns=["id", "line_no", "begin", "end", "kind", "value", "sketch", "dull", "raw"])
 
-    return rows.mapInPandas(run, f"id {kind}, line_no int, begin int, end int, kind string, value string, sketch long, dull boolean")
+    return rows.mapInPandas(run, f"id {kind}, line_no int, begin int, end int, kind string, value string, sketch long, dull boolean, raw string")
 
 
 def confirmed(index: DataFrame, most_owners: int = MOST_OWNERS) -> DataFrame:
@@ -221,20 +229,29 @@ def confirmed(index: DataFrame, most_owners: int = MOST_OWNERS) -> DataFrame:
 
 def _scan(frames: Iterator[pd.DataFrame], values: list[str]) -> Iterator[pd.DataFrame]:
     automaton = ahocorasick.Automaton()
+    heads: dict[str, list[str]] = {}
     for v in values:
-        automaton.add_word(v, v)
+        heads.setdefault(v[:HEAD], []).append(v)
+    for head, whole in heads.items():
+        automaton.add_word(head, (len(head), whole))
     automaton.make_automaton()
     for frame in frames:
         found = []
         for i, t in zip(frame["id"], frame["t"], strict=True):
             at = line = 0
-            for end, value in automaton.iter(t):
-                begin = end + 1 - len(value)
-                if begin < at:
-                    at = line = 0
-                line += t.count("\n", at, begin)
-                at = begin
-                found.append((i, line + 1, begin, end + 1, "known value", value))
+            for last, (n, whole) in automaton.iter(t):
+                begin = last + 1 - n
+                for value in whole:
+                    end = begin + len(value)
+                    if not t.startswith(value, begin) or len(value) < SEARCHED and (TOKEN.match(t[begin - 1 : begin]) or TOKEN.match(t[end : end + 1])):
+                        continue
+                    if PUBLISHED.search(t, max(0, begin - 80), begin):
+                        continue
+                    if begin < at:
+                        at = line = 0
+                    line += t.count("\n", at, begin)
+                    at = begin
+                    found.append((i, line + 1, begin, end, "known value", value))
         yield pd.DataFrame(found, columns=["id", "line_no", "begin", "end", "kind", "value"])
 
 
@@ -242,7 +259,8 @@ def rescan(df: DataFrame, id_column: str, text: str, known: DataFrame, block: in
     """Every place of the known values (column ``value``) in every text, an automaton of ``block`` values at a time."""
     kind = df.schema[id_column].dataType.simpleString()
     rows = df.where(F.col(id_column).isNotNull() & F.col(text).isNotNull()).select(F.col(id_column).alias("id"), F.col(text).alias("t"))
-    values = known.where(F.length("value") >= SEARCHED).select("value").distinct()
+    structured = F.udf(lambda v: plausible(v), "boolean")
+    values = known.select("value").distinct().where(F.when(F.length("value") >= SEARCHED, F.lit(True)).otherwise(structured("value")))
     number = math.ceil(values.count() / block) or 1
     values = values.withColumn("block", F.pmod(F.xxhash64("value"), F.lit(number)))
     out = None
@@ -262,8 +280,9 @@ def credentials(df: DataFrame, id_column: str, text: str, most_owners: int = MOS
     index = written(literal_index(df, id_column, text))
     contents = df.where(F.col(text).isNotNull()).select(id_column).distinct().count()
     sure = written(confirmed(index, max(most_owners, int(MOST_SHARE * contents))))
-    known = sure.where("kind not in ('private key', 'encoded')")
-    places = sure.unionByName(rescan(df, id_column, text, known))
+    keys = sure.where("kind = 'private key'").select("id", "begin")  # found again at their bodies
+    again = rescan(df, id_column, text, sure.select(F.col("raw").alias("value"))).join(keys, ["id", "begin"], "left_anti")
+    places = sure.drop("raw").unionByName(again)
     return places.groupBy("id", "line_no", "begin", "end").agg(F.min("kind").alias("kind"))
 
 
