@@ -45,7 +45,7 @@ def nearest(vectors: DataFrame, id_column: str, vector: str, queries: DataFrame,
     """(query_id, id, similarity, rank): the ``k`` vectors of highest cosine for each query vector, itself excluded.
 
     Exact: blocks of ``block`` query vectors go over all vectors; each task keeps its own best ``k`` per query before
-    the shuffle. Vectors of another length than the query's, and null ones, are skipped; all-zero ones have cosine 0.
+    the shuffle, by the rounded cosine and then by id as in the result. Vectors of another length than the query's, and null ones, are skipped; all-zero ones have cosine 0.
     """
     spark = vectors.sparkSession
     asked = queries.select(F.col(id_column).alias("q"), F.col(vector).alias("v")).where("v is not null")
@@ -66,11 +66,12 @@ def nearest(vectors: DataFrame, id_column: str, vector: str, queries: DataFrame,
                 frame = frame[frame["v"].map(lambda v: v is not None and len(v) == q.shape[1])]
                 if not len(frame):
                     continue
+                frame = frame.sort_values("id", kind="stable", na_position="first")
                 x = np.array(frame["v"].tolist(), dtype=np.float64)
                 s = q @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T
                 names = frame["id"].to_numpy()
                 s[ids[:, None] == names[None, :]] = -np.inf
-                keep = np.argsort(-s, axis=1, kind="stable")[:, : k + 8]
+                keep = np.argsort(-np.round(s, 6), axis=1, kind="stable")[:, : k + 8]
                 row = np.repeat(np.arange(len(ids)), keep.shape[1])
                 yield pd.DataFrame({"query_id": ids[row], "id": names[keep.ravel()], "similarity": s[row, keep.ravel()]})
 

@@ -164,3 +164,10 @@ def test_sinks(spark, tmp_path):
     sinks.replace_partitions(spark.createDataFrame([("p", 1), ("q", 1)], "project_id string, n int"), f"{tmp_path}/r")
     sinks.replace_partitions(spark.createDataFrame([("q", 2)], "project_id string, n int"), f"{tmp_path}/r")
     assert sorted((r.project_id, r.n) for r in spark.read.parquet(f"{tmp_path}/r").collect()) == [("p", 1), ("q", 2)]
+
+
+def test_nearest_of_many_equal_vectors(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(60, 0, -1)]
+    df = spark.createDataFrame(rows, "i int, v array<double>").coalesce(1)
+    got = [x.id for x in retrieval.nearest(df, "i", "v", df.where("i = 50"), 5).orderBy("rank").collect()]
+    assert got == [1, 2, 3, 4, 5]
