@@ -156,7 +156,7 @@ l AS (SELECT * FROM (SELECT id, language, unnest(string_split(content, chr(10)))
 r AS (SELECT *, row_number() OVER (PARTITION BY id, rule ORDER BY line_no) AS n, count(*) OVER (PARTITION BY id, rule) AS total FROM h)
 SELECT id, rule, category, severity, line_no, CASE WHEN once THEN total - 1 ELSE 0 END AS more FROM r WHERE CASE WHEN once THEN n = 1 ELSE n <= 5 END""")
 def r01_rules(spark: SparkSession, sf: str) -> DataFrame:
-    """R-01, A-20: line rules over all source contents."""
+    """A part of the survey's line rules (see the README) over all source contents."""
     found = rules.scan(sources(spark, sf, ("TypeScript", "JavaScript", "Python", "Go", "SQL")))
     return found.withColumn("line_no", F.col("line_no").cast("long")).withColumn("more", F.col("more").cast("long")).distinct()
 
@@ -187,7 +187,7 @@ _SETTINGS = [r"process\.env\.([A-Z][A-Z0-9_]+)", r'os\.environ\["([A-Z][A-Z0-9_]
 
 @query("WITH n AS (" + " UNION ALL ".join(f"SELECT hash AS id, unnest(regexp_extract_all(content, '{p}', 1)) AS name FROM blobs" for p in _SETTINGS) + ") SELECT name, CAST(count(DISTINCT id) AS BIGINT) AS n_files FROM n GROUP BY name")
 def d03_settings(spark: SparkSession, sf: str) -> DataFrame:
-    """D-03: environment variables and the number of contents that name them."""
+    """Environment variables in five forms (see the README) and the number of contents that name them."""
     found = extract.settings(load(spark, sf, "blobs").where("content is not null").select(F.col("hash").alias("id"), "content"))
     return found.groupBy("name").agg(F.count_distinct("id").alias("n_files"))
 
