@@ -8,8 +8,9 @@ The wanted overlap (words shared over words of the longer record) of at least s
 element sets of at least s / (2 - s). Bands are tuned for that value: BANDS bands of ROWS rows miss a pair just at the
 threshold s = 0.8 with probability (1 - (2/3)**8)**150 = 0.0026, one of overlap 0.82 with 0.0003. GROUP bands at a time
 are shuffled and their pairs written, and their shuffle files go before the next ones, so that disk does not grow with
-the number of bands; words are hashed once. Pairs that meet in a band compare one-byte signatures in batches; after each batch a pair is dropped when the posterior probability
-(uniform prior) that it reaches the threshold is below MISS. Survivors are verified exactly.
+the number of bands; texts are cut into words once. Pairs that meet in a band compare one-byte signatures in batches;
+after each batch a pair is dropped when the posterior probability (uniform prior) that it reaches the threshold is below
+MISS. Survivors are verified on all their words. A band that very many bags share is cut into blocks.
 """
 
 from __future__ import annotations
@@ -29,8 +30,9 @@ from strataloom.session import written
 BANDS, ROWS, SIGNATURE, BATCH, MISS = 150, 8, 64, 16, 1e-4
 GROUP = 50
 PAIRS = 1 << 20
+#: Rows of a band (estimated from one in SAMPLE of the bags) from which it is cut into blocks that meet two by two.
+HOT, SAMPLE = 8192, 64
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-FILTER_BITS = 26
 
 
 def elements(texts: pa.Array) -> list[np.ndarray]:
@@ -57,47 +59,68 @@ def _coefficients() -> np.ndarray:
     return (mix(np.arange(1, n + 1, dtype=U64)) >> U64(32)).astype(np.uint32) | np.uint32(1)
 
 
-def shortened(items: np.ndarray) -> np.ndarray:
-    """The 32-bit hashes of the items that MinHash works on."""
-    return (mix(items) >> U64(32)).astype(np.uint32)
+def packed(items: np.ndarray) -> bytes:
+    """48 bits of each item's hash: all high 32-bit parts, which MinHash works on, then all low 16-bit parts."""
+    h = mix(items)
+    return (h >> U64(32)).astype(np.uint32).tobytes() + (h >> U64(16)).astype(np.uint16).tobytes()
 
 
-def minhashes(short: np.ndarray, lo: int, hi: int) -> np.ndarray:
-    """The smallest value of the 32-bit hashes under each of the hash functions ``lo`` to ``hi``."""
-    a = _coefficients()[lo:hi]
-    low = np.full(len(a), np.iinfo(np.uint32).max, dtype=np.uint32)
-    for at in range(0, len(short), 128):
-        np.minimum(low, (short[at : at + 128, None] * a).min(axis=0), out=low)
-    return low
+def high_parts(items: bytes) -> np.ndarray:
+    return np.frombuffer(items, dtype=np.uint32, count=len(items) // 6)
 
 
-def _bag(items: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(items.tobytes()) - (1 << 63)
+def unpacked(items: bytes) -> np.ndarray:
+    n = len(items) // 6
+    return (high_parts(items).astype(U64) << U64(16)) | np.frombuffer(items, dtype=np.uint16, offset=4 * n)
+
+
+class MinHashes:
+    """The smallest value of 32-bit hashes under each of the hash functions ``lo`` to ``hi``."""
 
+    def __init__(self, lo: int, hi: int) -> None:
+        self.a = _coefficients()[lo:hi]
+        self.room = np.empty((128, len(self.a)), dtype=np.uint32)
 
-def _lists(parts: list[np.ndarray]) -> pa.ListArray:
-    flat = np.concatenate([np.array([], dtype=U64), *parts]).view(np.int64)
-    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), type=pa.int32()), pa.array(flat))
+    def __call__(self, short: np.ndarray) -> np.ndarray:
+        low = np.full(len(self.a), np.iinfo(np.uint32).max, dtype=np.uint32)
+        for at in range(0, len(short), 128):
+            part = short[at : at + 128]
+            made = np.multiply(part[:, None], self.a, out=self.room[: len(part)])
+            np.minimum(low, made.min(axis=0), out=low)
+        return low
+
+
+def _bag(items: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(items.tobytes()) - (1 << 63)
 
 
 def _bag_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, bag, signature, items); the last two only where the task meets the bag for the first time."""
+    sign, seen = MinHashes(BANDS * ROWS, BANDS * ROWS + SIGNATURE), set()
     for batch in batches:
-        bags = elements(batch.column(1))
-        shorts = [shortened(x) for x in bags]
-        signatures = [mix(minhashes(x, BANDS * ROWS, BANDS * ROWS + SIGNATURE)).astype(np.uint8).tobytes() for x in shorts]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2), pa.array([_bag(x) for x in bags], type=pa.int64()), pa.array([len(x) for x in bags], type=pa.int32()), pa.array(signatures, type=pa.binary()), pa.array([x.tobytes() for x in shorts], type=pa.binary())],
-            names=["id", "text", "bag", "words", "signature", "short"],
-        )
+        ids, bags, signatures, items = [], [], [], []
+        for i, made in zip(batch.column(0).to_pylist(), elements(batch.column(1)), strict=True):
+            if not len(made):
+                continue
+            bag, kept, signature = _bag(made), None, None
+            if bag not in seen:
+                seen.add(bag)
+                kept = packed(made)
+                signature = mix(sign(high_parts(kept))).astype(np.uint8).tobytes()
+            ids.append(i)
+            bags.append(bag)
+            signatures.append(signature)
+            items.append(kept)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, type=pa.string()), pa.array(bags, type=pa.int64()), pa.array(signatures, type=pa.binary()), pa.array(items, type=pa.binary())], names=["id", "bag", "signature", "items"])
 
 
 def _band_rows(batches: Iterator[pa.RecordBatch], lo: int, hi: int) -> Iterator[pa.RecordBatch]:
     salt = mix(np.arange(1, ROWS + 1, dtype=U64)) | U64(1)
     number = np.arange(lo, hi, dtype=U64) * U64(0xD6E8FEB86659FD93)
+    least = MinHashes(lo * ROWS, hi * ROWS)
     for batch in batches:
-        once = dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-        bands = [mix((minhashes(np.frombuffer(x, dtype=np.uint32), lo * ROWS, hi * ROWS).reshape(hi - lo, ROWS) * salt).sum(axis=1, dtype=U64) + number) for x in once.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.array([], dtype=U64), *bands]).view(np.int64)), pa.array(np.repeat(np.array(list(once), dtype=np.int64), hi - lo))], names=["band", "bag"])
+        bands = [mix((least(high_parts(x)).reshape(hi - lo, ROWS) * salt).sum(axis=1, dtype=U64) + number) for x in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.array([], dtype=U64), *bands]).view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), hi - lo))], names=["band", "bag"])
 
 
 def _met_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,56 +153,50 @@ def _met_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from pairs(band, bag)
 
 
-def met_pairs(bags: DataFrame) -> DataFrame:
-    """(a, b) of the bags that meet in a band, from (bag, short); ``GROUP`` bands are on disk at a time."""
+def bands_of(bags: DataFrame, lo: int, hi: int) -> DataFrame:
+    """(band, bag) of the bands ``lo`` to ``hi`` of each (bag, items)."""
+    return bags.select("bag", "items").mapInArrow(lambda b: _band_rows(b, lo, hi), "band long, bag long")
+
+
+def spread(banded: DataFrame, hot: DataFrame) -> DataFrame:
+    """Rows of the hot bands, repeated so that each two blocks of a band share a key of their own.
+
+    ``hot`` has band and blocks. Any two rows of a band still share a key, so no pair is lost.
+    """
+    own = F.pmod(F.xxhash64("bag"), F.col("blocks").cast("long"))
+    cut = banded.join(hot, "band", "left").withColumn("j", F.explode(F.when(F.col("blocks") > 1, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(0)))))
+    key = F.when(F.col("blocks") > 1, F.xxhash64("band", F.least(own, F.col("j").cast("long")), F.greatest(own, F.col("j").cast("long")))).otherwise(F.col("band"))
+    return cut.select(key.alias("band"), "bag")
+
+
+def candidates(bags: DataFrame, jaccard: float, hot_rows: int = HOT) -> DataFrame:
+    """(a, b) of the bags that meet in a band and that their signatures don't part, from (bag, signature, items).
+
+    ``GROUP`` bands are on disk at a time; a pair that several groups find is compared in each and counts once. Bands
+    of about ``hot_rows`` rows or more are cut into blocks; which they are is estimated from one bag in SAMPLE, and
+    decides only how the work is spread.
+    """
     conf, out = bags.sparkSession.conf, None
+    some = bags.where(F.pmod("bag", F.lit(SAMPLE)) == 0)
+    hot = bands_of(some, 0, BANDS).groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") * SAMPLE >= hot_rows)
+    hot = written(hot.select("band", F.ceil(F.col("n") * SAMPLE / hot_rows + 1).cast("int").alias("blocks")))
+    any_hot = not hot.isEmpty()
+    marks = bags.select("bag", "signature").dropDuplicates(["bag"])
+    left, right = (marks.select(F.col("bag").alias(n), F.col("signature").alias("s" + n)).hint("merge") for n in "ab")
     before = conf.get(CLEANUP)
     conf.set(CLEANUP, "true")
     try:
         for lo in range(0, BANDS, GROUP):
-            hi = min(lo + GROUP, BANDS)
-            banded = bags.mapInArrow(lambda b, lo=lo, hi=hi: _band_rows(b, lo, hi), "band long, bag long")
-            part = written(banded.repartition("band").sortWithinPartitions("band").mapInArrow(_met_rows, "a long, b long").distinct())
+            banded = bands_of(bags, lo, min(lo + GROUP, BANDS))
+            banded = spread(banded, hot) if any_hot else banded
+            met = banded.repartition("band").sortWithinPartitions("band").mapInArrow(_met_rows, "a long, b long").distinct()
+            part = written(met.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(lambda batches: _pruned(batches, jaccard), "a long, b long"))
             out = part if out is None else out.unionByName(part)
         return written(out.distinct())
     finally:
         conf.set(CLEANUP, before)
 
 
-def _slot(bags: np.ndarray) -> np.ndarray:
-    return (mix(bags.view(U64)) >> U64(64 - FILTER_BITS)).astype(np.int64)
-
-
-def _element_rows(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        slots = _slot(batch.column(0).to_numpy())
-        near = pa.array(np.flatnonzero((wanted[slots >> 3] >> (slots & 7)) & 1))
-        kept = {_bag(x): x for x in elements(batch.column(1).take(near)) if len(x)}
-        yield pa.RecordBatch.from_arrays([pa.array(list(kept), type=pa.int64()), _lists(list(kept.values()))], names=["bag", "elements"])
-
-
-def _filter_of(hashes: DataFrame) -> np.ndarray:
-    """A bit field of 2**FILTER_BITS bits (8 MB, whatever the input) with the bits of all hashes set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << (FILTER_BITS - 3), dtype=np.uint8)
-        for batch in batches:
-            slots = _slot(batch.column(0).to_numpy())
-            np.bitwise_or.at(bits, slots >> 3, (1 << (slots & 7)).astype(np.uint8))
-        parts = bits.reshape(-1, 1 << 12)
-        used = np.flatnonzero(parts.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([parts[k].tobytes() for k in used], type=pa.binary())], names=["part", "bits"])
-
-    def merge(parts: pa.Table) -> pa.Table:
-        bits = np.bitwise_or.reduce([np.frombuffer(x, dtype=np.uint8) for x in parts["bits"].to_pylist()])
-        return pa.table({"part": parts["part"][:1], "bits": pa.array([bits.tobytes()], type=pa.binary())})
-
-    out = np.zeros(1 << (FILTER_BITS - 3), dtype=np.uint8).reshape(-1, 1 << 12)
-    for row in hashes.mapInArrow(run, "part long, bits binary").groupBy("part").applyInArrow(merge, "part long, bits binary").toLocalIterator():
-        out[row.part] = np.frombuffer(row.bits, dtype=np.uint8)
-    return out.ravel()
-
-
 @functools.cache
 def least_matches(threshold: float) -> tuple[int, ...]:
     """For each number of compared batches, the fewest equal bytes with which a pair stays."""
@@ -213,23 +230,31 @@ def texts_of(df: DataFrame, id_column: str, texts: Sequence[str]) -> DataFrame:
     return df.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("string").alias("id"), F.concat_ws("\n", *[F.col(t).cast("string") for t in texts]).alias("t"))
 
 
-def near_bags(records: DataFrame, members: DataFrame, bags: DataFrame, overlap: float) -> DataFrame:
-    """(a, b, similarity) of the word multisets that are near but not equal.
-
-    ``bags`` has (bag, short); copies are one row per band and batch already where the bands are made. Words are made a second time for the pairs
-    that are left, rather than kept or shuffled for all; a bit field of fixed size picks their texts in the scan.
+def _overlaps(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        kept, similarity = [], []
+        for k, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+            longer = max(len(x), len(y)) // 6
+            if min(len(x), len(y)) // 6 * 100 < longer * percent:
+                continue
+            shared = len(np.intersect1d(unpacked(x), unpacked(y), assume_unique=True))
+            if shared * 100 >= longer * percent:
+                kept.append(k)
+                similarity.append(shared / longer)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(kept, type=pa.int64())) for c in (0, 1)), pa.array(similarity, type=pa.float64())], names=["a", "b", "similarity"])
+
+
+def near_bags(bags: DataFrame, overlap: float, hot_rows: int = HOT) -> DataFrame:
+    """(a, b, similarity) of the word multisets that are near but not equal, from (bag, signature, items).
+
+    The words of the bags in the pairs that are left are compared one by one (by 48 bits of their hashes).
     """
-    met = met_pairs(bags)
-    marks = members.groupBy("bag").agg(F.first("signature").alias("signature"))
-    pairs = met.join(marks.withColumnsRenamed({"bag": "a", "signature": "sa"}).hint("merge"), "a").join(marks.withColumnsRenamed({"bag": "b", "signature": "sb"}).hint("merge"), "b")
-    jaccard = overlap / (2 - overlap)
-    kept = written(pairs.select("a", "b", "sa", "sb").mapInArrow(lambda batches: _pruned(batches, jaccard), "a long, b long"))
-    wanted = records.sparkSession.sparkContext.broadcast(_filter_of(members.join(kept.select(F.explode(F.array("a", "b")).alias("bag")).distinct(), "bag", "left_semi").select("text")))
-    words = written(records.select(F.xxhash64("t").alias("text"), "t").mapInArrow(lambda batches: _element_rows(batches, wanted.value), "bag long, elements array<bigint>"))
-    words = words.dropDuplicates(["bag"])
-    full = kept.join(words.withColumnsRenamed({"bag": "a", "elements": "ea"}).hint("merge"), "a").join(words.withColumnsRenamed({"bag": "b", "elements": "eb"}).hint("merge"), "b")
-    shared, longer = F.size(F.array_intersect("ea", "eb")), F.greatest(F.size("ea"), F.size("eb"))
-    return full.where(shared * 100 >= longer * round(overlap * 100)).select("a", "b", (shared / longer).alias("similarity"))
+    kept = candidates(bags, overlap / (2 - overlap), hot_rows)
+    needed = kept.select(F.explode(F.array("a", "b")).alias("bag")).distinct()
+    words = bags.select("bag", "items").join(needed, "bag", "left_semi").dropDuplicates(["bag"])
+    full = kept.join(words.withColumnsRenamed({"bag": "a", "items": "ia"}), "a").join(words.withColumnsRenamed({"bag": "b", "items": "ib"}), "b")
+    percent = round(overlap * 100)
+    return full.select("a", "b", "ia", "ib").mapInArrow(lambda batches: _overlaps(batches, percent), "a long, b long, similarity double")
 
 
 def near_duplicates(df: DataFrame, id_column: str, texts: Sequence[str], overlap: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -240,9 +265,8 @@ def near_duplicates(df: DataFrame, id_column: str, texts: Sequence[str], overlap
     count once. Other columns are ignored. A record delivered with several texts is a member of several classes.
     """
     records = texts_of(df, id_column, texts)
-    bags = written(records.select("id", "t", F.xxhash64("t").alias("text")).mapInArrow(_bag_rows, "id string, text long, bag long, words int, signature binary, short binary").where("words > 0"))
-    members = written(bags.select("id", "text", "bag", "signature").distinct())
-    return members.select("id", F.col("bag").alias("rep")).distinct(), near_bags(records, members, bags.select("bag", "short"), overlap)
+    bags = written(records.mapInArrow(_bag_rows, "id string, bag long, signature binary, items binary"))
+    return bags.select("id", F.col("bag").alias("rep")).distinct(), near_bags(bags.where("items is not null"), overlap)
 
 
 def record_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:

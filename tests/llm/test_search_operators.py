@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataloom.llm import leakage, mixing, near_duplicates, shared_spans, splitting
+from strataloom.session import written
 
 
 def words(r, n):
@@ -68,6 +69,19 @@ def test_pairs_of_a_band_over_batches(monkeypatch):
     assert sorted(got) == sorted(expected)
 
 
+def test_hot_bands_lose_no_pair(spark, monkeypatch):
+    r = random.Random(9)
+    base = words(r, 60)
+    rows = [(f"r{i}", " ".join([*base[:56], *(f"v{i}x{k}" for k in range(4))])) for i in range(150)]
+    monkeypatch.setattr(near_duplicates, "SAMPLE", 1)
+    records = near_duplicates.texts_of(spark.createDataFrame(rows, "id string, t string"), "id", ["t"])
+    bags = written(records.mapInArrow(near_duplicates._bag_rows, "id string, bag long, signature binary, items binary"))
+    hot = near_duplicates.bands_of(bags, 0, near_duplicates.BANDS).groupBy("band").count().where("count >= 40").count()
+    found = near_duplicates.near_bags(bags, 0.8, hot_rows=40)
+    assert hot > 0
+    assert found.count() == 150 * 149 // 2 and found.where("round(similarity, 6) <> round(56 / 60, 6)").isEmpty()
+
+
 def test_near_duplicates_of_nothing(spark):
     df = spark.createDataFrame([], "id string, t string")
     members, pairs = near_duplicates.near_duplicates(df, "id", ["t"])
