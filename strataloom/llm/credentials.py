@@ -1,11 +1,12 @@
 """Credentials in source, configuration, key and documentation files.
 
-Pass one indexes the literals of the whole corpus that stand where a credential could stand: values of provider
-formats, values beside a name of a secret, parts of addresses and headers, bodies of private keys, encoded values of
-secret manifests. A literal that very many unlike contents hold is a placeholder and suppressed; rare structured
-values are confirmed, and so are private keys and provider formats unless
-their own text is repetitive too. Pass two reads every content again and finds the confirmed values wherever they stand, with an
-Aho-Corasick automaton, block by block of confirmed values.
+Pass one indexes the corpus's literals by hash, whatever stands around them, with their owners, and the evidence at
+their places: provider formats, names of secrets, addresses and headers, private keys, secret manifests. Owners are
+counted as groups of near-copies; a literal with evidence that more of them hold than a share of the corpus is a
+placeholder and suppressed, rare structured ones are confirmed. Pass two finds the confirmed values wherever they
+stand: a value can only stand in a text that has its longest run of letters and digits, so runs are equi-joined and an
+Aho-Corasick automaton then reads the texts that are left. Values without such a run (words in addresses, digits only)
+are searched for in every text, block by block.
 """
 
 from __future__ import annotations
@@ -26,12 +27,12 @@ from pyspark.sql import functions as F
 from strataloom.session import written
 
 #: A value held by more groups of near-copies than this, and than this share of all contents, is a placeholder.
-MOST_OWNERS = 50
-MOST_SHARE = 0.003
+MOST_OWNERS = 8
+MOST_SHARE = 0.0003
 #: Kinds that many owners alone don't suppress, and the bits per character below which a value is repetitive.
 CERTAIN = ("private key", "provider")
 DULL = 2.5
-#: Confirmed values per automaton.
+#: Confirmed values without a run to join on per automaton.
 BLOCK = 50_000
 #: Values shorter than this are searched for between token boundaries, and only if they don't look like a word.
 SEARCHED = 12
@@ -65,10 +66,17 @@ BEGIN_KEY = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 KEY_BODY = re.compile(r"(?:\s|\\n|\\r|[\"'`+,#*/]|Proc-Type[^\n]*\n|DEK-Info[^\n]*\n|Version:[^\n]*\n)*((?:[A-Za-z0-9+/=]{16,}(?:\s|\\n|\\r|[\"'`+,#*/])*)+)")
 SECRET_MANIFEST = re.compile(r"^kind:\s*[\"']?Secret\b", re.M)
 ENCODED = re.compile(r"^\s+([\w.-]+):\s*[\"']?([A-Za-z0-9+/]{8,}={0,2})[\"']?\s*(?:#.*)?$", re.M)
-PLACEHOLDER = re.compile(
-    r"(?:^|[^a-z])(?:your|change|replace|example|sample|dummy|placeholder|redacted|insert|todo|fixme|none|null|undefined|my[-_]|test[-_]?(?:key|secret|password)|fake|secret[-_]?here|foo|bar)(?:[^a-z]|me|$)|x{4,}|\*{3,}|\.{3,}|(.)\1{5,}|[<>]|\$\{|\$\(|\{\{|%\(|^\$[A-Za-z_]|^%[A-Z_]+%$|^env[.:(]|process\.env|environ|getenv|os\.",
+#: Wording of samples; a fact about the value that the confirmation weighs.
+WORDING = re.compile(
+    r"(?:^|[^a-z])(?:your|change|replace|example|sample|dummy|placeholder|redacted|insert|todo|fixme|none|null|undefined|my[-_]|test[-_]?(?:key|secret|password)|fake|secret[-_]?here|foo|bar)(?:[^a-z]|me|$)|x{4,}|\*{3,}|\.{3,}|(.)\1{5,}",
     re.I,
 )
+#: References to where the value is kept.
+REFERENCE = re.compile(r"[<>]|\$\{|\$\(|\{\{|%\(|^\$[A-Za-z_]|^%[A-Z_]+%$|^env[.:(]|process\.env|environ|getenv|os\.", re.I)
+#: Literals of the index, and runs that searches join on; escapes end a run.
+WORD = re.compile(r"[^\s\"'`,;<>{}\[\]\\()=:&?|]{8,}")
+RUN = re.compile(r"\\[nrtbf0]|(?:[A-Za-z]+[0-9]|[0-9]+[A-Za-z])[A-Za-z0-9]*")
+LEAST_RUN = 4
 PATHLIKE = re.compile(r"(?:[\w@.-]+/)+[\w.-]*\.[a-z]{1,5}$|^(?:[a-z_-]+/)+[a-zA-Z_.-]+$|://|^[\w.-]+\.(?:py|js|ts|tsx|go|json|ya?ml|md|invalid|com|org|net|io)\b")
 IDENTIFIER = re.compile(r"[A-Za-z_$][a-zA-Z_$.]*\d{0,3}(?:\(.*|:|\)+)?$")
 TOKEN = re.compile(r"\w")
@@ -84,9 +92,9 @@ def entropy(value: str) -> float:
 
 
 def plausible(value: str) -> bool:
-    """Whether a value beside a secret's name looks like one rather than like a word, path, reference or sample."""
+    """Whether a value beside a secret's name looks like one rather than like a word, path or reference."""
     value = value.rstrip(".:)")
-    if len(value) < 8 or value[0] == "@" or PLACEHOLDER.search(value) or IDENTIFIER.match(value) or CALL.match(value) or PATHLIKE.search(value):
+    if len(value) < 8 or value[0] == "@" or REFERENCE.search(value) or IDENTIFIER.match(value) or CALL.match(value) or PATHLIKE.search(value):
         return False
     lower, upper, digit = any(c.islower() for c in value), any(c.isupper() for c in value), any(c.isdigit() for c in value)
     if len(value) < 30 and re.search(r"[\w$]\.[a-z]+[*+/-]\d", value):
@@ -116,16 +124,16 @@ def joined(text: str) -> tuple[str, list[int]]:
 def _in_line(line: str) -> Iterator[tuple[int, int, str]]:
     """(begin, end, kind) of each candidate value of one line whose string pieces are glued."""
     for m in PROVIDER.finditer(line):
-        if not PLACEHOLDER.search(m[0][4:]):
+        if not REFERENCE.search(m[0]):
             yield m.start(), m.end(), "provider"
     for m in ADDRESS.finditer(line):
-        if not PLACEHOLDER.search(m[1]):
+        if not REFERENCE.search(m[1]):
             yield m.start(1), m.end(1), "address"
     for m in PARAMETER.finditer(line):
         if plausible(m[1]):
             yield m.start(1), m.end(1), "parameter"
     for m in SCHEME.finditer(line):
-        if not PLACEHOLDER.search(m[1]) and any(c.isdigit() for c in m[1]) and any(c.isupper() for c in m[1]):
+        if not REFERENCE.search(m[1]) and any(c.isdigit() for c in m[1]) and any(c.isupper() for c in m[1]):
             yield m.start(1), m.end(1), "header"
     for name in NAME.finditer(line):
         rest = REST.match(line, name.end())[0]
@@ -182,7 +190,7 @@ def candidates(text: str) -> list[tuple[int, int, int, str, str]]:
                         piece = k + 1
     for m in BEGIN_KEY.finditer(text):
         body = KEY_BODY.match(text, m.end())
-        if body and len(body[1]) >= 40 and not PLACEHOLDER.search(body[1][:40]):
+        if body and len(body[1]) >= 40 and not REFERENCE.search(body[1][:40]):
             out.append((number(m.start()), body.start(1), body.end(1), "private key", re.sub(r"[^A-Za-z0-9+/=]", "", body[1])))
     if SECRET_MANIFEST.search(text):
         for m in ENCODED.finditer(text):
@@ -190,7 +198,7 @@ def candidates(text: str) -> list[tuple[int, int, int, str, str]]:
                 plain = base64.b64decode(m[2], validate=True).decode()
             except (binascii.Error, UnicodeDecodeError):
                 continue
-            if plain.isprintable() and len(plain) >= 6 and not PLACEHOLDER.search(plain) and any(c.isdigit() for c in plain):
+            if plain.isprintable() and len(plain) >= 6 and not REFERENCE.search(plain) and any(c.isdigit() for c in plain):
                 out.append((number(m.start(2)), m.start(2), m.end(2), "encoded", m[2]))
     return out
 
@@ -200,90 +208,202 @@ def sketch(text: str) -> int:
     return min((xxhash.xxh64_intdigest(x.strip()) for x in (re.split("[=:]", line, maxsplit=1)[0] for line in text.split("\n")) if x.strip()), default=0) - (1 << 63)
 
 
+def worded(kind: str, value: str) -> bool:
+    """Whether a value reads like a sample."""
+    if kind == "encoded":
+        value = base64.b64decode(value).decode(errors="replace")
+    return bool(WORDING.search(value[4:] if kind == "provider" else value[:40] if kind == "private key" else value))
+
+
+def _hash(value: str) -> int:
+    return xxhash.xxh64_intdigest(value.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def anchor(value: str) -> int | None:
+    """The hash of the longest run of letters and digits that has both, the first of equals; None without one."""
+    found = max((m[0] for m in RUN.finditer(value) if m[0][0] != "\\" and len(m[0]) >= LEAST_RUN), key=len, default=None)
+    return None if found is None else _hash(found)
+
+
+def literals(text: str) -> set[str]:
+    """The literals of a text that mix letters and digits: quoted strings and bare words alike."""
+    return {w for w in (x.rstrip(".") for x in WORD.findall(text)) if len(w) >= 8 and not w.isalpha() and any(c.isdigit() for c in w) and any(c.isalpha() for c in w)}
+
+
+INDEX = "line_no int, begin int, end int, kind string, value string, raw string, dull boolean, worded boolean"
+
+
 def literal_index(df: DataFrame, id_column: str, text: str) -> DataFrame:
-    """(id, line_no, begin, end, kind, value, sketch, dull, raw) of every candidate of every text.
+    """(id, sketch, anchors, words, evidence): a row per text that holds any.
 
-    ``sketch`` is the text's, ``dull`` marks a repetitive value, ``raw`` is the value as it stands in the text.
+    ``anchors`` are the hashes of its different runs, ``words`` those of its different literals and values with
+    evidence, ``evidence`` the places where something speaks for a credential. ``sketch`` is equal for near-copies,
+    ``dull`` marks a repetitive value, ``worded`` one that reads like a sample, ``raw`` is the value as it stands there.
     """
     kind = df.schema[id_column].dataType.simpleString()
     rows = df.where(F.col(id_column).isNotNull() & F.col(text).isNotNull()).select(F.col(id_column).alias("id"), F.col(text).alias("t"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            each = ((i, t, candidates(t)) for i, t in zip(frame["id"], frame["t"], strict=True))
-            found = [(i, *c, like, entropy(c[4][-24:]) < DULL, t[c[1] : c[2]].rstrip(" \t\r\n\"'`,") if c[3] == "private key" else c[4]) for i, t, cs in each if cs for like in [sketch(t)] for c in cs]
-            yield pd.DataFrame(found, columns=["id", "line_no", "begin", "end", "kind", "value", "sketch", "dull", "raw"])
-
-    return rows.mapInPandas(run, f"id {kind}, line_no int, begin int, end int, kind string, value string, sketch long, dull boolean, raw string")
-
-
-def confirmed(index: DataFrame, most_owners: int = MOST_OWNERS) -> DataFrame:
-    """The candidates but placeholders: repetitive values of more than ``most_owners`` texts, and others, unless of a
-    certain kind, of more than ``most_owners`` groups of near-copies."""
-    spread = index.groupBy("value").agg(
-        F.count_distinct("id").alias("owners"), F.count_distinct("sketch").alias("groups"), F.max(F.col("kind").isin(*CERTAIN)).alias("certain"), F.max("dull").alias("dull")
-    )
-    kept = F.when(F.col("dull"), F.col("owners") <= most_owners).otherwise(F.col("certain") | (F.col("groups") <= most_owners))
-    return index.join(spread.where(kept).select("value"), "value", "left_semi").drop("sketch", "dull")
-
-
-def _scan(frames: Iterator[pd.DataFrame], values: list[str]) -> Iterator[pd.DataFrame]:
-    automaton = ahocorasick.Automaton()
-    heads: dict[str, list[str]] = {}
-    for v in values:
-        heads.setdefault(v[:HEAD], []).append(v)
-    for head, whole in heads.items():
-        automaton.add_word(head, (len(head), whole))
-    automaton.make_automaton()
-    for frame in frames:
-        found = []
-        for i, t in zip(frame["id"], frame["t"], strict=True):
-            at = line = 0
-            for last, (n, whole) in automaton.iter(t):
-                begin = last + 1 - n
-                for value in whole:
-                    end = begin + len(value)
-                    if not t.startswith(value, begin) or len(value) < SEARCHED and (TOKEN.match(t[begin - 1 : begin]) or TOKEN.match(t[end : end + 1])):
-                        continue
-                    if PUBLISHED.search(t, max(0, begin - 80), begin):
-                        continue
-                    if begin < at:
-                        at = line = 0
-                    line += t.count("\n", at, begin)
-                    at = begin
-                    found.append((i, line + 1, begin, end, "known value", value))
-        yield pd.DataFrame(found, columns=["id", "line_no", "begin", "end", "kind", "value"])
+            out = []
+            for i, t in zip(frame["id"], frame["t"], strict=True):
+                runs = {m for m in RUN.findall(t) if len(m) >= LEAST_RUN}
+                if "+" in t and PLUS.search(t):
+                    runs |= {m for m in RUN.findall(joined(t)[0]) if len(m) >= LEAST_RUN}
+                found = candidates(t)
+                if not runs and not found:
+                    continue
+                evidence = [
+                    {"line_no": n, "begin": a, "end": b, "kind": k, "value": v, "raw": t[a:b].rstrip(" \t\r\n\"'`,") if k == "private key" else v, "dull": entropy(v[-24:]) < DULL, "worded": worded(k, v)} for n, a, b, k, v in found
+                ]
+                words = {_hash(w) for w in literals(t) | {e["value"] for e in evidence}}
+                out.append((i, sketch(t), [_hash(x) for x in runs], list(words), evidence))
+            yield pd.DataFrame(out, columns=["id", "sketch", "anchors", "words", "evidence"])
+
+    return rows.mapInPandas(run, f"id {kind}, sketch long, anchors array<bigint>, words array<bigint>, evidence array<struct<{INDEX.replace(' ', ':').replace(',:', ',')}>>")
+
+
+def evidence_of(index: DataFrame) -> DataFrame:
+    """(id, line_no, begin, end, kind, value, raw, dull, worded, word) of each place with evidence."""
+    word = F.udf(lambda v: [_hash(x) for x in v], "array<bigint>")
+    spread = index.where(F.size("evidence") > 0).select("id", "evidence", word(F.col("evidence.value")).alias("w"))
+    return spread.select("id", F.explode(F.arrays_zip("evidence", "w")).alias("e")).select("id", "e.evidence.*", F.col("e.w").alias("word"))
+
+
+def owners(index: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(word, owners, groups): the texts and the groups of near-copies that hold each value with evidence, there or bare."""
+    known = evidence.select("word").distinct()
+    held = index.select("id", "sketch", F.explode("words").alias("word")).join(known, "word", "left_semi")
+    return held.groupBy("word").agg(F.count_distinct("id").alias("owners"), F.count_distinct("sketch").alias("groups"))
+
+
+def confirmed(index: DataFrame, most_owners: int = MOST_OWNERS, wordings: bool = True) -> DataFrame:
+    """The places with evidence but those of placeholders.
+
+    A value is a placeholder if more than ``most_owners`` groups of near-copies hold it (of provider formats and
+    private keys only if it is repetitive or reads like a sample), a repetitive one if as many texts do, and, with
+    ``wordings``, if it reads like a sample.
+    """
+    evidence = evidence_of(index)
+    rated = evidence.groupBy("word").agg(*[F.max(c).alias(n) for n, c in (("certain", F.col("kind").isin(*CERTAIN)), ("dull", F.col("dull")), ("worded", F.col("worded")))])
+    common = (F.col("groups") > most_owners) & (~F.col("certain") | F.col("dull") | F.col("worded")) | F.col("dull") & (F.col("owners") > most_owners)
+    out = rated.join(owners(index, evidence), "word").where(~common)
+    return evidence.join((out.where("not worded") if wordings else out).select("word"), "word", "left_semi").drop("dull", "worded", "word")
+
+
+class Searcher:
+    """Finds known values in texts."""
+
+    def __init__(self, values: list[str]) -> None:
+        self.automaton = ahocorasick.Automaton()
+        heads: dict[str, list[str]] = {}
+        for v in values:
+            heads.setdefault(v[:HEAD], []).append(v)
+        for head, whole in heads.items():
+            self.automaton.add_word(head, (len(head), whole))
+        self.automaton.make_automaton()
+
+    def __call__(self, text: str, only: set[str] | None = None) -> list[tuple[int, int, int, str]]:
+        """(line, begin, end, value) of each place; a value split over string pieces gives a row per piece."""
+        found = list(self._plain(text, only))
+        if "+" in text and PLUS.search(text):
+            glued, kept = joined(text)
+            for _, begin, end, value in self._plain(glued, only):
+                piece = begin
+                for k in range(begin, end):
+                    if k + 1 == end or kept[k + 1] != kept[k] + 1:
+                        if kept[end - 1] - kept[begin] != end - 1 - begin:
+                            found.append((text.count("\n", 0, kept[piece]) + 1, kept[piece], kept[k] + 1, value))
+                        piece = k + 1
+        return found
+
+    def _plain(self, text: str, only: set[str] | None) -> Iterator[tuple[int, int, int, str]]:
+        at = line = 0
+        for last, (n, whole) in self.automaton.iter(text):
+            begin = last + 1 - n
+            for value in whole:
+                end = begin + len(value)
+                if only is not None and value not in only or not text.startswith(value, begin):
+                    continue
+                if len(value) < SEARCHED and (TOKEN.match(text[begin - 1 : begin]) or TOKEN.match(text[end : end + 1])):
+                    continue
+                if PUBLISHED.search(text, max(0, begin - 80), begin):
+                    continue
+                if begin < at:
+                    at = line = 0
+                line += text.count("\n", at, begin)
+                at = begin
+                yield line + 1, begin, end, value
+
+
+PLACES = ["id", "line_no", "begin", "end", "value"]
+
+
+def _texts(df: DataFrame, id_column: str, text: str) -> DataFrame:
+    return df.where(F.col(id_column).isNotNull() & F.col(text).isNotNull()).select(F.col(id_column).alias("id"), F.col(text).alias("t"))
 
 
 def rescan(df: DataFrame, id_column: str, text: str, known: DataFrame, block: int = BLOCK) -> DataFrame:
     """Every place of the known values (column ``value``) in every text, an automaton of ``block`` values at a time."""
     kind = df.schema[id_column].dataType.simpleString()
-    rows = df.where(F.col(id_column).isNotNull() & F.col(text).isNotNull()).select(F.col(id_column).alias("id"), F.col(text).alias("t"))
-    structured = F.udf(lambda v: plausible(v), "boolean")
-    values = known.select("value").distinct().where(F.when(F.length("value") >= SEARCHED, F.lit(True)).otherwise(structured("value")))
+    rows = _texts(df, id_column, text)
+    values = known.select("value").distinct()
     number = math.ceil(values.count() / block) or 1
     values = values.withColumn("block", F.pmod(F.xxhash64("value"), F.lit(number)))
+
+    def scan(frames: Iterator[pd.DataFrame], part: list[str]) -> Iterator[pd.DataFrame]:
+        search = Searcher(part)
+        for frame in frames:
+            yield pd.DataFrame([(i, *hit) for i, t in zip(frame["id"], frame["t"], strict=True) for hit in search(t)], columns=PLACES)
+
     out = None
     for k in range(number):
         part = df.sparkSession.sparkContext.broadcast([r.value for r in values.where(F.col("block") == k).collect()])  # about ``block`` values
-        hits = rows.mapInPandas(lambda frames, part=part: _scan(frames, part.value), f"id {kind}, line_no int, begin int, end int, kind string, value string")
+        hits = rows.mapInPandas(lambda frames, part=part: scan(frames, part.value), f"id {kind}, line_no int, begin int, end int, value string")
         out = hits if out is None else out.unionByName(hits)
     return out
 
 
-def credentials(df: DataFrame, id_column: str, text: str, most_owners: int = MOST_OWNERS) -> DataFrame:
+def rescan_by_runs(df: DataFrame, id_column: str, text: str, index: DataFrame, known: DataFrame) -> DataFrame:
+    """Every place of the known values (columns ``value`` and ``anchor``) in the texts that have their runs.
+
+    A text comes with the different values whose run it has; each batch of texts gets an automaton of its values.
+    """
+    kind = df.schema[id_column].dataType.simpleString()
+    runs = known.groupBy("anchor").agg(F.collect_set("value").alias("values"))
+    wanted = index.select("id", F.explode("anchors").alias("anchor")).join(runs, "anchor").groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("values"))).alias("values"))  # at most as many lists as a text has runs
+
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            search = Searcher(sorted({v for values in frame["values"] for v in values}))
+            yield pd.DataFrame([(i, *hit) for i, t, values in zip(frame["id"], frame["t"], frame["values"], strict=True) for hit in search(t, set(values))], columns=PLACES)
+
+    return _texts(df, id_column, text).join(wanted, "id").mapInPandas(scan, f"id {kind}, line_no int, begin int, end int, value string")
+
+
+def credentials(df: DataFrame, id_column: str, text: str, most_owners: int = MOST_OWNERS, wordings: bool = True) -> DataFrame:
     """Each place of a credential: id, line_no (from 1), begin, end (0-based code points of the value), kind.
 
-    Null and empty texts hold none; rows without id are left out; repeated rows count once. The line of a private key
-    is that of its BEGIN mark, its value the key's body.
+    Places are those of the second pass, with the kind of the evidence there or "known value"; only values that may
+    be words (short and unstructured, as in addresses) are taken where the evidence is. Null and empty texts hold none;
+    rows without id are left out; repeated rows count once. The line of a private key is that of its BEGIN mark, its
+    value the key's body.
     """
     index = written(literal_index(df, id_column, text))
     contents = df.where(F.col(text).isNotNull()).select(id_column).distinct().count()
-    sure = written(confirmed(index, max(most_owners, int(MOST_SHARE * contents))))
+    structured, run = F.udf(lambda v: len(v) >= SEARCHED or plausible(v), "boolean"), F.udf(anchor, "bigint")
+    sure = written(confirmed(index, max(most_owners, int(MOST_SHARE * contents)), wordings).withColumn("searched", structured("raw")).withColumn("anchor", run("raw")))
+    known = sure.where("searched").select(F.col("raw").alias("value"), "anchor").distinct()
+    hits = rescan_by_runs(df, id_column, text, index, known.where("anchor is not null"))
+    other = known.where("anchor is null")
+    if not other.isEmpty():
+        hits = hits.unionByName(rescan(df, id_column, text, other))
     keys = sure.where("kind = 'private key'").select("id", "begin")  # found again at their bodies
-    again = rescan(df, id_column, text, sure.select(F.col("raw").alias("value"))).join(keys, ["id", "begin"], "left_anti")
-    places = sure.drop("raw").unionByName(again)
-    return places.groupBy("id", "line_no", "begin", "end").agg(F.min("kind").alias("kind"))
+    places = hits.drop("value").join(keys, ["id", "begin"], "left_anti").withColumn("kind", F.lit(None).cast("string"))
+    places = places.unionByName(sure.where("not searched or kind = 'private key'").select("id", "line_no", "begin", "end", "kind"))
+    shown = sure.select("id", "begin", "end", F.col("kind").alias("evidence"))
+    named = places.join(shown, ["id", "begin", "end"], "left")
+    return named.groupBy("id", "line_no", "begin", "end").agg(F.coalesce(F.min("kind"), F.min("evidence"), F.lit("known value")).alias("kind"))
 
 
 def masked(text: str, places: list[tuple[int, int]]) -> str:

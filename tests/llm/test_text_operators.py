@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataloom.llm import credentials, handwritten, sentences, syntax
+from strataloom.session import written
 
 PY = 'import os\n\n\nclass A(B, metaclass=M):\n    """Doc."""\n\n    @property\n    async def f(self, a, /, b=1, *c, d: int = 2, **e) -> dict:\n        try:\n            async with g() as h, i() as j:\n                x = [k for k in range(3) if k not in a][::-1]\n        except (E, F) as err:\n            raise G(f"{x!r:>{y}} {{}}") from err\n        else:\n            return {**a, "b": -1}, lambda u, *v: u if u else v\n        finally:\n            del x; print(1 if a is not b else 0x1F, 1_000.5e-3, sep="")\n        match a:\n            case [1, *_]:\n                pass\n\nif (n := 3) > 2: y = yield_ = n\nfor i in 1, 2: continue\nwhile True:\n\tbreak\n'
 JS = 'import a, { b as c } from "./d";\nexport default class X extends Y {\n  static #p = 1;\n  get v() { return this.#p ?? null; }\n  async *gen(a, { b, ...c } = {}) { for await (const x of y) { yield* x; } }\n}\nconst r = /[/\\]]+(\\d)/g.test(`a ${b + `c ${d}`} e`) ? x / 2 : y?.z?.[0];\nlabel: for (;;) { if (a) break label; else continue; }\ntry { f() } catch { g() } finally { h() }\n!function(v){v.a=function(d){return d.b||1}}(w);var q={a:1,b_:!0,c:[1,2]};\nlet k = typeof x === "s" && !(y in z)\nconst t = async (a) => ({ ...a, delete: 1, [b]: 2 })\nswitch (k) { case 1: default: throw new Error("x") }\n'
@@ -156,6 +157,22 @@ def test_credentials_that_stand_elsewhere(spark):
     assert lines == {("short", 1), ("bare", 2), ("db", 1), ("pem", 1), ("body", 2), ("manifest", 3), ("encoded", 3)}
 
 
+def test_owners_and_second_pass_decide(spark):
+    key, sample = "Zk8QmX4vTr92LpWd7s", "Hd72kQz9vLmT4x"
+    rows = [("named", f"api_key = '{key}'\n"), ("bare", f"x\nconst v = \"{key}\";\n"), ("split", f"w = 'Zk8QmX4v' +\n 'Tr92LpWd7s'\n"), ("glued", f"n{key}z\n"), ("other", "const v = 'Tr92LpWd7sZk8QmX4v'\n")]
+    rows += [(f"n{i}", f"intro{i * 3} = 1\nthen{i * 5} = 2\nsecret = {sample}\n") for i in range(6)]
+    rows += [(f"b{i}", f"first{i * 3} = 1\nlast{i * 5} = 2\nuse {sample} here\n") for i in range(6)]
+    df = spark.createDataFrame(rows, "id string, t string")
+    for wordings in (True, False):
+        found = {(r.id, r.line_no, r.kind) for r in credentials.credentials(df, "id", "t", wordings=wordings).collect()}
+        assert found == {("named", 1, "named"), ("bare", 2, "known value"), ("split", 1, "known value"), ("split", 2, "known value")}
+    index = written(credentials.literal_index(df, "id", "t"))
+    held = {r.owners for r in credentials.owners(index, credentials.evidence_of(index)).collect()}
+    assert held == {2, 12}  # the sample's bare places count too, the split one has no literal of its own
+    samples = spark.createDataFrame([("a", "password = your-Pass-w0rd-H3re\n")], "id string, t string")
+    assert credentials.credentials(samples, "id", "t").isEmpty() and credentials.credentials(samples, "id", "t", wordings=False).count() == 1
+
+
 def test_credentials_of_nothing(spark):
     df = spark.createDataFrame([], "id string, t string")
     assert credentials.credentials(df, "id", "t").count() == 0
