@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 FEATURES = 1 << 15
 #: About how many texts the training sample has (those of the smallest hashes).
 TRAINING_TEXTS = 4000
+#: Labelled marks that the classifier is trained on at most.
+TRAINING_MARKS = 200_000
 #: Abbreviations that stand before a name or number and never end a sentence: labels for training, not a rule.
 TITLES = ("dr", "mr", "mrs", "ms", "prof", "st", "nr", "no", "art", "fig", "sec", "vs", "cf", "z", "b", "d", "h", "p", "e.g", "i.e", "pág", "डॉ", "jan", "feb", "aug", "sept", "oct", "nov", "dec", "bzw", "ca", "approx", "aprox", "env", "sr", "sra", "mme", "vgl", "s", "u", "n", "vol", "ch")
 #: Month names after a day's number, also labels for training.
@@ -316,12 +318,22 @@ class Splitter:
         return out
 
 
-def fit(df: DataFrame, text: str, texts: int = TRAINING_TEXTS) -> Splitter:
-    """Train on about ``texts`` different texts, those of the smallest hashes; this sample reaches the driver."""
+def fit(df: DataFrame, text: str, texts: int = TRAINING_TEXTS, marks: int = TRAINING_MARKS) -> Splitter:
+    """Train on the labelled marks of about ``texts`` different texts, those of the smallest hashes.
+
+    At most ``marks`` of these examples (a few numbers each) reach the driver, again those of the smallest hashes.
+    """
     rows = df.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("h"), F.col(text).alias("t"))
     below = int(min(1.0, texts / max(rows.count(), 1)) * 2.0**64) - 2**63
-    sample = rows.where(F.col("h") <= min(below, 2**63 - 1)).select("t").distinct().limit(2 * texts).toPandas()["t"]
-    return Splitter(train([*seeds(), *(e for t in sorted(sample) for e in labelled(t))]).tolist())
+    sample = rows.where(F.col("h") <= min(below, 2**63 - 1)).dropDuplicates(["h"])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            made = [(zlib.crc32(f"{h} {k}".encode()), x, y) for h, t in zip(frame["h"], frame["t"], strict=True) for k, (x, y) in enumerate(labelled(t))]
+            yield pd.DataFrame(made, columns=["o", "x", "y"])
+
+    examples = sample.mapInPandas(run, "o long, x array<int>, y int").orderBy("o", "x").limit(marks).toPandas()
+    return Splitter(train([*seeds(), *((list(x), y) for x, y in zip(examples["x"], examples["y"], strict=True))]).tolist())
 
 
 def sentences(df: DataFrame, id_column: str, text: str, splitter: Splitter | None = None) -> DataFrame:
@@ -345,4 +357,6 @@ def sentences(df: DataFrame, id_column: str, text: str, splitter: Splitter | Non
             yield pd.DataFrame({"id": pd.Series(ids, dtype=frame["id"].dtype), "sentence_no": pd.Series(numbers, dtype="int32"), "start_char": pd.Series(begins, dtype="int32"), "sentence": pd.Series(parts, dtype=object)})
 
     rows = df.where(F.col(id_column).isNotNull() & F.col(text).isNotNull()).select(F.col(id_column).alias("id"), F.col(text).alias("t"))
-    return rows.mapInPandas(run, f"id {kind}, sentence_no int, start_char int, sentence string")
+    again = rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")  # few, so that texts need no shuffle
+    once = rows.join(again, "id", "left_anti").unionByName(rows.join(again, "id", "left_semi").distinct())
+    return once.mapInPandas(run, f"id {kind}, sentence_no int, start_char int, sentence string")

@@ -4,10 +4,13 @@ Contents are lexed into rows: each different pair of adjacent token classes of a
 bracket that does not close in its own line, each lexical error. Pairs are anti-joined against those that the grammar
 of the language permits. Brackets, indented blocks among them, are validated with windowed reductions: the running sum
 of openers and closers gives a depth, and along each depth of a file openers and matching closers must alternate.
-Statement productions are checked on the same rows: a try block's closer must be followed by a handler, a JSON text is
-one value, a Go file begins with its package clause.
+Statement productions are checked on the same rows: a try block's closer must be followed by a handler and a do block's
+by its condition, a JSON text is one value, a Go file begins with its package clause. Headers, argument and parameter
+lists, displays, conditional expressions and assignment targets are rows of their own, each the sequence of its parts,
+and are matched against PRODUCTIONS.
 
-Token classes are single characters; the tables of permitted pairs are generated from follow sets below.
+Token classes are single characters; the tables of permitted pairs are generated from follow sets below. Commas and line
+ends have classes by the bracket they stand in.
 """
 
 from __future__ import annotations
@@ -41,7 +44,7 @@ PY_STATEMENT = PY_START + "@*yfFADRMtxgphLYXQedZTt" + "m"
 PY_NEW = "".join(c for c in PY_STATEMENT if c not in "eLXQ")
 PY_FOLLOW = (
     dict.fromkeys(PY_END, PY_AFTER_END)
-    | {"s": PY_AFTER_END + "s", "m": PY_AFTER_END + PY_START, "u": PY_START, "~": PY_START, "o": PY_START + ",):", "*": PY_START + ",):", "^": PY_START, "<": PY_START, "=": PY_START + "*y", "a": PY_START + "*y", "w": PY_START + "y", "r": PY_START, "b": PY_START, "!": PY_START + "i", "i": PY_START + "*", "I": PY_START}
+    | {"s": PY_AFTER_END + "s", "m": PY_AFTER_END + PY_START, "u": PY_START, "~": PY_START, "o": PY_START + ",):", "*": PY_START + ",):NO;", "^": PY_START, "<": PY_START, "=": PY_START + "*y", "a": PY_START + "*y", "w": PY_START + "y", "r": PY_START, "b": PY_START, "!": PY_START + "i", "i": PY_START + "*", "I": PY_START}
     | {"(": PY_START + "*^)y", "[": PY_START + "*]:y", "{": PY_START + "*^}", ",": PY_START + "*^)]}NO=:oB", ":": PY_START + "*NOB],):=ytpxgRMhfFDA}", ".": "nmME.", ";": PY_NEW + "NO", "@": PY_START}
     | {"f": PY_START, "e": PY_START + ":", "F": PY_START + "*", "T": "nm([", "R": PY_START + ".E", "M": "nm(*", "D": "nm", "t": PY_START + "*NO;", "y": PY_START + "*RNO),;]}", "X": PY_START + ":*", "Y": ":", "Q": ":", "h": PY_START, "A": "DFh", "W": PY_START, "g": "nm", "x": PY_START, "p": "NO;", "L": PY_START, "l": "nm:*^"}
     | {"N": PY_NEW, "O": PY_STATEMENT, "B": ">", ">": PY_NEW.replace("Z", "").replace("d", ""), "d": PY_STATEMENT, "S": PY_NEW}
@@ -49,9 +52,9 @@ PY_FOLLOW = (
 
 # --- JavaScript and TypeScript ------------------------------------------------------------------------------------
 # n name, x contextual keyword, c number or constant, s string, t template, r regular expression, k private name, v ?. , q ?, > arrow, = , a assignment
-# operator, u + -, p ++ --, o binary operator, < and G for comparison and >, !, ~, . , D ..., V declaration, f function, K class, R return/throw, P keyword before (, E else/do, Y try, H catch,
+# operator, u + -, p ++ --, o binary operator, < and G for comparison and >, !, ~, . , j a comma outside of [ ], D ..., V declaration, f function, K class, R return/throw, P keyword before (, E do, e else, Y try, H catch,
 # Q finally, N new, U unary keyword, I in/instanceof, C case, F default, B break, M import, X export, W yield, T extends
-JS_KEYWORDS = dict.fromkeys(["var", "const"], "V") | {"let": "x", "function": "f", "class": "K", "return": "R", "throw": "R", "else": "E", "do": "E", "try": "Y", "catch": "H", "finally": "Q", "new": "N", "case": "C", "default": "F", "import": "M", "export": "X", "yield": "W", "extends": "T", "debugger": "B", "enum": "K"} | dict.fromkeys(["if", "while", "for", "switch", "with"], "P") | dict.fromkeys(["typeof", "void", "delete", "await"], "U") | dict.fromkeys(["in", "instanceof"], "I") | dict.fromkeys(["break", "continue"], "B") | dict.fromkeys(["this", "super", "null", "true", "false"], "c") | dict.fromkeys(["async", "of", "get", "set", "static", "from", "as"], "x")
+JS_KEYWORDS = dict.fromkeys(["var", "const"], "V") | {"let": "x", "function": "f", "class": "K", "return": "R", "throw": "R", "else": "e", "do": "E", "try": "Y", "catch": "H", "finally": "Q", "new": "N", "case": "C", "default": "F", "import": "M", "export": "X", "yield": "W", "extends": "T", "debugger": "B", "enum": "K"} | dict.fromkeys(["if", "while", "for", "switch", "with"], "P") | dict.fromkeys(["typeof", "void", "delete", "await"], "U") | dict.fromkeys(["in", "instanceof"], "I") | dict.fromkeys(["break", "continue"], "B") | dict.fromkeys(["this", "super", "null", "true", "false"], "c") | dict.fromkeys(["async", "of", "get", "set", "static", "from", "as"], "x")
 TS_WORDS = ["type", "interface", "declare", "namespace", "module", "abstract", "readonly", "public", "private", "protected", "keyof", "infer", "satisfies", "implements", "is", "asserts", "unique", "override", "accessor", "out", "global"]
 JS_TOKEN = re.compile(
     r"(?P<skip>[ \t\f\v ﻿]+|//[^\n\r ]*)|(?P<long>/\*)|(?P<nl>\r\n|[\n\r  ])|(?P<s>\"(?:[^\"\\\n\r]|\\(?:\r\n|[\s\S]))*\"|'(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*')|(?P<q>[\"'])|(?P<t>`)"
@@ -74,8 +77,11 @@ def _js_follow(typed: bool) -> dict[str, str]:
     if typed:
         follow[","] += "G"
         follow |= {"!": JS_START + "uoLG<*I=aqv.,;:)]}([", "o": JS_START + "<", "u": JS_START + "q", "I": JS_START, "T": JS_START, "=": JS_START + "o"}
-    follow |= {"V": "nx[{k" + ("K" if typed else ""), "f": "nx(*" + ("<" if typed else ""), "K": "nx{T" + ("<" if typed else ""), "R": JS_START + ";}", "P": "(xU", "E": JS_STATEMENT, "Y": "{", "H": "({", "Q": "{", "N": "ncx(.fK[t", "U": JS_START + ")" + ("G,;]}|o:=" if typed else ""), "C": JS_START, "F": ":" + JS_START + "xV" + "},", "B": "nx;}Z", "M": "nxs{*(.t" + ("=" if typed else ""), "X": "VfKxF{*nM@" + ("=" if typed else ""), "W": JS_START + "*;)],}", "T": JS_START, "@": "nxc(", "S": JS_STATEMENT + "Z"}
-    return follow
+    follow |= {"V": "nx[{k" + ("K" if typed else ""), "f": "nx(*" + ("<" if typed else ""), "K": "nx{T" + ("<" if typed else ""), "R": JS_START + ";}", "P": "(xU", "E": JS_STATEMENT, "Y": "{", "H": "({", "Q": "{", "N": "ncx(.fK[t", "U": JS_START + ")" + ("G,;]}|o:=Z" if typed else ""), "C": JS_START, "F": ":" + JS_START + "xV" + "},", "B": "nx;}Z", "M": "nxs{*(.t" + ("=" if typed else ""), "X": "VfKxF{*nM@" + ("=" if typed else ""), "W": JS_START + "*;)],}", "T": JS_START, "@": "nxc(", "S": JS_STATEMENT + "Z"}
+    follow |= {"e": JS_STATEMENT, "j": follow[","].replace(",", "")}
+    follow["}"] += "e"
+    follow[";"] += "e"
+    return {a: b + "j" * ("," in b) for a, b in follow.items()}
 
 
 # --- Go -----------------------------------------------------------------------------------------------------------
@@ -89,8 +95,9 @@ GO_TOKEN = re.compile(
 GO_OPERATORS = {"...": "D", "<-": "A", ":=": "d", "=": "=", "++": "p", "--": "p", "+": "u", "-": "u", "*": "*", "&": "&", "!": "!", "~": "!", "^": "u"} | dict.fromkeys(["<<=", ">>=", "&^=", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^="], "a") | dict.fromkeys(["==", "!=", "<=", ">=", "<", ">"], "L") | dict.fromkeys(["<<", ">>", "&^", "&&", "||", "/", "%", "|"], "o")
 GO_START = "ncs([u*&!AFKmC"
 GO_AFTER = "u*&oL=da:.,;([)]}{pAD"
-GO_STATEMENT = GO_START + "TVRIHJBg;}{EM"
-GO_FOLLOW = {"n": GO_AFTER + "nsFKmC*[", "c": "u*&oL=a:.,;)]}{D", "s": "u*&oL=a:.,;([)]}{", ")": GO_AFTER + "nFKmC", "]": GO_AFTER + "nFKmC", "}": GO_AFTER + "Es", "(": GO_START + ")DT", "[": GO_START + "]:D", "{": GO_STATEMENT + "", ",": GO_START + ")}]DG_", ";": GO_STATEMENT + "Z)", ":": GO_STATEMENT + "])}G", ".": "n(Ts", "u": GO_START, "*": GO_START, "&": GO_START, "o": GO_START, "L": GO_START, "!": GO_START, "A": GO_START + "C", "D": GO_START + ")]},", "=": GO_START + "G", "d": GO_START + "G", "a": GO_START, "p": ";{})", "P": "n", "M": "s(n.", "F": "n(", "T": "n()", "K": "{", "m": "[", "C": GO_START, "V": "n(", "R": GO_START + ";}", "I": GO_START + "{;VG", "E": "{I", "G": GO_START, "H": GO_START, "J": ":", "B": "n;}", "g": GO_START, "S": "P"}
+GO_STATEMENT = GO_START + "TVRIHJBg;}{M"
+GO_FOLLOW = {"n": GO_AFTER + "nsFKmC*[", "c": "u*&oL=a:.,;)]}{D", "s": "u*&oL=a:.,;([)]}{", ")": GO_AFTER + "nFKmC", "]": GO_AFTER + "nFKmC", "}": GO_AFTER + "Es", "(": GO_START + ")DT", "[": GO_START + "]:D", "{": GO_STATEMENT + "", ",": GO_START + ")}]DG_{", ";": GO_STATEMENT + "Z)", ":": GO_STATEMENT + "])}G", ".": "n(Ts", "u": GO_START, "*": GO_START, "&": GO_START, "o": GO_START, "L": GO_START, "!": GO_START, "A": GO_START + "C", "D": GO_START + ")]},", "=": GO_START + "G", "d": GO_START + "G", "a": GO_START, "p": ";{})", "P": "n", "M": "s(n.", "F": "n(", "T": "n()", "K": "{", "m": "[", "C": GO_START, "V": "n(", "R": GO_START + ";}", "I": GO_START + "{;VG", "E": "{I", "G": GO_START, "H": GO_START, "J": ":", "B": "n;}", "g": GO_START, "S": "P"}
+GO_FOLLOW = {a: b + "j" * ("," in b) for a, b in (GO_FOLLOW | {"j": "".join(c for c in GO_FOLLOW[","] if c not in ")}]")}).items()}
 
 # --- JSON ---------------------------------------------------------------------------------------------------------
 # k key string, v any other value, : , o and l comma in an object or list
@@ -98,6 +105,19 @@ JSON_TOKEN = re.compile(r"(?P<skip>[ \t\r\n]+)|(?P<v>\"(?:[^\"\\\x00-\x1f]|\\(?:
 JSON_KEY = re.compile(r"[ \t\r\n]*:")
 JSON_FOLLOW = {"S": "v[{", "{": "k}", "k": ":", ":": "v[{", "v": "ol}]Z", "}": "ol}]Z", "]": "ol}]Z", "[": "v[{]", "o": "k", "l": "v[{"}
 
+#: What the parts of a production may be, by language and its name. A call's parts are p positional, k keyword, s *, w **;
+#: a parameter list's p plain, d with default, s *name, b bare *, w **name, /; a display's d key and value, e element,
+#: w **; a conditional's f if and e else; a target's are token classes; a header's ; i (in or of) and x (anything else).
+PY_TARGET = r"\*?(?:(?:[nmcs]|\(\)|\[\]|\{\})(?:\.[nm]|\(\)|\[\])*(?:\.[nm]|\[\])|[nm]|\(\)|\[\])"
+PRODUCTIONS = {
+    ("Python", "call"): r"[ps]*[ks]*[kw]*",
+    ("Python", "parameters"): r"(?!/)(?!.*/.*/)p*(?:/p*)?d*(?:/d*)?(?:(?:s[pd]*|b[pd]+)w?|w)?",
+    ("Python", "display"): r"[dw]*|[es]*",
+    ("Python", "conditional"): r"(?:f(?:f(?:fe)*e)*e)*",
+    ("Python", "target"): rf"{PY_TARGET}(?:,{PY_TARGET})*,?(?::.*)?|mn(?:\[\])?",
+} | {(language, name): pattern for language in ("JavaScript", "TypeScript") for name, pattern in {"for": ";;|i", "if": "x", "while": "x", "switch": "x", "with": "x", "case in": "switch", "constant without value": "", "function without name": ""}.items()}
+PRODUCTIONS |= {("Go", name): pattern for name, pattern in {"for": "|;;", "if": ";?", "switch": ";?", "select": "", "header without block": "", "two names": "fields|any", "three names": ""}.items()}
+
 FOLLOW = {"Python": PY_FOLLOW, "JavaScript": _js_follow(False), "TypeScript": _js_follow(True), "Go": GO_FOLLOW, "JSON": JSON_FOLLOW}
 
 
@@ -109,6 +129,7 @@ class Sink:
         self.brackets: list[tuple[int, str, str]] = []
         self.error: tuple[int, str] | None = None
         self.line_from = 0
+        self.productions: dict[str, int] = {}
 
     def bracket(self, line: int, kind: str, note: str = "") -> None:
         if kind in CLOSE and len(self.brackets) > self.line_from and self.brackets[-1][1] == MATCH[kind] and not self.brackets[-1][2] and not note:
@@ -116,10 +137,54 @@ class Sink:
         else:
             self.brackets.append((line, kind, note))
 
+    def production(self, name: str, parts: str, line: int) -> None:
+        self.productions.setdefault(f"{name}:{parts}", line)
+
     def end_line(self) -> None:
         self.line_from = len(self.brackets)
 
 
+class Level:
+    """What stands between two Python brackets, or one statement: token classes in parts, inner brackets closed up."""
+
+    def __init__(self, name: str) -> None:
+        self.name, self.parts, self.part = name, [], []
+
+    def cut(self) -> None:
+        self.parts.append("".join(self.part))
+        self.part = []
+
+    def close(self, out: Sink, line: int) -> None:
+        if self.part:
+            self.cut()
+        whole = ",".join(self.parts)
+        for part in whole.split("F")[0].split(","):
+            ways = "".join(c for c in part if c in "fe")
+            if ways:
+                out.production("conditional", ways, line)
+        if "F" in whole:
+            return
+        if self.name == "call" and len(self.parts) > 1:
+            out.production("call", "".join("k" if x[1:2] == "=" else "s" if x[:1] == "*" else "w" if x[:1] == "^" else "p" for x in self.parts), line)
+        elif self.name == "parameters" and self.parts:
+            out.production("parameters", "".join("w" if x[:1] == "^" else "b" if x == "*" else "s" if x[:1] == "*" else "/" if x == "o" else "d" if "=" in x else "p" for x in self.parts), line)
+        elif self.name == "{" and len(self.parts) > 1:
+            out.production("display", "".join("w" if x[:1] == "^" else "s" if x[:1] == "*" else "d" if ":" in x.split("l")[0] else "e" for x in self.parts), line)
+
+    def statement(self, out: Sink, line: int) -> None:
+        """End a statement: its targets and conditionals."""
+        self.cut()
+        whole = ",".join(self.parts)
+        head = whole[:1]
+        if head != "m" or "=" in whole:
+            ways = "".join(c for c in whole[head in ("f", "e") :].split("F")[0] if c in "fe") if head not in ("F", "A") else ""
+            if ways:
+                out.production("conditional", ways, line)
+        for target in whole.split("l")[0].split("=")[:-1] if "=" in whole.split("l")[0] else ():
+            out.production("target", target, line)
+        self.parts = []
+
+
 def lex_python(text: str, out: Sink) -> None:
     at, line, depth, prev, begin = 0, 1, 0, "S", True
     indents, head, last_open = [0], "", ""
@@ -127,6 +192,7 @@ def lex_python(text: str, out: Sink) -> None:
     if text.startswith("﻿"):
         at = 1
     fresh = False
+    levels, defined, before = [Level("")], "", ""
     while at < n:
         if begin and not depth:
             stop = at
@@ -169,6 +235,7 @@ def lex_python(text: str, out: Sink) -> None:
                 continue
             begin = True
             out.end_line()
+            levels[0].statement(out, line - 1)
             if prev in "SNOBd>":
                 continue
             code = "B" if prev == ":" and last_open else "O" if last_open else "N"
@@ -199,6 +266,8 @@ def lex_python(text: str, out: Sink) -> None:
             code = PY_KEYWORDS.get(value, "n")
             if prev == ".":
                 code = "n" if code in "nm" else code
+            if code == "D":
+                defined = value
             if fresh:
                 last_open = value if value in ("if", "for", "while", "with", "try", "except", "finally", "else", "elif", "def", "class", "async", "match", "case") else ""
         else:
@@ -206,12 +275,26 @@ def lex_python(text: str, out: Sink) -> None:
             if code in OPEN:
                 depth += 1
                 out.bracket(line, code)
+                named = "parameters" if before == "D" and defined == "def" else "call" if prev in "nm)]" else ""
+                levels[-1].part.append(code)
+                levels.append(Level(named if code == "(" else code))
             elif code in CLOSE:
                 depth = max(0, depth - 1)
                 out.bracket(line, code)
+                if len(levels) > 1:
+                    levels.pop().close(out, line)
+                levels[-1].part.append(code)
+        if code == ";" or code == ":" and not depth and last_open and "l" not in levels[0].part:
+            levels[0].statement(out, line)
+        elif code == ",":
+            levels[-1].cut()
+        elif code not in OPEN and code not in CLOSE:
+            levels[-1].part.append(code)
+        before = "" if code == "[" and before == "D" else before if before == "D" and prev in "D" else code if code == "D" else ""
         fresh = False
         pairs.setdefault(prev + code, line)
         prev = code
+    levels[0].statement(out, line)
     if depth == 0 and prev not in "SNOBd>":
         code = "B" if prev == ":" and last_open else "O" if last_open else "N"
         pairs.setdefault(prev + code, line)
@@ -265,12 +348,47 @@ def _bad_braces(body: str, raw: bool) -> bool:
     return depth != 0
 
 
+class Block:
+    """An open bracket: its kind (block, literal, list, fields, any), what it belongs to, and the statement in it so far."""
+
+    def __init__(self, kind: str, name: str, opener: str = "", members: bool = False) -> None:
+        self.kind, self.name, self.opener, self.members, self.header, self.line, self.classes, self.any = kind, name, opener, members, "", 0, False, False
+        self.begin()
+
+    def begin(self) -> None:
+        self.head, self.entered, self.semicolons, self.function, self.seen = "", False, 0, False, ""
+
+
+def _js_block(code: str, prev: str, name: str, around: Block, typed: bool) -> Block:
+    if code != "{":
+        return Block("list", name, code)
+    inner = around.kind != "block"
+    literal = prev in "([" or prev in ",j:" and inner or prev in "=Rq" and not typed
+    return Block("literal" if literal and not around.classes else "block", name, code, around.classes or prev in "=Rq:")
+
+
+def _go_block(code: str, prev: str, around: Block) -> Block:
+    if code != "{":
+        return Block("any" if prev in "MVT" else "list", "", code)
+    if prev == "K":
+        return Block("fields", "", code)
+    if prev in ",j:({=d&" and around.kind in ("literal", "list"):
+        return Block("literal", "", code)
+    if around.any or around.head and prev not in ")" or around.function and prev != ")":
+        return Block("any", "", code)
+    if prev in ")E;{I":
+        return Block("block", "", code)
+    return Block("literal" if prev in "n]" and not around.head and around.kind in ("block", "list", "literal") else "any", "", code)
+
+
 def _lex_c(text: str, out: Sink, token: re.Pattern, keywords: dict[str, str], operators: dict[str, str], go: bool, after_operand: str) -> None:
     at, line, prev, fresh = 0, 1, "S", False
     n, match, pairs, depth = len(text), token.match, out.pairs, 0
     if text.startswith("#!") and not go:
         at = text.find("\n") if "\n" in text else n
-    prev2 = ""
+    prev3, prev2, stack, word, closed, tried, typed = "", "", [], "", "", None, keywords.get("interface") == "x"
+    names = 0
+    top = Block("block", "") if go else Block("block", "", "")
     while at < n:
         m = match(text, at)
         if not m:
@@ -316,9 +434,11 @@ def _lex_c(text: str, out: Sink, token: re.Pattern, keywords: dict[str, str], op
                 return
         elif kind == "n":
             code = keywords.get(value, "n")
-            if code != "n" and (prev in ".v" and prev != "S" or not go and code != "x" and value not in ("default", "case", "return", "else") and re.match(r"\s*:(?!:)", text[at : at + 3]) and prev in "{,"):
+            if code != "n" and (prev in ".v" and prev != "S" or not go and code != "x" and value not in ("default", "case", "return", "else") and re.match(r"\s*:(?!:)", text[at : at + 3]) and prev in "{,j"):
+                code = "n"
+            elif value == "const" and prev == "x" and not go and text[m.start() - 3 : m.start() - 1] == "as":
                 code = "n"
-            elif code not in "nx" and not go and prev in "{,;}>" and text[at : at + 1] == "(" and code not in "PUHRMcNWfI":
+            elif code not in "nx" and not go and prev in "{,j;}>" and text[at : at + 1] == "(" and code not in "PUHRMcNWfI":
                 code = "n"
         elif kind == "k":
             code = "k"
@@ -328,29 +448,85 @@ def _lex_c(text: str, out: Sink, token: re.Pattern, keywords: dict[str, str], op
             at, code = r.end(), "r"
         else:
             code = operators.get(value, value)
-            if code in OPEN:
-                depth += 1
-                out.bracket(line, code, "try" if prev == "Y" and not go else "")
-            elif code in CLOSE:
-                depth -= 1
-                note = re.match(r"\s*(?:(?://[^\n]*\n|/\*(?:[^*]|\*(?!/))*\*/)\s*)*(catch|finally)\b", text[at : at + 400]) if code == "}" and not go else None
-                out.bracket(line, code, note[1] if note else "")
+            if code == "," and (top.kind == "block" if go else top.opener != "["):
+                code = "j"
+        if tried is not None and not go:
+            if value in ("catch", "finally", "while"):
+                out.brackets[tried] = (*out.brackets[tried][:2], value)
+            tried = None
         if go:
             if fresh and prev in "ncs)]}pRB":
-                pairs.setdefault(prev + ";", line)
-                if depth - (code in OPEN) == 0 and prev != "P" and code not in ")]}":
+                pairs.setdefault(prev + ("X" if top.kind in ("list", "literal") else ";"), line)
+                if depth == 0 and prev != "P" and code not in ")]}":
                     pairs.setdefault("0" + code, line)
                 pairs.setdefault(";" + code, line)
+                if top.head and not top.entered:
+                    out.production("header without block", top.head, line)
+                top.begin()
             else:
                 pairs.setdefault(prev + code, line)
+            if code == ";":
+                top.semicolons += 1
+                if not top.head:
+                    top.begin()
+            elif code == "I":
+                top.head, top.entered, top.semicolons = value, False, 0
+            elif code == "F":
+                top.any = top.any or prev == "]"
+                top.function = True
+            names = (0 if fresh else names) + 1 if code == "n" else 0
+            if names == 3:
+                out.production("three names", "nnn", line)
+            elif top.seen == "n" and code == "n" and top.kind == "block" and depth:
+                out.production("two names", top.kind, line)
+            top.seen += code if len(top.seen) < 2 else ""
         else:
-            if not (fresh and (prev in JS_END + "pRB;" or code in "p")):
+            if not (fresh and top.kind == "block" and (prev in JS_END + "pRB;" or code in "p")):
                 pairs.setdefault(prev + code, line)
             if prev2 + prev == "(n" and code == ":" and not fresh:
                 pairs.setdefault("(:", line)
             if prev2 == "S" and prev == "{" and code == "s":
                 pairs.setdefault("S{s", line)
-        prev2, prev, fresh = prev, code, False
+            if prev == "f" and code == "(" and (prev2 in "S;{" or prev2 == "}" and top.kind == "block" and line > top.line) and top.kind == "block" and not top.members:
+                out.production("function without name", "f", line)
+            if code == "C":
+                out.production("case in", top.name, line)
+            if code == ";" and prev in "nx" and prev2 == "V" and word == "const" and prev3 != "x":
+                out.production("constant without value", ";", line)
+            top.header += "" if code in CLOSE else ";" if code == ";" else "i" if code == "I" or value == "of" and prev in "nx]}" else "x"
+        if code in OPEN:
+            depth += 1
+            stack.append(top)
+            if go:
+                top = _go_block(code, prev, top)
+                if code == "{" and stack[-1].head and not stack[-1].entered:
+                    out.production(stack[-1].head, ";" * stack[-1].semicolons, line)
+                    stack[-1].entered = True
+                out.bracket(line, code)
+            else:
+                name = ("for" if prev == "U" and prev2 == "P" else word if prev == "P" else "") if code == "(" else "try" if prev == "Y" else "do" if prev == "E" else closed if prev == ")" else ""
+                top = _js_block(code, prev, name, top, typed)
+                out.bracket(line, code, name if name in ("try", "do") else "")
+        elif code in CLOSE:
+            depth -= 1
+            if not go and top.opener == "(" and top.name in ("for", "if", "while", "switch", "with"):
+                kept = top.header.replace("x", "") if top.name == "for" else "".join(sorted(set(top.header)))
+                out.production(top.name, "i" if top.name == "for" and "i" in kept and ";" not in kept else kept.replace("i", "") if top.name == "for" else kept.replace("i", "x")[:1] if ";" not in kept else kept, line)
+            closed = top.name if top.opener == "(" else ""
+            if not go and code == "}" and top.name in ("try", "do"):
+                out.brackets.append((line, code, ""))
+                tried = len(out.brackets) - 1
+            else:
+                out.bracket(line, code)
+            top = stack.pop() if stack else Block("block", "")
+            top.line = line
+        if kind == "n" and code in "PVK":
+            word = value
+        if code in "K" and not go or value in ("interface", "enum", "declare", "namespace", "module") and not go:
+            top.classes = True
+        elif code in ";":
+            top.classes = False
+        prev3, prev2, prev, fresh = prev2, prev, code, False
     if prev not in JS_END + "pRB;S" or (go and prev == "S"):
         pairs.setdefault(prev + "Z", line)
 
@@ -442,11 +618,12 @@ def permitted() -> list[tuple[str, str]]:
 
 
 def lexed(text: str, language: str) -> list[tuple[str, int, int, str, str]]:
-    """(kind, seq, line, code, note): kind P a pair, B a bracket, E an error."""
+    """(kind, seq, line, code, note): kind P a pair, B a bracket, S a production, E an error."""
     out = Sink()
     LEXERS[language](text, out)
     rows = [("P", 0, line, pair, "") for pair, line in out.pairs.items()]
     rows += [("B", k, line, kind, note) for k, (line, kind, note) in enumerate(out.brackets)]
+    rows += [("S", 0, line, parts, name) for made, line in out.productions.items() for name, parts in [made.split(":", 1)]]
     if out.error:
         rows.append(("E", 0, out.error[0], out.error[1], ""))
     return rows
@@ -468,6 +645,9 @@ def faults(rows: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     table = F.broadcast(spark.createDataFrame(permitted(), "language string, code string"))  # under 10,000 pairs
     wrong = rows.where("kind = 'P'").join(table, ["language", "code"], "left_anti").select("key", "line", F.concat(F.lit("token pair "), "code").alias("fault"))
+    valid = F.broadcast(spark.createDataFrame([(*k, f"^(?:{v})$") for k, v in PRODUCTIONS.items()], "language string, note string, pattern string"))  # under 100 rows
+    made = rows.where("kind = 'S'").join(valid, ["language", "note"], "left").where("not coalesce(code rlike pattern, true)")
+    wrong = wrong.unionByName(made.select("key", "line", F.concat_ws(" ", F.lit("production"), "note", "code").alias("fault")))
     lexical = rows.where("kind = 'E'").select("key", "line", F.col("code").alias("fault"))
     opens = F.col("code").isin(*OPEN, ">")
     ordered = Window.partitionBy("key").orderBy("seq")
@@ -476,7 +656,7 @@ def faults(rows: DataFrame) -> DataFrame:
     b = rows.where("kind = 'B'").select("key", "seq", "line", "code", "note", depth.alias("depth"), opens.alias("opens"))
     b = b.select("*", F.lag("code").over(along).alias("before"), F.lag("note").over(along).alias("block"), F.lead("code").over(along).alias("after"))
     partner = F.create_map(*[F.lit(x) for pair in MATCH.items() for x in pair])
-    handler = F.col("block").eqNullSafe("try") & ~F.col("note").isin("except", "catch", "finally")
+    handler = F.col("block").eqNullSafe("try") & ~F.col("note").isin("except", "catch", "finally") | F.col("block").eqNullSafe("do") & (F.col("note") != "while")
     orphan = F.when(F.col("note") == "except", ~F.col("block").isin("try", "except")).when(F.col("note") == "elif", ~F.col("block").isin("if", "elif")).when(F.col("note") == "finally", ~F.col("block").isin("try", "except", "else") & (F.col("code") == "<")).when((F.col("note") == "else"), ~F.col("block").isin("if", "elif", "for", "while", "try", "except", "async")).when(F.col("note") == "catch", F.col("block") != "try").otherwise(False)
     bad = (~F.col("opens") & (F.col("before").isNull() | (F.col("before") != F.element_at(partner, F.col("code"))) | handler | orphan)) | (F.col("opens") & (F.col("after").isNull() | F.col("after").isin(*OPEN, ">")))
     return wrong.unionByName(lexical).unionByName(b.where(bad).select("key", "line", F.concat(F.lit("unmatched "), "code").alias("fault")))

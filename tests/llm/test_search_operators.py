@@ -144,12 +144,12 @@ def test_leakage(spark):
     ]
     frame = spark.createDataFrame(docs, "doc_id int, text string").withColumn("item_id", F.lit(5)).withColumn("seed", F.lit(1))
     rows = leakage.leaks(frame, items)
-    found = {(x.doc_id, x.item_id) for x in leakage.leaked(rows).collect()}
-    assert found == {(10, 1), (13, 2)}
+    found = {(x.doc_id, x.item_id, x.exact) for x in leakage.leaked(rows).collect()}
+    assert found == {(10, 1, True), (13, 2, True), (12, 1, False)}
     tolerant = {(x.doc_id, x.item_id): (x.longest_run, x.tolerant_span, x.tolerant_equal) for x in rows.collect()}
     assert tolerant[(12, 1)] == (8, 25, 23) and tolerant[(10, 1)][0] == 12
-    shuffled = {(x.doc_id, x.item_id) for x in leakage.leaked(leakage.leaks(frame, items, filter_seeds=3)).collect()}
-    assert shuffled == found
+    blocks = {(x.doc_id, x.item_id, x.exact) for x in leakage.leaked(leakage.leaks(frame, items, block_chars=30)).collect()}
+    assert blocks == found
 
 
 def test_leakage_of_nothing(spark):

@@ -3,6 +3,7 @@
 import ast
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -38,6 +39,26 @@ def test_valid_sources_have_no_fault(spark):
     assert [(r.id, r.line, r.fault) for r in syntax.unparsable(*syntax_frames(spark, texts)).collect()] == []
 
 
+VALID = {
+    'Python': ['from . import *\n', 'f(*a, b=1, **c)\n', 'def f(a, /, b, *, c=1, **k): pass\n', 'x = y if z else w\n', 'a[1:2] = 3\n', 'a.b, *c = d\n', '(a, b) = c = d\n', 'x: int = 1\n', 'f = lambda x=1: x\n', '{**a, "b": 1}\n', '{1, *b}\n', '[x for x in y if z]\n', 'print(*a, sep="")\n', 'def f(*, a): pass\n', 'if a: b = 1\nelse: c = 2\n', 'for x in y:\n  z = 1\nelse:\n  w = 2\n', 'match x:\n  case [a, b] if c:\n    d = 1\n', 'class A(B, metaclass=M): pass\n', 'x = f(a)[0].b\n', 'f(a)[0] = 1\n', 'f(x for x in y)\n', 'type X = int\n', 'with a as b, c as d: e = f\n', 'x = [a if b else c for d in e if f]\n', 'lambda: (yield)\n', 'def f[T](a: T = 1, *b): pass\n', 'a = b = (c if d else e if f else g)\n', 'x = {k: v for k, v in a if b}\n', 'x[a if b else c] = 1\n', 'async def f(a=1): pass\n', 'f"{a!r}" "b"\n', '@a(b=1)\ndef f(): pass\n', 'assert a if b else c, "d"\n', 'x = {"a": lambda y: y, "b": 2}\n', 'def f(a, b=1, *c, d, e=2, **g): pass\n', 'return_ = 1; x = 2\n', 'a, b = b, a\n', '[a, b] = c\n', 'x = y = z\n', 'global_ = {\n "a": 1,\n "b": {2, 3},\n}\n', 'try:\n  x = 1\nexcept (A, B) as e:\n  y = 2\nfinally: z = 3\n'],
+    'TypeScript': ['let x = a as const;\n', 'const f = function (a) {};\n', 'for (const x of y) {}\n', 'for (let i = 0; i < 3; i++) {}\n', 'for (;;) {}\n', 'for (const k in o) {}\n', 'do { x() } while (y);\n', 'if (a) { } else if (b) { } else { }\n', 'switch (x) { case 1: break; default: y(); case 2: { z() } }\n', 'const a = [1,,2];\n', 'export default function (a) {}\n', 'type A = {\n  a: string\n  b: number\n}\n', 'class A {\n  a = 1\n  b = 2\n  f() {\n  }\n  get x() { return 1 }\n}\n', 'foo(a,\n  b,\n);\n', 'const x = {\n a: 1,\n b,\n};\n', 'declare const y;\n', 'export declare const z: number;\n', 'const q = a\n  ? b\n  : c;\n', 'interface I {\n  a: string\n  b(): void\n}\n', 'enum E { A = 1, B }\n', 'foo(() => {\n  a()\n  b()\n})\n', 'const {a, ...b} = c;\n', 'try { a() } catch { b() } finally { c() }\n', 'while (x) y();\n', 'for await (const a of b) { c() }\n', 'if (a) b(); else c();\n', 'const s = `a${b}`\n', 'x = {\n  f() {\n   return 1\n  },\n  async g() {},\n}\n', 'type F = (a: string,\n b: number) => void\n', 'label: for (;;) { continue label }\n', 'return_({ a: 1, b: [1, 2] })\n', 'export const enum Q { A }\n', 'function f(\n  a: string,\n  b = 1,\n): void {\n}\n', 'foo<string>(a)\n', 'const g = <T,>(x: T) => x;\n', 'do x(); while (y)\n', 'if (a)\n  b()\nelse\n  c()\n', 'abstract class Z { abstract f(): void; private constructor(private readonly a: string) { super() } }\n'],
+    'Go': ['package a\n\nimport (\n\t"fmt"\n\tm "math"\n)\n\ntype T struct {\n\tA, B int\n\tC string `json:"a"`\n}\n\nfunc f(a int,\n\tb string,\n) (int, error) {\n\tif x := g(); x > 1 {\n\t\treturn 1, nil\n\t} else if y {\n\t\treturn 2, nil\n\t} else {\n\t}\n\tfor i := 0; i < 3; i++ {\n\t}\n\tfor {\n\t}\n\tfor _, v := range []int{1, 2} {\n\t}\n\tfor x {\n\t}\n\tswitch v := x.(type) {\n\tcase int:\n\tdefault:\n\t}\n\tx := []string{\n\t\t"a",\n\t\t"b",\n\t}\n\tm := map[string]func(int) error{\n\t\t"a": h,\n\t}\n\tgo func() {\n\t\tz()\n\t}()\n\tdefer func() {\n\t}()\n\tvar q int\n\tvar (\n\t\ta = 1\n\t\tb int\n\t)\n\tselect {\n\tcase <-c:\n\t}\n\treturn T{A: 1}, nil\n}\n\nfunc (t *T) M() []T {\n\treturn []T{\n\t\t{A: 1},\n\t\t{B: 2},\n\t}\n}\n\nvar D = &T{\n\tA: 1,\n}\n\ntype I interface {\n\tM() []T\n\tio.Reader\n}\n\nfunc g() func() error {\n\treturn func() error {\n\t\treturn nil\n\t}\n}\n'],
+}
+INVALID = {
+    'Python': ['1 = x\n', 'f(a=1, 2)\n', 'def f(x=1, y): pass\n', 'z = x if y\n', '{1: 2, 3}\n', 'def f(*): pass\n', 'f() = 1\n', 'f(**a, *b)\n', '[x if y]\n'],
+    'TypeScript': ['const x;\n', 'function (a) {}\n', 'for (let i = 0; i < 3) {}\n', 'while () {}\n', 'do { }\n', 'f(a,, b)\n', 'else { }\n', 'case 1:\n', 'foo(a\n b)\n', 'x = [\n "a"\n "b"\n]\n', 'f({ a: 1\n b: 2 })\n', 'if () {}\n', 'do { x } y()\n'],
+    'Go': ['package a\nfunc f() {\nif x\n{\n}\n}\n', 'package a\nfunc f() {\nfor i := 0; i < 3 {\n}\n}\n', 'package a\nfunc f() {\nelse {\n}\n}\n', 'package a\nfunc f() {\nreturn 1,\n}\n', 'package a\ntype T struct {\nA int B int\n}\n', 'package a\nfunc f() {\nwhile true {\n}\n}\n', 'package a\nvar x = []string{\n"a"\n"b",\n}\n', 'package a\nfunc f() {\ng(a,\nb\n)\n}\n'],
+}
+def test_productions(spark):
+    texts = [(lang, t) for lang, ts in VALID.items() for t in ts] + [(lang, t) for lang, ts in INVALID.items() for t in ts]
+    texts += [("TypeScript", "try { a() } // " + "x" * 500 + "\ncatch (e) { b() }\n")]
+    found = {x.id for x in syntax.unparsable(*syntax_frames(spark, texts)).collect()}
+    n = sum(map(len, VALID.values()))
+    assert [texts[i] for i in range(n) if f"f{i}" in found] == []
+    assert [texts[i] for i in range(n, len(texts) - 1) if f"f{i}" not in found] == []
+    assert f"f{len(texts) - 1}" not in found
+
+
 def test_damaged_sources_are_found(spark):
     r = random.Random(5)
     texts = [(lang, broken(r, lang, t)) for lang, t in GOOD.items() for _ in range(8) if lang != "JSON"]
@@ -86,11 +107,15 @@ MINI = "!function(a){{a.b=function(c){{return c.d||{0}}}}}(e);var f{0}={{g:{0},h
 def test_machine_written(spark):
     blobs, files = [], []
     add = lambda i, path, text, lang="JavaScript": (files.append((i, path, lang, i, "x")), blobs.append((i, text, 1.0)) if text is not None else None)
-    for k in range(60):
-        add(f"hand{k}", f"src/a{k}.js", HAND.format(k))
+    for k in range(200):
+        add(f"hand{k}", f"src/a{k}.js", HAND.format(k) + (f"out.push('{k} // made by hand, not edited');\n" if k % 3 else ""))
     for k in range(25):
         add(f"named{k}", f"dist/a{k}.min.js", "".join(MINI.format(k * 31 + j) for j in range(30)))
-        add(f"plain{k}", f"src/q{k}.js", "".join(MINI.format(k * 37 + j) for j in range(30)))
+        if k % 2:
+            add(f"plain{k}", f"src/q{k}.js", "".join(MINI.format(k * 37 + j) for j in range(30)))
+    add("late", "src/l.js", "/* " + "A licence. " * 60 + "*/\n" + "// line\n" * 300 + "// Code generated by tool. DO NOT EDIT.\n" + HAND.format(600))
+    add("long", "src/o.js", "// " + "x" * 460 + " Code generated by tool. DO NOT EDIT.\n" + HAND.format(601))
+    add("wrapped", "src/w.js", "\n".join(re.findall(".{1,180}", "".join(MINI.format(k) for k in range(90)))))
     add("notice", "src/n.js", "// Code generated by tool. DO NOT EDIT.\n" + HAND.format("N"))
     add("speaks", "src/s.js", HAND.format("S") + "out.push('// Code generated by tool. DO NOT EDIT.');\n// ids are generated by the store, do not edit them by hand\n")
     add("banner", "src/b.js", "/*! lib v1.2.3 | (c) 2020 lib | MIT */\n" + HAND.format("B"))
@@ -102,7 +127,7 @@ def test_machine_written(spark):
     f = spark.createDataFrame(files, "id string, path string, language string, hash string, content string")
     b = spark.createDataFrame([*blobs, ("null", None, 0.0), ("empty", "", 0.0)], "hash string, content string, probability double")
     found = {r.id for r in handwritten.machine_written(f, b).collect()}
-    assert found == {f"named{k}" for k in range(25)} | {f"plain{k}" for k in range(25)} | {"notice", "banner", "data", "vendored", "nohash"}
+    assert found == {f"named{k}" for k in range(25)} | {f"plain{k}" for k in range(1, 25, 2)} | {"late", "long", "wrapped", "notice", "banner", "data", "vendored", "nohash"}
 
 
 def test_machine_written_of_nothing(spark):
@@ -206,7 +231,7 @@ def reliable(n):
 def test_sentences(spark):
     rows = [(1, TEXT), (2, None), (3, ""), (4, " \n \n"), (1, TEXT), (None, "A b.")] + [(10 + i, t) for i, t in enumerate(reliable(60))]
     df = spark.createDataFrame(rows, "doc_id int, text string").withColumn("sentence", F.lit(1))
-    out = sentences.sentences(df.distinct(), "doc_id", "text").where("id < 10").orderBy("sentence_no").collect()
+    out = sentences.sentences(df, "doc_id", "text").where("id < 10").orderBy("sentence_no").collect()
     got = [r.sentence.replace("\n", " ") for r in out]
     assert got[:3] == ["# A heading. With a mark", "See fig. 3 for e.g. the first run.", "Dr. Check waits... and then stops at 4:30 p.m. sharp!"]
     assert 'Was it "No. It fails." or not?' in got and "- a list item. With two parts" in got and "* another" in got
