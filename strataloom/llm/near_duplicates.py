@@ -6,7 +6,7 @@ class is compared.
 
 The wanted overlap (words shared over words of the longer record) of at least s means a Jaccard similarity of the
 element sets of at least s / (2 - s). Bands are tuned for that value: BANDS bands of ROWS rows miss a pair just at the
-threshold s = 0.8 with probability (1 - (2/3)**8)**150 = 0.0026, one of overlap 0.82 with 0.0003. GROUP bands at a time
+threshold s = 0.8 with probability (1 - (2/3)**7)**100 = 0.0024, one of overlap 0.82 with 0.0003. GROUP bands at a time
 are shuffled and their pairs written, and their shuffle files go before the next ones, so that disk does not grow with
 the number of bands; texts are cut into words once. Pairs that meet in a band compare one-byte signatures in batches;
 after each batch a pair is dropped when the posterior probability (uniform prior) that it reaches the threshold is below
@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 from strataloom.llm.arrays import U64, Rolling, chunks, code_points, lower, mix, word_spans
 from strataloom.session import written
 
-BANDS, ROWS, SIGNATURE, BATCH, MISS = 150, 8, 64, 16, 1e-4
-GROUP = 50
+BANDS, ROWS, SIGNATURE, BATCH, MISS = 100, 7, 64, 16, 1e-4
+GROUP = 34
+#: Elements hashed at a time, so that their hashes stay in the processor's cache.
+STRIP = 32
 PAIRS = 1 << 20
 #: Rows of a band (estimated from one in SAMPLE of the bags) from which it is cut into blocks that meet two by two.
 HOT, SAMPLE = 8192, 64
@@ -79,12 +81,12 @@ class MinHashes:
 
     def __init__(self, lo: int, hi: int) -> None:
         self.a = _coefficients()[lo:hi]
-        self.room = np.empty((128, len(self.a)), dtype=np.uint32)
+        self.room = np.empty((STRIP, len(self.a)), dtype=np.uint32)
 
     def __call__(self, short: np.ndarray) -> np.ndarray:
         low = np.full(len(self.a), np.iinfo(np.uint32).max, dtype=np.uint32)
-        for at in range(0, len(short), 128):
-            part = short[at : at + 128]
+        for at in range(0, len(short), STRIP):
+            part = short[at : at + STRIP]
             made = np.multiply(part[:, None], self.a, out=self.room[: len(part)])
             np.minimum(low, made.min(axis=0), out=low)
         return low
