@@ -129,3 +129,54 @@ def cascade(path: Column, rules: Sequence[tuple[str, str]], otherwise: str) -> C
     for pattern, label in rules:
         out = F.when(path.rlike(pattern), label) if out is None else out.when(path.rlike(pattern), label)
     return out.otherwise(otherwise)
+
+
+def table_cell(text: Column) -> Column:
+    """Safe in a Markdown table."""
+    return F.replace(text, F.lit("|"), F.lit("\\|"))
+
+
+def node_id(text: Column) -> Column:
+    """Safe as a diagram's node id."""
+    return F.regexp_replace(text, "[^A-Za-z0-9_]", "_")
+
+
+def hash31(text: Column) -> Column:
+    """The sum of code units by powers of 31, modulo 2**32."""
+    units = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    return F.aggregate(units, F.lit(0).cast("long"), lambda h, c: (h * 31 + c) % 4294967296)
+
+
+def mask_grouped(number: Column) -> Column:
+    """123-45-6789 as ***-**-6789."""
+    return F.regexp_replace(number, r"^\d{3}-\d{2}-(\d{4})$", r"***-**-$1")
+
+
+def clamp(x: Column, low: float, high: float) -> Column:
+    return F.least(F.greatest(x, F.lit(low)), F.lit(high))
+
+
+def spoken(name: Column) -> Column:
+    """camelCase, snake_case and kebab-case as lower-case words."""
+    return F.lower(F.regexp_replace(F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1 $2"), "[_-]+", " "))
+
+
+def cited_path(citation: Column) -> Column:
+    return F.regexp_extract(citation, r"^(.*):\d", 1)
+
+
+def cited_lines(citation: Column) -> Column:
+    """[first, last] of path:line or path:line-line."""
+    first = F.regexp_extract(citation, r":(\d+)", 1).cast("long")
+    return F.array(first, F.coalesce(F.nullif(F.regexp_extract(citation, r"-(\d+)$", 1), F.lit("")).cast("long"), first))
+
+
+def identifier(name: Column) -> Column:
+    """The name in quotes if it is a plain identifier, else null: nothing else may become part of a statement."""
+    return F.when(name.rlike("^[A-Za-z_][A-Za-z0-9_]*$"), F.concat(F.lit('"'), name, F.lit('"')))
+
+
+def line_of(text: Column, at: Column) -> Column:
+    """The line, from 1, of the character at a place counted from 1."""
+    before = F.left(text, at - 1)
+    return (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).cast("long")

@@ -49,3 +49,24 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     inbound = edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("inbound"))
     outbound = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("outbound"))
     return nodes.select("node").distinct().join(inbound, "node", "left").join(outbound, "node", "left").na.fill(0, ["inbound", "outbound"])
+
+
+def layers(edges: DataFrame, focus: str, depth: int) -> DataFrame:
+    """(node, layer): steps from a focus along the links (positive) or against them (negative), the nearer way first."""
+    start = edges.sparkSession.createDataFrame([(focus,)], "start string")
+    down = reach(edges, start, depth).select("node", F.col("steps").alias("d"))
+    up = reach(edges, start, depth, up=True).select("node", F.col("steps").alias("u"))
+    nearer = F.col("d").isNull() | (F.col("u") < F.col("d"))
+    return down.join(up, "node", "full_outer").select("node", F.when(nearer, -F.col("u")).otherwise(F.col("d")).alias("layer"))
+
+
+def collections(edges: DataFrame, src_group, dst_group) -> DataFrame:
+    """(g, internal, users, used) of each group of nodes: weight inside it, different nodes outside that use it or are used."""
+    e = edges.withColumn("a", src_group).withColumn("b", dst_group)
+    each = e.withColumn("g", F.explode(F.array_distinct(F.array("a", "b"))))
+    apart = F.col("a") != F.col("b")
+    return each.groupBy("g").agg(
+        F.coalesce(F.sum(F.when(~apart, F.col("weight"))), F.lit(0)).alias("internal"),
+        F.count_distinct(F.when(apart & (F.col("b") == F.col("g")), F.col("src"))).alias("users"),
+        F.count_distinct(F.when(apart & (F.col("a") == F.col("g")), F.col("dst"))).alias("used"),
+    )

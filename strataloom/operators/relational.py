@@ -78,3 +78,53 @@ def pack(df: DataFrame, keys: Sequence[str], order: str, size: str, budget: int)
 
     folded = listed.select(*keys, F.explode(F.aggregate("items", start, step)["out"]).alias("x"))
     return folded.select(*keys, F.col("x.o").alias(order), F.col("x.batch").alias("batch"))
+
+
+def entries(df: DataFrame, extension: str | None = None, **allowed: Sequence[str] | None) -> DataFrame:
+    """Rows that meet all given conditions; a column's None means no condition. A leading dot of the extension goes."""
+    for column, values in allowed.items():
+        if values is not None:
+            df = df.where(F.col(column).isin(*values))
+    return df if extension is None else df.where(F.col("extension") == extension.lstrip(".").lower())
+
+
+def clamped(df: DataFrame, keys: Sequence[str], order: str, start: Column, end: Column) -> DataFrame:
+    """``start_ms`` never before an earlier row's, ``end_ms`` never after the next row's start."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    made = df.withColumn("start_ms", F.max(start).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_long", F.greatest(end - start, F.lit(0)))
+    ends = F.col("start_ms") + F.col("_long")
+    return made.withColumn("end_ms", F.least(ends, F.coalesce(F.lead("start_ms").over(w), ends))).drop("_long")
+
+
+def stacked(parts: Sequence[tuple[str, DataFrame]], name: str = "origin") -> DataFrame:
+    """Tables of different columns in one, each row with its table's name; missing columns are null."""
+    out = None
+    for origin, df in parts:
+        df = df.withColumn(name, F.lit(origin))
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
+def transitions(states: DataFrame, key: str, state: str, order: Sequence[str], allowed: Sequence[tuple[str, str]]) -> DataFrame:
+    """(key, before, state, allowed) of each change between two states of a key that follow each other."""
+    before = states.withColumn("before", F.lag(state).over(Window.partitionBy(key).orderBy(*order))).where(f"before is not null and before <> {state}")
+    return before.select(key, "before", state, F.concat_ws(">", "before", state).isin(*[f"{a}>{b}" for a, b in allowed]).alias("allowed"))
+
+
+def reassembled(pieces: DataFrame, key: str, start: str, size: str) -> DataFrame:
+    """(key, received, length, gaps): pieces put together by offset; one that comes twice counts once."""
+    p = pieces.groupBy(key, start).agg(F.max(size).alias(size))
+    reached = F.max(F.col(start) + F.col(size)).over(Window.partitionBy(key).orderBy(start).rowsBetween(Window.unboundedPreceding, -1))
+    gap = p.withColumn("_gap", F.col(start) > F.coalesce(reached, F.lit(0)))
+    return gap.groupBy(key).agg(F.sum(size).alias("received"), F.max(F.col(start) + F.col(size)).alias("length"), F.count_if("_gap").alias("gaps"))
+
+
+def throttled(events: DataFrame, keys: Sequence[str], at: str, every_ms: int, event_id: str) -> DataFrame:
+    """The first event of each key and slot of ``every_ms`` milliseconds."""
+    slot = F.floor(F.unix_millis(F.col(at).cast("timestamp")) / every_ms).alias("slot")
+    return events.groupBy(*keys, slot).agg(F.min(event_id).alias(event_id))
+
+
+def without(tables: dict[str, DataFrame], dead: DataFrame, key: str) -> dict[str, DataFrame]:
+    """The tables without the rows of dead keys."""
+    return {name: df.join(dead.select(key).distinct(), key, "left_anti") for name, df in tables.items()}
