@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,21 +64,30 @@ def ancestors(path: Column) -> Column:
 
 
 def pack(df: DataFrame, keys: Sequence[str], order: str, size: str, budget: int) -> DataFrame:
-    """Each row with its batch number: rows fill a batch in order until the next would pass the budget.
+    """Each row's keys and order with its batch number, from 0: rows fill a batch in order until the next would pass the budget.
 
-    The reset depends on what is in the batch, so it is a fold over each key's ordered sizes; a key's sizes (not its
-    rows' other columns) come together in one row.
+    The reset depends on what is in the batch, so a key is folded row by row: its sizes stream through one task in
+    order (no other columns do), which keeps two numbers per key. Null sizes count as 0; a row over the budget is a
+    batch of its own.
     """
-    listed = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s")))).alias("items"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("batch"), F.array().cast(f"array<struct<o:{df.schema[order].dataType.simpleString()},batch:int>>").alias("out"))
-
-    def step(acc: Column, item: Column) -> Column:
-        full = (acc["used"] > 0) & (acc["used"] + item["s"] > budget)
-        batch = (acc["batch"] + F.when(full, 1).otherwise(0)).cast("int")
-        return F.struct(F.when(full, item["s"]).otherwise(acc["used"] + item["s"]).alias("used"), batch.alias("batch"), F.array_append(acc["out"], F.struct(item["o"].alias("o"), batch.alias("batch"))).alias("out"))
-
-    folded = listed.select(*keys, F.explode(F.aggregate("items", start, step)["out"]).alias("x"))
-    return folded.select(*keys, F.col("x.o").alias(order), F.col("x.batch").alias("batch"))
+    narrow = df.select(*keys, order, F.coalesce(F.col(size), F.lit(0)).cast("long").alias("_size"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in narrow.schema.fields if f.name != "_size") + ", batch int"
+    names = list(keys)
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, used, batch = None, 0, 0
+        for frame in frames:
+            out = []
+            for now, n in zip(frame[names].itertuples(index=False, name=None), frame["_size"], strict=True):
+                if now != key:
+                    key, used, batch = now, 0, 0
+                if used and used + n > budget:
+                    used, batch = 0, batch + 1
+                used += n
+                out.append(batch)
+            yield frame[[*names, order]].assign(batch=pd.Series(out, dtype="int32", index=frame.index))
+
+    return narrow.repartition(*keys).sortWithinPartitions(*keys, order).mapInPandas(fold, schema)
 
 
 def entries(df: DataFrame, extension: str | None = None, **allowed: Sequence[str] | None) -> DataFrame:
@@ -88,6 +98,24 @@ def entries(df: DataFrame, extension: str | None = None, **allowed: Sequence[str
     return df if extension is None else df.where(F.col("extension") == extension.lstrip(".").lower())
 
 
+def resolved(rows: DataFrame, own: str, tiers: Sequence[Sequence[str]]) -> DataFrame:
+    """The rows with another one's ``own`` as target, of the first tier (from 1) whose columns agree, its smallest one.
+
+    A key needs its two smallest names only, so rows never meet all rows of their key. Rows that no other one matches
+    are left out.
+    """
+    out = rows
+    for n, keys in enumerate(tiers, 1):
+        keys = list(keys)
+        low = rows.groupBy(*keys).agg(F.min(own).alias("_low"))
+        second = rows.join(low, keys).where(F.col(own) != F.col("_low")).groupBy(*keys).agg(F.min(own).alias("_second"))
+        out = out.join(low.join(second, keys, "left"), keys, "left")
+        out = out.withColumn(f"_t{n}", F.when(F.col("_low") != F.col(own), F.col("_low")).otherwise(F.col("_second"))).drop("_low", "_second")
+    found = [F.col(f"_t{n}") for n in range(1, len(tiers) + 1)]
+    tier = F.coalesce(*[F.when(c.isNotNull(), F.lit(n)) for n, c in enumerate(found, 1)])
+    return out.select(*rows.columns, F.coalesce(*found).alias("target"), tier.alias("tier")).where("target is not null")
+
+
 def clamped(df: DataFrame, keys: Sequence[str], order: str, start: Column, end: Column) -> DataFrame:
     """``start_ms`` never before an earlier row's, ``end_ms`` never after the next row's start."""
     w = Window.partitionBy(*keys).orderBy(order)

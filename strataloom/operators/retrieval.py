@@ -6,11 +6,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataloom.functions.text import words
 from strataloom.operators.relational import top_k
+from strataloom.session import written
 
 K1, B = 1.4, 0.6
 #: Query vectors per block; a block goes to every task.
@@ -23,16 +24,21 @@ def postings(entries: DataFrame, id_column: str, text: str) -> DataFrame:
     return w.select("id", F.size("w").alias("length"), F.explode("w").alias("term")).groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
 
 
+def worded(entries: DataFrame, id_column: str, text: str) -> DataFrame:
+    """(id, w) of each entry's words."""
+    return entries.select(F.col(id_column).alias("id"), words(F.coalesce(text, F.lit(""))).alias("w"))
+
+
 def bm25(entries: DataFrame, id_column: str, text: str, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, id, score, matched, rank): the best ``k`` entries of each query.
 
     ``queries`` has query_id and term, one row per different term. Only postings of asked terms are kept before
     anything is grouped; corpus figures (entries, mean length) are one row.
     """
-    posts = postings(entries, id_column, text)
     totals = entries.agg(F.count("*").alias("n"), F.avg(F.size(words(F.coalesce(text, F.lit(""))))).alias("avg_length"))
     asked = queries.select("query_id", "term").distinct()
-    hits = posts.join(asked.select("term").distinct(), "term", "left_semi")
+    found = worded(entries, id_column, text).select("id", F.size("w").alias("length"), F.explode("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    hits = written(found.groupBy("id", "length", "term").agg(F.count("*").alias("tf")))
     frequency = hits.groupBy("term").agg(F.count("*").alias("df"))
     scored = hits.join(frequency, "term").join(asked, "term").crossJoin(F.broadcast(totals))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -71,7 +77,7 @@ def nearest(vectors: DataFrame, id_column: str, vector: str, queries: DataFrame,
                 s = q @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T
                 names = frame["id"].to_numpy()
                 s[ids[:, None] == names[None, :]] = -np.inf
-                keep = np.argsort(-np.round(s, 6), axis=1, kind="stable")[:, : k + 8]
+                keep = np.argsort(-np.round(s, 6), axis=1, kind="stable")[:, : k]
                 row = np.repeat(np.arange(len(ids)), keep.shape[1])
                 yield pd.DataFrame({"query_id": ids[row], "id": names[keep.ravel()], "similarity": s[row, keep.ravel()]})
 
@@ -88,3 +94,57 @@ def code_lines(texts: DataFrame, id_column: str, text: str, terms: Sequence[str]
     for t in terms:
         lines = lines.where(F.contains(F.lower("line"), F.lit(t.lower())))
     return top_k(lines, ["id"], ["line_no"], per_text).drop("rank")
+
+
+def boosted(best: DataFrame, entries: DataFrame, id_column: str, title: str, queries: DataFrame, k: int = 10) -> DataFrame:
+    """(query_id, id, score, matched, rank): lexical scores with boosts for terms that stand in the entry's title.
+
+    ``best`` is the result of ``bm25`` with as many entries as are to be re-ranked, ``queries`` has query_id, term and
+    phrase. Each term of the title adds 1.2 and counts as matched, the whole phrase (two characters or more) adds 4, and
+    the sum is weighted by half plus half the share of matched terms.
+    """
+    asked = queries.groupBy("query_id").agg(F.collect_set("term").alias("terms"), F.max("phrase").alias("phrase"))  # of one query
+    named = entries.select(F.col(id_column).alias("id"), F.lower(F.coalesce(title, F.lit(""))).alias("hay"))
+    both = best.select("query_id", "id", "score", "matched").join(asked, "query_id").join(named, "id")
+    inside = F.size(F.filter("terms", lambda t: F.contains(F.col("hay"), t)))
+    phrase = F.when((F.length("phrase") >= 2) & F.contains("hay", F.lower("phrase")), 4.0).otherwise(0.0)
+    matched = F.least(F.col("matched") + inside, F.size("terms"))
+    score = (F.col("score") + inside * 1.2 + phrase) * (F.lit(0.5) + F.lit(0.5) * matched / F.size("terms"))
+    scored = both.select("query_id", "id", score.alias("score"), matched.alias("matched"))
+    return top_k(scored, ["query_id"], [F.desc(F.round("score", 9)), "id"], k)
+
+
+def blended(lexical: DataFrame, similar: DataFrame, weights: DataFrame, least: float = 0.35) -> DataFrame:
+    """(query_id, id, score): lexical score over the query's highest, plus 0.8 times the cosine from ``least`` on, plus a quarter of the entry's importance.
+
+    ``lexical`` has query_id, id, score; ``similar`` query_id, id, similarity; ``weights`` id, importance. An entry that
+    only one side finds is kept.
+    """
+    top = F.greatest(F.max("score").over(Window.partitionBy("query_id")), F.lit(1e-9))
+    lex = lexical.select("query_id", "id", (F.col("score") / top).alias("lex"))
+    near = similar.where(F.col("similarity") >= least).select("query_id", "id", "similarity")
+    both = lex.join(near, ["query_id", "id"], "full_outer").join(weights.select("id", "importance"), "id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return both.select("query_id", "id", (zero("lex") + zero("similarity") * 0.8 + zero("importance") * 0.25).alias("score"))
+
+
+def looked_up(names: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query_id, id, exact): the entry of an asked name: spelled alike, else but for case; the most important, then the smallest id.
+
+    ``names`` has id, name, importance; ``asked`` query_id, name.
+    """
+    low = asked.select("query_id", F.col("name").alias("wanted"), F.lower("name").alias("key"))
+    met = names.withColumn("key", F.lower("name")).join(low, "key")
+    order = F.struct((F.col("name") != F.col("wanted")).alias("other"), (-F.coalesce("importance", F.lit(0.0))).alias("minus"), "id")
+    return met.groupBy("query_id").agg(F.min(order).alias("m")).select("query_id", "m.id", (~F.col("m.other")).alias("exact"))
+
+
+def excerpts(hits: DataFrame, spread: int = 10, bucket: int = 20, most: int = 14) -> DataFrame:
+    """(query_id, path, first_line, last_line, position): the places to show around hits, one per file and bucket of lines.
+
+    ``hits`` has query_id, path, line, score. The best hit of a bucket stays; ``most`` places per query.
+    """
+    placed = hits.withColumn("first_line", F.greatest(F.col("line") - spread, F.lit(1))).withColumn("last_line", F.col("line") + spread)
+    own = Window.partitionBy("query_id", "path", F.floor(F.col("first_line") / bucket)).orderBy(F.desc("score"), "line")
+    kept = placed.withColumn("_n", F.row_number().over(own)).where("_n = 1").drop("_n")
+    return top_k(kept, ["query_id"], [F.desc("score"), "path", "line"], most, "position").select("query_id", "path", "first_line", "last_line", "position")

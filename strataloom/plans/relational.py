@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strataloom.functions.times import micros
 from strataloom.operators import relational as op
 from strataloom.plans.registry import Registry
+from strataloom.sources import sinks
 from strataloom.tables import load
 
 query = Registry()
@@ -202,7 +203,7 @@ def j05_smallest_enclosing(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH p AS (SELECT DISTINCT id, project_id, file_path, start_line, end_line FROM findings WHERE file_path IS NOT NULL AND start_line IS NOT NULL)
 SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.project_id = b.project_id AND a.file_path = b.file_path AND a.id < b.id AND a.start_line <= b.end_line + 5 AND a.end_line >= b.start_line - 5""")
 def j13_overlaps(spark: SparkSession, sf: str) -> DataFrame:
-    """J-07, J-12, J-13: findings of one file whose lines overlap or nearly do.
+    """J-13: findings of one file whose lines overlap or nearly do.
 
     Met on blocks of lines, so a file of very many findings is not paired with itself as a whole.
     """
@@ -214,17 +215,12 @@ def j13_overlaps(spark: SparkSession, sf: str) -> DataFrame:
     return a.join(b, on & near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
 
-@query("""WITH e AS (SELECT DISTINCT project_id, path, unnest(exports) AS name FROM files WHERE NOT is_test), u AS (SELECT DISTINCT id, project_id, path, directory, regexp_extract(title, '[A-Za-z_][A-Za-z0-9_]{5,}$', 0) AS name FROM (SELECT f.id, f.project_id, f.file_path AS path, regexp_replace(f.file_path, '/[^/]*$', '') AS directory, f.title FROM findings f WHERE f.file_path IS NOT NULL)),
-c AS (SELECT u.id, e.path AS target, CASE WHEN e.path = u.path THEN 1 WHEN regexp_replace(e.path, '/[^/]*$', '') = u.directory THEN 2 ELSE 3 END AS tier FROM u JOIN e ON e.project_id = u.project_id AND e.name = u.name)
-SELECT id, target, CAST(tier AS BIGINT) AS tier FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY tier, target) = 1""")
+@query("""WITH e AS (SELECT DISTINCT project_id, path, project_id || '/' || path AS own, unnest(exports) AS name FROM files WHERE path IS NOT NULL AND project_id IS NOT NULL), m AS (SELECT u.own, u.name, t.own AS target, CASE WHEN t.project_id = u.project_id THEN 1 WHEN t.path = u.path THEN 2 ELSE 3 END AS tier FROM e u JOIN e t ON t.name = u.name AND t.own <> u.own)
+SELECT own, name, arg_min(target, struct_pack(a := tier, b := target)) AS target, CAST(min(tier) AS BIGINT) AS tier FROM m GROUP BY own, name""")
 def j06_resolve_names(spark: SparkSession, sf: str) -> DataFrame:
-    """J-03, J-06, J-15: a name to the file that exports it: same file, then same directory, then anywhere."""
-    e = load(spark, sf, "files").where("not is_test").select("project_id", F.col("path").alias("target"), F.explode("exports").alias("name")).distinct()
-    u = load(spark, sf, "findings").where("file_path is not null").select("id", "project_id", "file_path", F.regexp_extract("title", "[A-Za-z_][A-Za-z0-9_]{5,}$", 0).alias("name")).distinct()
-    up = lambda c: F.regexp_replace(c, "/[^/]*$", "")
-    tier = F.when(F.col("target") == F.col("file_path"), 1).when(up("target") == up("file_path"), 2).otherwise(3).cast("long")
-    best = u.join(e, ["project_id", "name"]).groupBy("id").agg(F.min(F.struct(tier.alias("tier"), F.col("target"))).alias("m"))
-    return best.select("id", "m.target", "m.tier")
+    """J-03, J-06, J-15: the other file that also has a name: of the same project, else of the same path, else any."""
+    e = load(spark, sf, "files").where("path is not null and project_id is not null").select("project_id", "path", F.concat_ws("/", "project_id", "path").alias("own"), F.explode("exports").alias("name")).distinct()
+    return op.resolved(e, "own", [["project_id", "name"], ["path", "name"], ["name"]]).select("own", "name", "target", F.col("tier").cast("long").alias("tier"))
 
 
 @query("""WITH f AS (SELECT project_id, path, max(lines) AS lines FROM files GROUP BY ALL), c AS (SELECT DISTINCT id, project_id, file_path, start_line, end_line FROM findings)
@@ -291,18 +287,20 @@ def w08_link_budget(spark: SparkSession, sf: str) -> DataFrame:
     return r.where("a <= 20 and b <= 2").select("src", "dst", "weight")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_LIVE}, s AS (SELECT project_id, id, CAST(length(concat_ws('', title, what_happens, remediation)) AS BIGINT) AS size, row_number() OVER (PARTITION BY project_id ORDER BY id) AS n FROM live),
+w AS (SELECT project_id, id, n, size AS used, CAST(0 AS BIGINT) AS batch FROM s WHERE n = 1 UNION ALL SELECT s.project_id, s.id, s.n, CASE WHEN w.used > 0 AND w.used + s.size > 20000 THEN s.size ELSE w.used + s.size END, w.batch + CASE WHEN w.used > 0 AND w.used + s.size > 20000 THEN 1 ELSE 0 END FROM w JOIN s ON s.project_id IS NOT DISTINCT FROM w.project_id AND s.n = w.n + 1)
+SELECT project_id, id, batch FROM w""")
 def w09_batches(spark: SparkSession, sf: str) -> DataFrame:
     """W-09: findings of a project packed into batches of at most 20,000 characters."""
     f = live(spark, sf).select("project_id", "id", F.length(F.concat_ws("", "title", "what_happens", "remediation")).alias("size"))
-    return op.pack(f, ["project_id"], "id", "size", 20_000)
+    return op.pack(f, ["project_id"], "id", "size", 20_000).withColumn("batch", F.col("batch").cast("long"))
 
 
 @query("""WITH s AS (SELECT event_id, user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
 g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM s)
 SELECT user_id, CAST(session AS BIGINT) AS session, CAST(count(*) AS BIGINT) AS n, min(ts) AS began, max(ts) AS ended FROM g GROUP BY user_id, session""")
 def w13_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    """W-12, W-13: runs of a user's events without a gap of more than six hours (group id by running sum)."""
+    """W-13: runs of a user's events without a gap of more than six hours (group id by running sum)."""
     own = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = load(spark, sf, "events")
     gap = micros("ts") - F.lag(micros("ts")).over(own)
@@ -316,7 +314,7 @@ def w13_sessions(spark: SparkSession, sf: str) -> DataFrame:
  WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), x AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
 SELECT event_id, round(coalesce(known, CASE WHEN t1 > t0 THEN before + (after - before) * (epoch_us(ts) - t0) / (t1 - t0) END, before, after), 6) AS value FROM g""")
 def w10_interpolate(spark: SparkSession, sf: str) -> DataFrame:
-    """W-10, W-11: gaps filled between the measured neighbours of a user, by time."""
+    """W-10: gaps filled between the measured neighbours of a user, by time."""
     us = micros("ts")
     v = load(spark, sf, "events").select("event_id", "user_id", "ts", us.alias("t"), F.when(F.col("event_id") % 3 == 0, F.col("value")).alias("known"))
     own = Window.partitionBy("user_id").orderBy("ts", "event_id")
@@ -332,7 +330,7 @@ def w10_interpolate(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {_FILES} SELECT id, nullif(first_value(path) OVER (PARTITION BY project_id, hash ORDER BY path), path) AS first_path FROM f WHERE hash IS NOT NULL AND size > 64 AND NOT coalesce(is_excluded, FALSE)""")
 def u04_duplicates(spark: SparkSession, sf: str) -> DataFrame:
-    """U-01 to U-04: files of equal content point at the first path (an aggregation and a join, no group in one task)."""
+    """U-04: files of equal content point at the first path (an aggregation and a join, no group in one task)."""
     f = files(spark, sf).where("hash is not null and size > 64 and not coalesce(is_excluded, false)")
     first = f.groupBy("project_id", "hash").agg(F.min("path").alias("low"))
     return f.join(first, ["project_id", "hash"]).select("id", F.nullif("low", F.col("path")).alias("first_path"))
@@ -351,13 +349,15 @@ def u05_diff(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT id, max_by(spec, struct_pack(a := version, b := updated_at)) AS spec, CAST(max(version) AS BIGINT) AS version FROM explanations GROUP BY id")
 def k03_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    """K-01 to K-04: upsert, the latest version of a record wins."""
-    return load(spark, sf, "explanations").groupBy("id").agg(F.max_by("spec", F.struct("version", "updated_at")).alias("spec"), F.max("version").cast("long").alias("version"))
+    """K-02, K-03: first versions updated by later ones, which also add the records that are new."""
+    e = load(spark, sf, "explanations").withColumn("version", F.col("version").cast("long"))
+    latest = lambda df: op.first_per(df, ["id"], [F.desc("version"), F.desc("updated_at")]).select("id", "spec", "version")
+    return sinks.merged(latest(e.where("version = 1")), latest(e.where("version > 1")), ["id"])
 
 
 @query("""SELECT DISTINCT a.id FROM findings a WHERE a.area IS NOT NULL AND NOT EXISTS (SELECT 1 FROM files f WHERE f.project_id = a.project_id AND f.path = a.file_path AND f.area = a.area)""")
 def u09_set_difference(spark: SparkSession, sf: str) -> DataFrame:
-    """U-09, U-10: findings whose file is not in the area they name."""
+    """U-09: findings whose file is not in the area they name."""
     f = load(spark, sf, "files").select("project_id", F.col("path").alias("file_path"), "area")
     return load(spark, sf, "findings").where("area is not null").join(f, ["project_id", "file_path", "area"], "left_anti").select("id").distinct()
 

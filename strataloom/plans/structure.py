@@ -74,7 +74,7 @@ def g04_two_hops(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH RECURSIVE l AS (SELECT DISTINCT project_id || '/' || path AS a, hash AS b FROM files WHERE hash IS NOT NULL), m AS (SELECT b, min(a) AS low FROM l GROUP BY b)
 SELECT DISTINCT l.a AS node, m.low AS component FROM l JOIN m USING (b)""")
 def g06_components(spark: SparkSession, sf: str) -> DataFrame:
-    """G-06, U-08: files linked by equal content, with the smallest of each group."""
+    """G-06: files linked by equal content, with the smallest of each group."""
     f = load(spark, sf, "files").where("hash is not null").select(F.concat_ws("/", "project_id", "path").alias("a"), "hash").distinct()
     low = f.groupBy("hash").agg(F.min("a").alias("b"))
     pairs = f.join(low, "hash")
@@ -85,7 +85,7 @@ def g06_components(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_EDGES}, {_NODES}, u AS (SELECT dst AS node, count(DISTINCT src) AS users FROM e GROUP BY dst) SELECT node, CAST(users AS BIGINT) AS users FROM u WHERE users >= 0.05 * (SELECT count(*) FROM v)")
 def g10_hubs(spark: SparkSession, sf: str) -> DataFrame:
-    """G-09, G-10, G-13: nodes that a twentieth of all others use."""
+    """G-10: nodes that a twentieth of all others use."""
     e = edges(spark, sf)
     total = nodes(e).agg(F.count("*").alias("n"))
     return e.groupBy(F.col("dst").alias("node")).agg(F.count_distinct("src").alias("users")).crossJoin(F.broadcast(total)).where("users >= 0.05 * n").select("node", "users")  # one row
@@ -108,6 +108,58 @@ def t02_bm25(spark: SparkSession, sf: str) -> DataFrame:
     return best.select("query_id", "id", F.round("score", 6).alias("score"), "matched", F.col("rank").cast("long").alias("rank"))
 
 
+_BM25 = f"""{_ASKED}, d AS (SELECT doc_id AS id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents), t AS (SELECT count(*) AS n, avg(len(w)) AS avg_length FROM d),
+p AS (SELECT id, len(w) AS length, term, count(*) AS tf FROM (SELECT id, w, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+s AS (SELECT q.query_id, p.id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.4 / (tf + 1.4 * (1 - 0.6 + 0.6 * length / avg_length))) AS score, count(*) AS matched FROM p JOIN f USING (term) JOIN q USING (term), t GROUP BY ALL),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 50)"""
+
+
+@query(f"""WITH {_BM25}, a AS (SELECT query_id, list(DISTINCT term) AS terms FROM q GROUP BY ALL), x AS (SELECT b.query_id, b.id, b.score, b.matched, a.terms, lower(coalesce(d.title, '')) AS hay, lower(i.answer) AS phrase FROM b JOIN a USING (query_id) JOIN documents d ON d.doc_id = b.id JOIN eval_items i ON i.item_id = b.query_id),
+y AS (SELECT *, len(list_filter(terms, lambda t: contains(hay, t))) AS inside FROM x), z AS (SELECT query_id, id, least(matched + inside, len(terms)) AS matched, (score + 1.2 * inside + CASE WHEN length(phrase) >= 2 AND contains(hay, phrase) THEN 4 ELSE 0 END) * (0.5 + 0.5 * least(matched + inside, len(terms)) / len(terms)) AS score FROM y)
+SELECT query_id, id, round(score, 6) AS score, CAST(matched AS BIGINT) AS matched, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS BIGINT) AS rank FROM z QUALIFY rank <= 10""")
+def t04_boosted(spark: SparkSession, sf: str) -> DataFrame:
+    """T-03, T-04: the 50 best documents of a question re-ranked by terms in their titles and by coverage (top-k is the feature)."""
+    items, docs = load(spark, sf, "eval_items"), load(spark, sf, "documents")
+    kept = F.array_except(fn.words(F.col("question")), F.array(*[F.lit(w) for w in fn.STOP_WORDS]))
+    asked = items.select(F.col("item_id").alias("query_id"), F.explode(kept).alias("term"), F.col("answer").alias("phrase"))
+    best = retrieval.bm25(docs, "doc_id", "text", asked, 50)
+    out = retrieval.boosted(best, docs, "doc_id", "title", asked)
+    return out.select("query_id", "id", F.round("score", 6).alias("score"), F.col("matched").cast("long").alias("matched"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings), l AS (SELECT q.vec_id AS query_id, v.vec_id AS id, CAST(1 + v.vec_id % 7 AS DOUBLE) AS score FROM v q JOIN v ON v.label = q.label AND v.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
+n AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_cosine_similarity(q.e, v.e), 6) AS similarity FROM v q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0), k AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) <= 20), m AS (SELECT * FROM k WHERE similarity >= 0.2), x AS (SELECT query_id, id, score / greatest(max(score) OVER (PARTITION BY query_id), 1e-9) AS lex FROM l)
+SELECT coalesce(x.query_id, m.query_id) AS query_id, coalesce(x.id, m.id) AS id, round(coalesce(lex, 0) + 0.8 * coalesce(similarity, 0) + 0.25 * (coalesce(x.id, m.id) % 10) / 10.0, 6) AS score FROM x FULL JOIN m ON x.query_id = m.query_id AND x.id = m.id""")
+def t05_blended(spark: SparkSession, sf: str) -> DataFrame:
+    """T-05: lexical scores, cosines above a cut and importance in one score, for every fiftieth vector against all."""
+    v = load(spark, sf, "embeddings")
+    asked = v.where("vec_id % 50 = 0")
+    same = asked.select(F.col("vec_id").alias("query_id"), "label").join(v.select(F.col("vec_id").alias("id"), "label"), "label").where("id <> query_id")
+    lexical = same.select("query_id", "id", (F.col("id") % 7 + 1).cast("double").alias("score"))
+    near = retrieval.nearest(v, "vec_id", "embedding", asked, 20)
+    weights = v.select(F.col("vec_id").alias("id"), (F.col("vec_id") % 10 / 10).alias("importance"))
+    return retrieval.blended(lexical, near, weights, 0.2).select("query_id", "id", F.round("score", 6).alias("score"))
+
+
+@query("""WITH f AS (SELECT DISTINCT ON (id) * FROM files), n AS (SELECT DISTINCT path AS id, unnest(exports) AS name, importance FROM f WHERE path IS NOT NULL), q AS (SELECT DISTINCT name AS query_id, CASE WHEN length(name) % 2 = 0 THEN upper(name) ELSE name END AS name FROM n)
+SELECT q.query_id, arg_min(n.id, struct_pack(a := n.name <> q.name, b := -coalesce(n.importance, 0), c := n.id)) AS id, NOT bool_and(n.name <> q.name) AS exact FROM q JOIN n ON lower(n.name) = lower(q.name) GROUP BY q.query_id""")
+def t11_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """T-11: names to files, spelled alike or but for case, the most important first."""
+    f = load(spark, sf, "files").dropDuplicates(["id"]).where("path is not null")
+    names = f.select(F.col("path").alias("id"), F.explode("exports").alias("name"), "importance").distinct()
+    asked = names.select(F.col("name").alias("query_id"), F.when(F.length("name") % 2 == 0, F.upper("name")).otherwise(F.col("name")).alias("name")).distinct()
+    return retrieval.looked_up(names, asked)
+
+
+@query(f"""WITH {_LIVE}, h AS (SELECT project_id AS query_id, file_path AS path, CAST(start_line AS BIGINT) AS line, max(CAST(4 - ({_RANK}) AS BIGINT)) AS score FROM live WHERE file_path IS NOT NULL AND start_line IS NOT NULL GROUP BY ALL), p AS (SELECT *, greatest(line - 10, 1) AS first_line, line + 10 AS last_line FROM h),
+b AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY query_id, path, first_line // 20 ORDER BY score DESC, line) = 1) SELECT query_id, path, first_line, last_line, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path, line) AS BIGINT) AS position FROM b QUALIFY position <= 14""")
+def t08_excerpts(spark: SparkSession, sf: str) -> DataFrame:
+    """T-08: the 14 places of each project to show first (the cut is the feature), one per file and 20 lines."""
+    f = live(spark, sf).where("file_path is not null and start_line is not null")
+    hits = f.groupBy(F.col("project_id").alias("query_id"), F.col("file_path").alias("path"), F.col("start_line").cast("long").alias("line")).agg(F.max((4 - rank_of()).cast("long")).alias("score"))
+    return retrieval.excerpts(hits).withColumn("position", F.col("position").cast("long"))
+
+
 @query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_cosine_similarity(q.e, v.e), 6) AS similarity FROM v q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)
 SELECT query_id, id, similarity, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS BIGINT) AS rank FROM s QUALIFY rank <= 5""")
 def t05_nearest(spark: SparkSession, sf: str) -> DataFrame:
@@ -192,11 +244,11 @@ def d03_settings(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("name").agg(F.count_distinct("id").alias("n_files"))
 
 
-@query("""WITH d AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) AS value FROM documents) SELECT doc_id, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT value) AS BIGINT) AS n_distinct FROM d GROUP BY doc_id""")
+@query("""WITH d AS (SELECT hash, unnest(regexp_extract_all(content, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) AS value FROM blobs) SELECT hash, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT value) AS BIGINT) AS n_distinct FROM d GROUP BY hash""")
 def pii02_addresses(spark: SparkSession, sf: str) -> DataFrame:
-    """P-02: e-mail addresses in documents."""
-    found = load(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"), F.lit(0))).alias("value"))
-    return found.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("value").alias("n_distinct"))
+    """P-02: e-mail addresses in contents."""
+    found = load(spark, sf, "blobs").select("hash", F.explode(F.regexp_extract_all("content", F.lit(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"), F.lit(0))).alias("value"))
+    return found.groupBy("hash").agg(F.count("*").alias("n"), F.count_distinct("value").alias("n_distinct"))
 
 
 @query()
@@ -247,7 +299,7 @@ def st01_next_job(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""WITH j AS (SELECT id, max_by(status, struct_pack(t := coalesce(heartbeat_at, started_at, created_at), s := status)) AS status, max(heartbeat_at) AS heartbeat_at FROM video_jobs GROUP BY id) SELECT id, heartbeat_at FROM j WHERE status = 'running' AND heartbeat_at < 1767225600000 - 90000""")
 def st02_stale(spark: SparkSession, sf: str) -> DataFrame:
-    """ST-02, ST-08: running jobs without a heartbeat for 90 seconds."""
+    """ST-02: running jobs without a heartbeat for 90 seconds."""
     return jobs.stale(load(spark, sf, "video_jobs"), 1_767_225_600_000)
 
 
@@ -262,7 +314,7 @@ def st05_changes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_CHANGES)
 def st05_change_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """ST-03, ST-05: the same feed from a stream with state."""
+    """ST-05: the same feed from a stream with state."""
     load(spark, sf, "events")
     return jobs.run_to_end(jobs.change_stream(jobs.read_stream(spark, sf, "events")))
 
@@ -292,9 +344,9 @@ def st07_sliding(spark: SparkSession, sf: str) -> DataFrame:
 # --- exports -------------------------------------------------------------------------------------------------------
 
 
-@query()
+@query(f"""WITH {_LIVE} SELECT id, to_json(struct_pack(id := id, project_id := project_id, severity := severity, title := title, file_path := file_path, start_line := start_line)) AS json FROM live""")
 def k06_json(spark: SparkSession, sf: str) -> DataFrame:
-    """K-06, K-09: every finding as a JSON document."""
+    """K-06: every finding as a JSON document."""
     return sinks.json_rows(live(spark, sf).select("id", "project_id", "severity", "title", "file_path", "start_line"), "id")
 
 

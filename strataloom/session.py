@@ -42,11 +42,19 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one of this machine where the session names none."""
+    """The folder that all executors share: the one of ``spark.checkpoint.dir``, else the context's checkpoint folder.
+
+    A session of one machine that names neither gets a temporary folder; a cluster must name one.
+    """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    set_before = sc._jsc.sc().getCheckpointDir()
+    if set_before.isDefined():
+        return set_before.get().rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not hasattr(sc, "_strataloom_folder"):
         sc._strataloom_folder = "file://" + tempfile.mkdtemp(prefix="strataloom-shared-")
     return sc._strataloom_folder

@@ -37,8 +37,8 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def json_rows(df: DataFrame, key: str) -> DataFrame:
-    """(key, json): each row as one JSON document."""
-    return df.select(key, F.to_json(F.struct(*[c for c in df.columns])).alias("json"))
+    """(key, json): each row as one JSON document, nulls included."""
+    return df.select(key, F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("json"))
 
 
 def markdown_table(df: DataFrame, group: str, columns: Sequence[str], order: Sequence[str], most: int) -> DataFrame:
