@@ -76,60 +76,39 @@ def reanchored(claims: DataFrame, texts: DataFrame, keys: list[str]) -> DataFram
     return claims.join(near.select("claim_id", F.col("m.n").alias("line_no")), "claim_id", "left")
 
 
+CODE = re.compile(r"//[^\n]*|(?:(?<=[ \t\n])|\A)#[^\n]*|/\*(?:.|\n)*?(?:\*/|\Z)|\"(?:[^\"\\\n]|\\.)*\"?|'(?:[^'\\\n]|\\.)*'?|[`{}]")
+TEMPLATE = re.compile(r"\\.|`|\$\{", re.S)
+
+
 def blank_literals(text: str) -> str:
     """The text with the insides of strings, templates and comments replaced by spaces; line breaks stay.
 
     Template state is carried over lines; code inside ``${}`` stays.
     """
-    out = list(text)
+    out: list[str] = []
+    hide = lambda part: re.sub(r"[^\n]", " ", part)
     at, n, stack = 0, len(text), []
-
-    def blank(a: int, b: int) -> None:
-        for k in range(a, min(b, n)):
-            if out[k] != "\n":
-                out[k] = " "
-
     while at < n:
-        c = text[at]
-        if stack and stack[-1] == "`":
-            if c == "\\":
-                blank(at, at + 2)
-                at += 2
-            elif c == "`":
-                stack.pop()
-                at += 1
-            elif text.startswith("${", at):
-                stack.append("{")
-                at += 2
-            else:
-                blank(at, at + 1)
-                at += 1
-            continue
-        if text.startswith("//", at) or c == "#" and (at == 0 or text[at - 1] in " \t\n"):
-            end = text.find("\n", at)
-            end = n if end < 0 else end
-            blank(at, end)
-            at = end
-        elif text.startswith("/*", at):
-            end = text.find("*/", at + 2)
-            end = n if end < 0 else end + 2
-            blank(at, end)
-            at = end
-        elif c in "\"'":
-            end = at + 1
-            while end < n and text[end] not in (c, "\n"):
-                end += 2 if text[end] == "\\" else 1
-            blank(at + 1, end)
-            at = end + 1
-        elif c == "`":
-            stack.append("`")
-            at += 1
+        inside = bool(stack) and stack[-1] == "`"
+        m = (TEMPLATE if inside else CODE).search(text, at)
+        end = m.start() if m else n
+        out.append(hide(text[at:end]) if inside else text[at:end])
+        if not m:
+            break
+        token, at = m[0], m.end()
+        if token == "`":
+            stack.pop() if inside else stack.append("`")
+        elif token == "${":
+            stack.append("{")
+        elif token in "{}" and not inside:
+            if stack:
+                stack.append("{") if token == "{" else stack.pop()
+        elif token[0] in "\"'" and not inside:
+            closed = len(token) > 1 and token[-1] == token[0]
+            token = token[0] + hide(token[1 : len(token) - closed]) + token[0] * closed
         else:
-            if stack and c == "{":
-                stack.append("{")
-            elif stack and c == "}":
-                stack.pop()
-            at += 1
+            token = hide(token)
+        out.append(token)
     return "".join(out)
 
 

@@ -191,26 +191,45 @@ def sources(spark: SparkSession, sf: str, languages: tuple[str, ...]) -> DataFra
     return f.join(load(spark, sf, "blobs"), "hash").select(F.col("hash").alias("id"), "language", "content")
 
 
-def _rule_sql() -> str:
+# The rules that SQL can express (no blanked literals, no look-around, no surroundings), typed again to check the table.
+_PLAIN = {
+    "sql-concat": r"(?i)[\x22\x27`]\s*(select|insert\s+into|update|delete\s+from)\s[^\x22\x27`]*[\x22\x27`]\s*(\+|%|\.format)|`\s*(select|insert|update|delete)\s[^`]*\$\{",
+    "tls-verify-off": r"rejectUnauthorized\s*:\s*false|\bverify\s*=\s*False\b|InsecureSkipVerify\s*:\s*true|NODE_TLS_REJECT_UNAUTHORIZED",
+    "weak-hash": r"(?i)\b(md5|sha1)\s*\(|createHash\(\s*[\x22\x27](md5|sha1)[\x22\x27]|getInstance\(\s*\x22(md5|sha-?1)\x22",
+    "todo-fixme": r"\b(TODO|FIXME|HACK|XXX)\b",
+    "console-log": r"\bconsole\.(log|debug|info)\s*\(",
+    "select-star": r"(?i)\bselect\s+\*\s+from\s",
+    "float-money": r"(?i)\b(price|amount|balance|invoice_?total)\w*\s*(:\s*(float|double)\b|=\s*(float\(|parseFloat\())",
+}
+_ONCE = ("todo-fixme", "console-log", "select-star", "float-money")
+
+
+def _plain_sql() -> str:
     parts = []
-    for r in rules.RULES:
-        where = [f"regexp_matches(line, '{r.pattern.replace(chr(39), chr(39) * 2)}')", f"NOT contains(line, 'lint-ignore:{r.name}')"]
-        if r.languages:
-            where.append("language IN (" + ", ".join(f"'{x}'" for x in r.languages) + ")")
-        if not r.in_comments:
-            where.append(f"NOT regexp_matches(line, '{rules.COMMENT}')")
-        parts.append(f"SELECT id, '{r.name}' AS rule, '{r.category}' AS category, '{r.severity}' AS severity, {str(r.once).upper()} AS once, line_no FROM l WHERE {' AND '.join(where)}")
+    for name, pattern in _PLAIN.items():
+        where = [f"regexp_matches(line, '{pattern}')"] + (["language IN ('TypeScript', 'JavaScript')"] if name == "console-log" else []) + ([] if name == "todo-fixme" else ["NOT regexp_matches(line, '^\\s*(//|#|\\*|/\\*|<!--)')"])
+        parts.append(f"SELECT id, '{name}' AS rule, {str(name in _ONCE).upper()} AS once, line_no FROM l WHERE {' AND '.join(where)}")
     return " UNION ALL ".join(parts)
 
 
-@query(f"""WITH c AS (SELECT DISTINCT f.hash AS id, f.language, b.content FROM files f JOIN blobs b USING (hash) WHERE f.language IN ('TypeScript', 'JavaScript', 'Python', 'Go', 'SQL') AND length(content) - length(replace(content, chr(10), '')) < 20000),
-l AS (SELECT * FROM (SELECT id, language, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM c) WHERE length(line) <= 1200), h AS ({_rule_sql()}),
-r AS (SELECT *, row_number() OVER (PARTITION BY id, rule ORDER BY line_no) AS n, count(*) OVER (PARTITION BY id, rule) AS total FROM h)
-SELECT id, rule, category, severity, line_no, CASE WHEN once THEN total - 1 ELSE 0 END AS more FROM r WHERE CASE WHEN once THEN n = 1 ELSE n <= 5 END""")
+_SCANNED = ("TypeScript", "JavaScript", "Python", "Go", "SQL")
+
+
+@query(f"""WITH c AS (SELECT DISTINCT f.hash AS id, f.language, b.content FROM files f JOIN blobs b USING (hash) WHERE f.language IN {_SCANNED!r}), l AS (SELECT id, language, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM c), h AS (SELECT DISTINCT * FROM ({_plain_sql()})),
+r AS (SELECT *, row_number() OVER (PARTITION BY id, rule ORDER BY line_no) AS n, count(*) OVER (PARTITION BY id, rule) AS total FROM h) SELECT id, rule, CAST(line_no AS BIGINT) AS line_no, CAST(CASE WHEN once THEN total - 1 ELSE 0 END AS BIGINT) AS more FROM r WHERE NOT once OR n = 1""")
+def r01_plain_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """R-01, without its limits: the rules over plain lines, of every length and number."""
+    some = [r for r in rules.RULES if r.name in _PLAIN]
+    found = rules.scan(sources(spark, sf, _SCANNED), some, per_file=None, longest=None, most_lines=None)
+    return found.select("id", "rule", F.col("line_no").cast("long").alias("line_no"), F.col("more").cast("long").alias("more"))
+
+
+@query()
 def r01_rules(spark: SparkSession, sf: str) -> DataFrame:
-    """A part of the survey's line rules (see the README) over all source contents."""
-    found = rules.scan(sources(spark, sf, ("TypeScript", "JavaScript", "Python", "Go", "SQL")))
-    return found.withColumn("line_no", F.col("line_no").cast("long")).withColumn("more", F.col("more").cast("long")).distinct()
+    """R-01, A-20: all rules over all source contents that are not only tests', with the scan's usual limits."""
+    f = load(spark, sf, "files").where(F.col("language").isin(*_SCANNED) & F.col("hash").isNotNull()).groupBy("hash", "language").agg(F.min("path").alias("path"), F.min(F.coalesce("is_test", F.lit(False))).alias("is_test"))
+    texts = f.join(load(spark, sf, "blobs").select("hash", "content"), "hash").withColumnRenamed("hash", "id")
+    return rules.scan(texts)
 
 
 @query()

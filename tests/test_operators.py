@@ -93,17 +93,46 @@ def test_diff(spark):
     assert {(r.k, r.change) for r in relational.diff(a, b, "k", "v").collect()} == {("x", "unchanged"), ("y", "changed"), ("z", "added"), ("w", "removed")}
 
 
+RULE_LINES = {
+    "eval": ("Python", "y = eval(x)", "y = 'eval(x)'"), "new-function": ("JavaScript", "f = new Function(a)", "f = newFunction(a)"), "child-process-exec": ("TypeScript", "exec(cmd)", "re.exec(cmd)"),
+    "python-shell": ("Python", "os.system(x)", "run(x, shell=False)"), "pickle-load": ("Python", "pickle.loads(x)", "unpickle.load(x)"), "sql-concat": ("Go", 'q := "select a from b " + x', 'q := "select a"'),
+    "tls-verify-off": ("Python", "get(u, verify=False)", "get(u, verify=True)"), "weak-hash": ("Python", "h = md5(x)", "h = sha256(x)"), "weak-random": ("JavaScript", "const token = Math.random()", "const angle = Math.random()"),
+    "innerhtml": ("TypeScript", "a.innerHTML = b", "a.innerHTML == b"), "cors-wildcard": ("JavaScript", "cors({ origin: '*' })", "cors({ origin: 'a' })"), "debug-on": ("Python", "DEBUG = True", "DEBUG = False"),
+    "jwt-none": ("JavaScript", "algorithms: ['none']", "algorithms: ['RS256']"), "hardcoded-password": ("Go", 'password := "hunter22"', 'password := "your-one"'), "path-join-user": ("JavaScript", "path.join(a, req.query.f)", "path.join(a, b)"),
+    "open-redirect": ("JavaScript", "res.redirect(req.query.to)", "res.redirect('/')"), "ssrf": ("JavaScript", "fetch(req.body.url)", "fetch(url)"), "empty-catch": ("JavaScript", "try { a() } catch (e) {\n}", "try { a() } catch (e) { // fine\n}"),
+    "python-bare-except": ("Python", "except:", "except E:"), "python-except-pass": ("Python", "except E: pass", "except E: x"), "unhandled-promise": ("JavaScript", "load(a).then(b)", "load(a).then(b).catch(c)"),
+    "todo-fixme": ("Go", "// TODO later", "// to do"), "console-log": ("JavaScript", "console.log(a)", "console.error(a)"), "pii-logging": ("Python", "logger.info(user.email)", "logger.info('email')"),
+    "pii-in-url": ("JavaScript", "u = `/a?email=${x}`", "u = '/a?id=1'"), "sync-io": ("TypeScript", "fs.readFileSync(a)", "fs.readFile(a)"), "loop-await": ("TypeScript", "for (const a of b) {\n  await c(a)\n}", "for await (const a of b) {\n  c(a)\n}"),
+    "select-star": ("SQL", "select * from a", "select b from a"), "float-money": ("Python", "price = float(x)", "weight = float(x)"), "http-plain": ("Go", 'u := "http://a.b"', 'u := "http://localhost"'),
+    "cookie-insecure": ("JavaScript", "cookie({ secure: false })", "cookie({ secure: true })"), "csrf-disabled": ("Python", "@csrf_exempt", "@csrf_protect"), "go-unchecked-err": ("Go", "a, _ := f.g(x)", "a, err := f.g(x)"),
+    "java-printstack": ("Java", "e.printStackTrace();", "e.print();"), "dotnet-async-void": ("C#", "async void Run()", "async void OnClick()"), "rails-html-safe": ("Ruby", "a.html_safe", "a.safe"),
+    "php-extract": ("PHP", "extract($_POST);", "extract($a);"), "rust-unsafe": ("Rust", "unsafe { a() }", "safe { a() }"), "rust-unwrap": ("Rust", "a.unwrap()", "a.unwrap_or(b)"),
+}
+
+
+def test_each_rule(spark):
+    assert set(RULE_LINES) == {r.name for r in rules.RULES} and len(rules.RULES) == 39
+    rows = [(f"{name}+", lang, good) for name, (lang, good, _) in RULE_LINES.items()] + [(f"{name}-", lang, bad) for name, (lang, _, bad) in RULE_LINES.items()]
+    found = {(r.id, r.rule) for r in rules.scan(spark.createDataFrame(rows, "id string, language string, content string")).collect()}
+    assert [n for n in RULE_LINES if (f"{n}+", n) not in found] == []
+    assert [n for n in RULE_LINES if (f"{n}-", n) in found] == []
+
+
 def test_rules(spark):
-    text = "import os\nos.system(x)\n# eval(x)\ny = eval(x)\nz = eval(y)  # lint-ignore:eval\n" + "eval(1)\n" * 9 + "print(1)\nprint(2)\n# TODO a\n"
-    rows = rules.scan(spark.createDataFrame([("f", "Python", text), ("g", "Go", "eval(x)"), ("n", "Python", None), ("e", "Python", "")], "id string, language string, content string")).collect()
-    got = {}
-    for r in rows:
-        got.setdefault((r.id, r.rule), []).append((r.line_no, r.more))
-    assert got[("f", "python-shell")] == [(2, 0)]
-    assert sorted(got[("f", "eval")]) == [(4, 0), (6, 0), (7, 0), (8, 0), (9, 0)]
-    assert got[("f", "print-call")] == [(15, 1)]
-    assert got[("f", "todo-fixme")] == [(17, 0)]
-    assert {k[0] for k in got} == {"f"}
+    long = "x" * 1300
+    text = "import os\nos.system(x)\n# eval(x)\ny = eval(x)\nz = eval(y)  # lint-ignore:eval\n" + "eval(1)\n" * 9 + f"# TODO a\n# TODO b\neval({long})\n"
+    frame = [("f", "Python", text, "a.py", False), ("g", "Rust", "eval(x)", None, None), ("n", "Python", None, "a", False), ("e", "Python", "", "a", False), ("t", "Python", "eval(x)", "a", True), ("cli", "JavaScript", "console.log(1)", "x/bin/a.js", False), ("s", "Python", "a\n# no-eval\nb\neval(x)", "a", False)]
+    df = spark.createDataFrame(frame, "id string, language string, content string, path string, is_test boolean")
+
+    def hits(**limits):
+        got = {}
+        for r in rules.scan(df, **limits).collect():
+            got.setdefault((r.id, r.rule), []).append((r.line_no, r.more))
+        return {k: sorted(v) for k, v in got.items()}
+
+    assert hits() == {("f", "python-shell"): [(2, 0)], ("f", "eval"): [(4, 0), (7, 0), (8, 0), (9, 0), (10, 0)], ("f", "todo-fixme"): [(15, 1)]}
+    assert hits(per_file=None, longest=None, most_lines=None)[("f", "eval")] == [(n, 0) for n in (4, *range(7, 15), 17)]
+    assert rules.scan(df.limit(0)).isEmpty()
 
 
 def test_python_symbols():
