@@ -28,9 +28,9 @@ from strataloom.llm.arrays import U64, Rolling, chunks, code_points, lower, mix,
 from strataloom.session import written
 
 BANDS, ROWS, SIGNATURE, BATCH, MISS = 100, 7, 64, 16, 1e-4
-GROUP = 34
+GROUP = 25
 #: Elements hashed at a time, so that their hashes stay in the processor's cache.
-STRIP = 32
+STRIP = 128
 PAIRS = 1 << 20
 #: Rows of a band (estimated from one in SAMPLE of the bags) from which it is cut into blocks that meet two by two.
 HOT, SAMPLE = 8192, 64
@@ -61,10 +61,12 @@ def _coefficients() -> np.ndarray:
     return (mix(np.arange(1, n + 1, dtype=U64)) >> U64(32)).astype(np.uint32) | np.uint32(1)
 
 
-def packed(items: np.ndarray) -> bytes:
+def packed(bags: list[np.ndarray]) -> list[bytes]:
     """48 bits of each item's hash: all high 32-bit parts, which MinHash works on, then all low 16-bit parts."""
-    h = mix(items)
-    return (h >> U64(32)).astype(np.uint32).tobytes() + (h >> U64(16)).astype(np.uint16).tobytes()
+    h = mix(np.concatenate([np.array([], dtype=U64), *bags]))
+    high, low = (h >> U64(32)).astype(np.uint32), (h >> U64(16)).astype(np.uint16)
+    ends = np.cumsum([0, *map(len, bags)])
+    return [high[i:j].tobytes() + low[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def high_parts(items: bytes) -> np.ndarray:
@@ -83,13 +85,16 @@ class MinHashes:
         self.a = _coefficients()[lo:hi]
         self.room = np.empty((STRIP, len(self.a)), dtype=np.uint32)
 
-    def __call__(self, short: np.ndarray) -> np.ndarray:
-        low = np.full(len(self.a), np.iinfo(np.uint32).max, dtype=np.uint32)
-        for at in range(0, len(short), STRIP):
-            part = short[at : at + STRIP]
-            made = np.multiply(part[:, None], self.a, out=self.room[: len(part)])
-            np.minimum(low, made.min(axis=0), out=low)
-        return low
+    def __call__(self, bags: list[bytes]) -> np.ndarray:
+        """A row of values per bag of packed items; none may be empty."""
+        out = np.empty((len(bags), len(self.a)), dtype=np.uint32)
+        for low, bag in zip(out, bags, strict=True):
+            short = high_parts(bag)[:, None]
+            np.minimum.reduce(np.multiply(short[:STRIP], self.a, out=self.room[: min(len(short), STRIP)]), axis=0, out=low)
+            for at in range(STRIP, len(short), STRIP):
+                part = short[at : at + STRIP]
+                np.minimum(low, np.multiply(part, self.a, out=self.room[: len(part)]).min(axis=0), out=low)
+        return out
 
 
 def _bag(items: np.ndarray) -> int:
@@ -100,20 +105,18 @@ def _bag_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, bag, signature, items); the last two only where the task meets the bag for the first time."""
     sign, seen = MinHashes(BANDS * ROWS, BANDS * ROWS + SIGNATURE), set()
     for batch in batches:
-        ids, bags, signatures, items = [], [], [], []
-        for i, made in zip(batch.column(0).to_pylist(), elements(batch.column(1)), strict=True):
-            if not len(made):
-                continue
-            bag, kept, signature = _bag(made), None, None
-            if bag not in seen:
-                seen.add(bag)
-                kept = packed(made)
-                signature = mix(sign(high_parts(kept))).astype(np.uint8).tobytes()
-            ids.append(i)
-            bags.append(bag)
-            signatures.append(signature)
-            items.append(kept)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, type=pa.string()), pa.array(bags, type=pa.int64()), pa.array(signatures, type=pa.binary()), pa.array(items, type=pa.binary())], names=["id", "bag", "signature", "items"])
+        made = elements(batch.column(1))
+        worded = [k for k, items in enumerate(made) if len(items)]
+        bags = [_bag(made[k]) for k in worded]
+        first = [n for n, bag in enumerate(bags) if not (bag in seen or seen.add(bag))]
+        items = packed([made[worded[n]] for n in first])
+        signatures = mix(sign(items)).astype(np.uint8)
+        kept = dict(zip(first, zip((x.tobytes() for x in signatures), items, strict=True), strict=True))
+        both = [kept.get(n, (None, None)) for n in range(len(bags))]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).take(pa.array(worded, type=pa.int64())), pa.array(bags, type=pa.int64()), pa.array([x for x, _ in both], type=pa.binary()), pa.array([x for _, x in both], type=pa.binary())],
+            names=["id", "bag", "signature", "items"],
+        )
 
 
 def _band_rows(batches: Iterator[pa.RecordBatch], lo: int, hi: int) -> Iterator[pa.RecordBatch]:
@@ -121,8 +124,8 @@ def _band_rows(batches: Iterator[pa.RecordBatch], lo: int, hi: int) -> Iterator[
     number = np.arange(lo, hi, dtype=U64) * U64(0xD6E8FEB86659FD93)
     least = MinHashes(lo * ROWS, hi * ROWS)
     for batch in batches:
-        bands = [mix((least(high_parts(x)).reshape(hi - lo, ROWS) * salt).sum(axis=1, dtype=U64) + number) for x in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.array([], dtype=U64), *bands]).view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), hi - lo))], names=["band", "bag"])
+        bands = mix((least(batch.column(1).to_pylist()).reshape(len(batch), hi - lo, ROWS) * salt).sum(axis=2, dtype=U64) + number)
+        yield pa.RecordBatch.from_arrays([pa.array(bands.ravel().view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), hi - lo))], names=["band", "bag"])
 
 
 def _met_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
