@@ -23,11 +23,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataloom.session import written
+
 FEATURES = 1 << 15
 #: About how many texts the training sample has (those of the smallest hashes).
 TRAINING_TEXTS = 4000
 #: Labelled marks that the classifier is trained on at most.
 TRAINING_MARKS = 200_000
+#: Repeated ids that are broadcast at most.
+BROADCAST_IDS = 1_000_000
 #: Abbreviations that stand before a name or number and never end a sentence: labels for training, not a rule.
 TITLES = ("dr", "mr", "mrs", "ms", "prof", "st", "nr", "no", "art", "fig", "sec", "vs", "cf", "z", "b", "d", "h", "p", "e.g", "i.e", "pág", "डॉ", "jan", "feb", "aug", "sept", "oct", "nov", "dec", "bzw", "ca", "approx", "aprox", "env", "sr", "sra", "mme", "vgl", "s", "u", "n", "vol", "ch")
 #: Month names after a day's number, also labels for training.
@@ -357,6 +361,8 @@ def sentences(df: DataFrame, id_column: str, text: str, splitter: Splitter | Non
             yield pd.DataFrame({"id": pd.Series(ids, dtype=frame["id"].dtype), "sentence_no": pd.Series(numbers, dtype="int32"), "start_char": pd.Series(begins, dtype="int32"), "sentence": pd.Series(parts, dtype=object)})
 
     rows = df.where(F.col(id_column).isNotNull() & F.col(text).isNotNull()).select(F.col(id_column).alias("id"), F.col(text).alias("t"))
-    again = rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")  # few, so that texts need no shuffle
-    once = rows.join(again, "id", "left_anti").unionByName(rows.join(again, "id", "left_semi").distinct())
+    again = written(rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
+    many = again.count()
+    again = F.broadcast(again) if many <= BROADCAST_IDS else again  # few repeated ids spare the texts a shuffle
+    once = rows.join(again, "id", "left_anti").unionByName(rows.join(again, "id", "left_semi").distinct()) if many else rows
     return once.mapInPandas(run, f"id {kind}, sentence_no int, start_char int, sentence string")
