@@ -62,6 +62,11 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans.sharing_groups(load(spark, sf_dir, "blobs"), "hash", "content").select(F.col("id").alias("hash"), F.col("group").alias("group_hash"))
 
 
+def p5_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs of blobs that near-copies exist of, by cluster, and which of them are to be removed."""
+    return shared_spans.paragraph_clusters(load(spark, sf_dir, "blobs"), "hash", "content").withColumnRenamed("id", "hash")
+
+
 FINDING_TEXTS = ["title", "what_happens", "remediation"]
 
 
@@ -128,7 +133,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_evidence": p1_evidence, "p3_found": p3_found, "p3_faults": p3_faults, "p3_rates": p3_rates, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_shares": p5_shares, "p5_groups": p5_groups, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p7_places": p7_places, "p7_redacted": p7_redacted, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_sentences": p10_sentences}
+    "p1_found": p1_found, "p1_evidence": p1_evidence, "p3_found": p3_found, "p3_faults": p3_faults, "p3_rates": p3_rates, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_shares": p5_shares, "p5_groups": p5_groups, "p5_paragraphs": p5_paragraphs, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p7_places": p7_places, "p7_redacted": p7_redacted, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_sentences": p10_sentences}
 _WINDOWS = """w AS (SELECT DISTINCT b.hash, i, hash(substr(b.content, i, 240)) AS h FROM (SELECT DISTINCT hash, content FROM blobs WHERE content IS NOT NULL) b, LATERAL (SELECT unnest(range(1, length(b.content) - 238)) AS i)),
 t AS (SELECT h FROM w GROUP BY h HAVING min(hash) <> max(hash)), s AS (SELECT hash, i FROM w WHERE h IN (SELECT h FROM t))"""
 

@@ -1,9 +1,11 @@
 """Long stretches of text that stand word for word in more than one record.
 
-Every window of SPAN characters is a paragraph with its K-grams as shingles. One MinHash row in one band is the tuning
-for full recall here: equal windows have equal smallest K-grams, so each stretch of SPAN characters that two records
-share collides, whatever stands around it (the scheme is also known as winnowing). Neighbouring windows mostly share
-their smallest K-gram; a run of them is one row, about two in (SPAN - K + 2) characters.
+Banding whole paragraphs (``paragraph_clusters``) finds paragraphs that are near-copies and clusters them for removal,
+but a stretch that lies inside unlike paragraphs never collides there. The spans themselves are therefore found by
+another method, winnowing: of each window of SPAN characters the smallest hash of its K-grams is kept; equal windows
+have equal ones, so each stretch of SPAN characters that two records share collides, whatever stands around it.
+Neighbouring windows mostly share their smallest K-gram; a run of them is one row, about two in (SPAN - K + 2)
+characters.
 
 Colliding runs are then verified exactly: first the hashes of a run's first and last window; where both also stand in
 another record, all windows between lie inside the two. Runs with an end that no other record has are resolved window
@@ -21,10 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.llm.arrays import U64, Rolling, chunks, code_points
+from strataloom.llm.near_duplicates import near_duplicates
 from strataloom.operators.components import connected_components
 from strataloom.session import written
 
 SPAN, K, MOST_RUN = 240, 90, 200
+#: Characters of the shortest paragraph that is compared.
+PARAGRAPH = 40
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -138,3 +143,21 @@ def sharing_groups(df: DataFrame, id_column: str, text: str, span: int = SPAN, k
     ids = df.where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("id")).distinct()
     named = ids.join(groups, F.xxhash64("id") == F.col("node")).select("id", "component")
     return named.join(named.groupBy("component").agg(F.min("id").alias("group")), "component").select("id", "group")
+
+
+def paragraph_clusters(df: DataFrame, id_column: str, text: str, least: int = PARAGRAPH, overlap: float = 0.8) -> DataFrame:
+    """(id, paragraph_no, cluster, removed): paragraphs of ``least`` characters or more that near-copies exist of.
+
+    Paragraphs are parted by blank lines and counted from 0. They are banded by MinHash, compared exactly on their
+    words and clustered by connected components; all of a cluster but the first (by id and number) are to be removed.
+    Null texts and rows without id have none; repeated rows count once.
+    """
+    known = df.where(F.col(id_column).isNotNull() & F.col(text).isNotNull()).select(F.col(id_column).cast("string").alias("i"), F.posexplode(F.split(text, r"\r?\n[^\S\n]*\r?\n")).alias("n", "t"))
+    parts = known.where(F.length("t") >= least).select(F.concat_ws("\x1f", F.lpad(F.col("n").cast("string"), 10, "0"), "i").alias("id"), "t")
+    members, pairs = near_duplicates(parts, "id", ["t"], overlap)
+    linked = connected_components(pairs).withColumnRenamed("node", "rep")
+    named = members.join(linked, "rep", "left").withColumn("cluster", F.coalesce("component", "rep"))
+    order = F.struct(F.substring("id", 12, 1 << 30).alias("i"), F.substring("id", 1, 10).cast("int").alias("n"))
+    placed = named.select("cluster", order.alias("o")).distinct()
+    first = placed.groupBy("cluster").agg(F.min("o").alias("kept"), F.count("*").alias("copies")).where("copies > 1")
+    return placed.join(first, "cluster").select(F.col("o.i").alias("id"), F.col("o.n").alias("paragraph_no"), "cluster", (F.col("o") != F.col("kept")).alias("removed"))

@@ -131,6 +131,17 @@ def test_sharing_groups(spark):
     assert {(x.id, x.group) for x in shared_spans.sharing_groups(df, "id", "t").collect()} == {("a", "a"), ("b", "a"), ("c", "a")}
 
 
+def test_paragraph_clusters(spark):
+    r = random.Random(2)
+    p, q, z = " ".join(words(r, 40)), " ".join(words(r, 40)), " ".join(words(r, 40))
+    near = " ".join(edited(r, p.split(), 0.05))
+    df = spark.createDataFrame([("a", f"{p}\n\n{z}"), ("b", f"short\n\n{near}\n \n{q}"), ("c", f"{q}\n\n{p}"), ("c", f"{q}\n\n{p}"), ("n", None), (None, p), ("e", "")], "id string, t string")
+    found = shared_spans.paragraph_clusters(df, "id", "t").collect()
+    assert sorted((x.id, x.paragraph_no, x.removed) for x in found) == [("a", 0, False), ("b", 1, True), ("b", 2, False), ("c", 0, True), ("c", 1, True)]
+    assert len({x.cluster for x in found}) == 2
+    assert shared_spans.paragraph_clusters(df.limit(0), "id", "t").isEmpty()
+
+
 def test_leakage(spark):
     r = random.Random(4)
     q = words(r, 40)
