@@ -8,7 +8,7 @@ The wanted overlap (words shared over words of the longer record) of at least s
 element sets of at least s / (2 - s). Bands are tuned for that value: BANDS bands of ROWS rows miss a pair just at the
 threshold s = 0.8 with probability (1 - (2/3)**7)**100 = 0.0024, one of overlap 0.82 with 0.0003. GROUP bands at a time
 are shuffled and their pairs written, and their shuffle files go before the next ones, so that disk does not grow with
-the number of bands; texts are cut into words once. Pairs that meet in a band compare one-byte signatures in batches;
+the number of bands; texts are cut into words once. Pairs that meet in a band compare four-bit signatures in batches;
 after each batch a pair is dropped when the posterior probability (uniform prior) that it reaches the threshold is below
 MISS. Survivors are verified on all their words. A band that very many bags share is cut into blocks.
 """
@@ -28,7 +28,7 @@ from strataloom.llm.arrays import U64, Rolling, chunks, code_points, lower, mix,
 from strataloom.session import written
 
 BANDS, ROWS, SIGNATURE, BATCH, MISS = 100, 7, 64, 16, 1e-4
-GROUP = 25
+GROUP = 34
 #: Elements hashed at a time, so that their hashes stay in the processor's cache.
 STRIP = 128
 PAIRS = 1 << 20
@@ -110,7 +110,8 @@ def _bag_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bags = [_bag(made[k]) for k in worded]
         first = [n for n, bag in enumerate(bags) if not (bag in seen or seen.add(bag))]
         items = packed([made[worded[n]] for n in first])
-        signatures = mix(sign(items)).astype(np.uint8)
+        halves = mix(sign(items)).astype(np.uint8) & 15
+        signatures = halves[:, ::2] | halves[:, 1::2] << 4
         kept = dict(zip(first, zip((x.tobytes() for x in signatures), items, strict=True), strict=True))
         both = [kept.get(n, (None, None)) for n in range(len(bags))]
         yield pa.RecordBatch.from_arrays(
@@ -204,9 +205,9 @@ def candidates(bags: DataFrame, jaccard: float, hot_rows: int = HOT) -> DataFram
 
 @functools.cache
 def least_matches(threshold: float) -> tuple[int, ...]:
-    """For each number of compared batches, the fewest equal bytes with which a pair stays."""
+    """For each number of compared batches, the fewest equal values with which a pair stays."""
     j = np.linspace(0, 1, 4001)[1:-1]
-    p = j + (1 - j) / 256
+    p = j + (1 - j) / 16
     out = []
     for n in range(BATCH, SIGNATURE + 1, BATCH):
         for m in range(n + 1):
@@ -221,11 +222,12 @@ def least_matches(threshold: float) -> tuple[int, ...]:
 def _pruned(batches: Iterator[pa.RecordBatch], jaccard: float) -> Iterator[pa.RecordBatch]:
     least = least_matches(jaccard)
     for batch in batches:
-        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint8).reshape(-1, SIGNATURE) for k in (2, 3))
+        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint8).reshape(-1, SIGNATURE // 2) for k in (2, 3))
         alive, equal = np.arange(len(x)), np.zeros(len(x), dtype=np.int64)
         for k, fewest in enumerate(least):
-            part = slice(k * BATCH, (k + 1) * BATCH)
-            equal[alive] += (x[alive, part] == y[alive, part]).sum(axis=1)
+            part = slice(k * BATCH // 2, (k + 1) * BATCH // 2)
+            differ = x[alive, part] ^ y[alive, part]
+            equal[alive] += ((differ & 15) == 0).sum(axis=1) + ((differ >> 4) == 0).sum(axis=1)
             alive = alive[equal[alive] >= fewest]
         yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(alive)) for k in (0, 1)], names=["a", "b"])
 
