@@ -180,3 +180,8 @@ def line_of(text: Column, at: Column) -> Column:
     """The line, from 1, of the character at a place counted from 1."""
     before = F.left(text, at - 1)
     return (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).cast("long")
+
+
+def repository(address: Column, part: int) -> Column:
+    """Owner (1) or name (2) of a repository's address."""
+    return F.regexp_extract(address, r"[/:]([^/:]+)/([^/]+?)(?:\.git)?/?$", part)

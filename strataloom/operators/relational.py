@@ -156,3 +156,10 @@ def throttled(events: DataFrame, keys: Sequence[str], at: str, every_ms: int, ev
 def without(tables: dict[str, DataFrame], dead: DataFrame, key: str) -> dict[str, DataFrame]:
     """The tables without the rows of dead keys."""
     return {name: df.join(dead.select(key).distinct(), key, "left_anti") for name, df in tables.items()}
+
+
+def numbered(df: DataFrame, keys: Sequence[str], name: str, order: Sequence[Column | str]) -> DataFrame:
+    """``stored``: the name, and from its second use on with -2, -3, ... before its extension."""
+    n = F.row_number().over(Window.partitionBy(*keys, name).orderBy(*order))
+    stem, extension = F.regexp_replace(name, r"\.[^.]*$", ""), F.regexp_extract(name, r"\.[^.]*$", 0)
+    return df.withColumn("_n", n).withColumn("stored", F.when(F.col("_n") == 1, F.col(name)).otherwise(F.concat(stem, F.lit("-"), F.col("_n").cast("string"), extension))).drop("_n")

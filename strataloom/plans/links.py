@@ -376,4 +376,113 @@ def k05_cascade(spark: SparkSession, sf: str) -> DataFrame:
     return op.stacked(parts, "table_name").where("project_id is not null").groupBy("table_name").agg(F.count("*").alias("kept"))
 
 
+# --- intake, structure, checks -------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {_FILES}, n AS (SELECT id, project_id, name, row_number() OVER (PARTITION BY project_id, name ORDER BY path, id) AS n FROM f WHERE name IS NOT NULL)
+SELECT id, CASE WHEN n = 1 THEN name WHEN contains(name, '.') THEN regexp_replace(name, '\\.[^.]*$', '') || '-' || n || regexp_extract(name, '\\.[^.]*$') ELSE name || '-' || n END AS stored FROM n""")
+def s04_stored_names(spark: SparkSession, sf: str) -> DataFrame:
+    """S-04: names of a flat upload, later ones of a name numbered from 2."""
+    return op.numbered(files(spark, sf).where("name is not null"), ["project_id"], "name", ["path", "id"]).select("id", "stored")
+
+
+@query("""SELECT id, regexp_extract(source_url, '[/:]([^/:]+)/([^/]+?)(?:\\.git)?/?$', 1) AS owner_name, regexp_extract(source_url, '[/:]([^/:]+)/([^/]+?)(?:\\.git)?/?$', 2) AS repository FROM projects WHERE source_url IS NOT NULL""")
+def s06_addresses(spark: SparkSession, sf: str) -> DataFrame:
+    """S-06: owner and repository of addresses with a scheme, of user@host:owner/name and with or without .git."""
+    p = load(spark, sf, "projects").where("source_url is not null")
+    return p.select("id", fn.repository(F.col("source_url"), 1).alias("owner_name"), fn.repository(F.col("source_url"), 2).alias("repository"))
+
+
+@query(f"WITH {_FILES} SELECT id, EXISTS (SELECT 1 FROM blobs b WHERE b.hash = f.hash) AS known FROM f WHERE hash IS NOT NULL")
+def s10_known_contents(spark: SparkSession, sf: str) -> DataFrame:
+    """S-10: whether a file's content is stored, by key only."""
+    keys = load(spark, sf, "blobs").select("hash").distinct().withColumn("known", F.lit(True))
+    return files(spark, sf).where("hash is not null").join(keys, "hash", "left").select("id", F.coalesce("known", F.lit(False)).alias("known"))
+
+
+@query(f"""WITH {_FILES}, r AS (SELECT project_id, count(DISTINCT string_split(path, '/')[1]) AS roots FROM f WHERE path IS NOT NULL GROUP BY ALL) SELECT f.id, CASE WHEN r.roots = 1 AND contains(f.path, '/') THEN regexp_replace(f.path, '^[^/]*/', '') ELSE f.path END AS path, NOT regexp_matches(f.path, '(^/|(^|/)\\.\\.(/|$)|^[A-Za-z]:)') AS safe FROM f JOIN r ON r.project_id = f.project_id WHERE f.path IS NOT NULL""")
+def x12_upload_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """X-12: paths without the one directory that a whole upload shares, and whether they stay inside it."""
+    f = files(spark, sf).where("path is not null")
+    roots = f.groupBy("project_id").agg(F.count_distinct(F.split("path", "/")[0]).alias("roots"))
+    shared = (F.col("roots") == 1) & F.contains("path", F.lit("/"))
+    return f.join(roots, "project_id").select("id", F.when(shared, F.regexp_replace("path", "^[^/]*/", "")).otherwise(F.col("path")).alias("path"), (~F.col("path").rlike(r"(^/|(^|/)\.\.(/|$)|^[A-Za-z]:)")).alias("safe"))
+
+
+@query("""SELECT hash, contains(content, chr(0)) OR contains(content, chr(65533)) AS looks_binary, CAST(octet_length(encode(content)) AS BIGINT) AS bytes, octet_length(encode(content)) > 6000 AS large, contains(content, chr(13)) AS carriage_returns FROM blobs""")
+def e19_content_flags(spark: SparkSession, sf: str) -> DataFrame:
+    """E-19: size in bytes, size flag, signs of binary content and of other line ends."""
+    c = F.col("content")
+    return load(spark, sf, "blobs").select("hash", (F.contains(c, F.lit("\0")) | F.contains(c, F.lit("\ufffd"))).alias("looks_binary"), F.octet_length(c).cast("long").alias("bytes"), (F.octet_length(c) > 6000).alias("large"), F.contains(c, F.lit("\r")).alias("carriage_returns"))
+
+
+@query(f"""WITH {_FILES}, c AS (SELECT project_id, count_if(classification = 'source') AS sources, count_if(is_test) AS tests, bool_or(regexp_matches(lower(coalesce(name, '')), '^readme')) AS readme, count_if(lines > 1000) AS large, count_if(duplicate_of <> '' AND classification = 'source') AS copies FROM f GROUP BY project_id)
+SELECT project_id, unnest(list_filter([CASE WHEN sources >= 5 AND tests = 0 THEN 'no tests' END, CASE WHEN sources >= 10 AND tests > 0 AND tests < 0.1 * sources THEN 'few tests' END, CASE WHEN NOT readme THEN 'no readme' END, CASE WHEN large > 0 THEN 'large files' END, CASE WHEN copies > 0 THEN 'copied sources' END], lambda x: x IS NOT NULL)) AS finding FROM c""")
+def r02_structure(spark: SparkSession, sf: str) -> DataFrame:
+    """R-02, in part: what a project's files as a whole lack or have too much of."""
+    c = files(spark, sf).groupBy("project_id").agg(
+        F.count_if(F.col("classification") == "source").alias("sources"), F.count_if(F.col("is_test")).alias("tests"), F.coalesce(F.bool_or(F.lower(F.coalesce("name", F.lit(""))).rlike("^readme")), F.lit(False)).alias("readme"),
+        F.count_if(F.col("lines") > 1000).alias("large"), F.count_if((F.col("duplicate_of") != "") & (F.col("classification") == "source")).alias("copies"),
+    )
+    checks = {"no tests": "sources >= 5 and tests = 0", "few tests": "sources >= 10 and tests > 0 and tests < 0.1 * sources", "no readme": "not readme", "large files": "large > 0", "copied sources": "copies > 0"}
+    return c.select("project_id", F.explode(F.array_compact(F.array(*[F.when(F.expr(e), F.lit(n)) for n, e in checks.items()]))).alias("finding"))
+
+
+@query(f"""WITH {_LIVE}, c AS (SELECT project_id, CAST(count_if(severity = 'Critical') AS BIGINT) AS critical, CAST(count_if(severity = 'High') AS BIGINT) AS high, CAST(count_if(severity = 'Medium') AS BIGINT) AS medium, CAST(count(*) AS BIGINT) AS total FROM live GROUP BY project_id) SELECT *, CASE WHEN critical > 0 THEN 'critical' WHEN high > 2 THEN 'high' WHEN high > 0 OR medium > 4 THEN 'medium' ELSE 'low' END AS rating FROM c""")
+def a17_rating(spark: SparkSession, sf: str) -> DataFrame:
+    """A-17: findings of a project by severity, and a label from the counts."""
+    c = live(spark, sf).groupBy("project_id").agg(*[F.count_if(F.col("severity") == s).alias(s.lower()) for s in ("Critical", "High", "Medium")], F.count("*").alias("total"))
+    return c.withColumn("rating", F.when(F.col("critical") > 0, "critical").when(F.col("high") > 2, "high").when((F.col("high") > 0) | (F.col("medium") > 4), "medium").otherwise("low"))
+
+
+@query("""WITH l AS (SELECT user_id, max(ts) AS last_seen FROM events GROUP BY user_id), n AS (SELECT max(ts) AS now FROM events) SELECT user_id, last_seen FROM l, n WHERE last_seen < now - INTERVAL 6 HOUR""")
+def st08_idle(spark: SparkSession, sf: str) -> DataFrame:
+    """ST-08: users without an event in the last six hours of the stream."""
+    e = load(spark, sf, "events")
+    now = e.agg(F.max("ts").alias("now"))
+    last = e.groupBy("user_id").agg(F.max("ts").alias("last_seen"))
+    return last.crossJoin(F.broadcast(now)).where(F.col("last_seen") < F.col("now") - F.expr("interval 6 hours")).select("user_id", "last_seen")  # one row
+
+
+@query(f"""WITH {_FILES} SELECT id, round(least(1.0, coalesce(importance, 0) + CASE WHEN len(exports) > 0 THEN 0.05 ELSE 0 END + CASE WHEN role IN ('api', 'service', 'data') THEN 0.1 ELSE 0 END + CASE WHEN regexp_matches(name, '^(main|index|app|server)\\.') THEN 0.3 ELSE 0 END), 6) AS importance FROM f""")
+def g02_blended_importance(spark: SparkSession, sf: str) -> DataFrame:
+    """G-02: importance with what exports, roles and entry points add, 1 at most."""
+    plus = lambda c, x: F.when(c, x).otherwise(0.0)
+    total = F.coalesce("importance", F.lit(0.0)) + plus(F.size("exports") > 0, 0.05) + plus(F.col("role").isin("api", "service", "data"), 0.1) + plus(F.col("name").rlike(r"^(main|index|app|server)\."), 0.3)
+    return files(spark, sf).select("id", F.round(F.least(F.lit(1.0), total), 6).alias("importance"))
+
+
+@query(f"""WITH {_FILES} SELECT project_id, module, arg_min(path, struct_pack(a := CASE role WHEN 'api' THEN 0 WHEN 'service' THEN 1 WHEN 'ui' THEN 2 ELSE 3 END, b := path)) AS path FROM f WHERE module IS NOT NULL AND path IS NOT NULL GROUP BY ALL""")
+def u03_most_specific(spark: SparkSession, sf: str) -> DataFrame:
+    """U-03: one entry per project and module, of the most specific role, then of the first path."""
+    rank = F.when(F.col("role") == "api", 0).when(F.col("role") == "service", 1).when(F.col("role") == "ui", 2).otherwise(3)
+    return files(spark, sf).where("module is not null and path is not null").groupBy("project_id", "module").agg(F.min_by("path", F.struct(rank, "path")).alias("path"))
+
+
+@query(f"""WITH {_FILES}, {_W}, r AS (SELECT a.area AS area, a.role FROM (SELECT area, role, count(*) AS n FROM f WHERE area IS NOT NULL AND role IS NOT NULL GROUP BY ALL) a QUALIFY row_number() OVER (PARTITION BY area ORDER BY n DESC, role) = 1), e AS (SELECT f.role AS src, string_split(i, '/')[1] AS area FROM (SELECT role, unnest(imports) AS i FROM f WHERE role IS NOT NULL) f)
+SELECT e.src AS from_lane, r.role AS to_lane, CAST(count(*) AS BIGINT) AS weight FROM e JOIN r USING (area) GROUP BY ALL""")
+def b19_lane_links(spark: SparkSession, sf: str) -> DataFrame:
+    """B-19: how often files of one role import areas of another."""
+    f = files(spark, sf)
+    lanes = op.mode_by(f.where("area is not null and role is not null"), ["area"], "role").select("area", F.col("role").alias("to_lane"))
+    used = f.where("role is not null").select(F.col("role").alias("from_lane"), F.explode("imports").alias("i")).select("from_lane", F.split("i", "/")[0].alias("area"))
+    return used.join(lanes, "area").groupBy("from_lane", "to_lane").agg(F.count("*").alias("weight"))
+
+
+@query("""WITH e AS (SELECT user_id, event_id, epoch_us(ts) AS at_us, value, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) SELECT user_id, CAST(count_if(value < 0) AS BIGINT) AS negative, CAST(count_if(at_us < before) AS BIGINT) AS backwards, CAST(count_if(at_us = before) AS BIGINT) AS repeated, CAST(max(at_us - before) AS BIGINT) AS longest_gap FROM e GROUP BY user_id""")
+def b31_timeline_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """B-14, B-31: what breaks a timeline's order, by user."""
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    e = load(spark, sf, "events").withColumn("at_us", at).withColumn("before", F.lag(at).over(Window.partitionBy("user_id").orderBy("event_id")))
+    return e.groupBy("user_id").agg(F.count_if(F.col("value") < 0).alias("negative"), F.count_if(F.col("at_us") < F.col("before")).alias("backwards"), F.count_if(F.col("at_us") == F.col("before")).alias("repeated"), F.max(F.col("at_us") - F.col("before")).alias("longest_gap"))
+
+
+@query(f"""WITH {_FILES}, {_W} SELECT DISTINCT regexp_replace(src, '[^A-Za-z0-9_]', '_', 'g') || '["' || src || '"] --> ' || regexp_replace(dst, '[^A-Za-z0-9_]', '_', 'g') || '["' || dst || '"]' AS line FROM weighted WHERE src IS NOT NULL AND dst IS NOT NULL""")
+def k11_diagram(spark: SparkSession, sf: str) -> DataFrame:
+    """K-11, in part: a diagram's lines, one per link."""
+    node = lambda c: F.concat(fn.node_id(F.col(c)), F.lit('["'), F.col(c), F.lit('"]'))
+    return weighted(spark, sf).where("src is not null and dst is not null").select(F.concat_ws(" --> ", node("src"), node("dst")).alias("line")).distinct()
+
+
+
 QUERIES, ORACLES = query.queries, query.oracles
