@@ -336,15 +336,13 @@ def u04_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return f.join(first, ["project_id", "hash"]).select("id", F.nullif("low", F.col("path")).alias("first_path"))
 
 
-@query("""WITH v AS (SELECT id, max(version) AS version FROM explanations GROUP BY id), c AS (SELECT DISTINCT e.id, e.spec_hash FROM explanations e JOIN v USING (id, version)), p AS (SELECT DISTINCT e.id, e.spec_hash FROM explanations e JOIN v ON v.id = e.id AND e.version = v.version - 1),
-o AS (SELECT id, min(spec_hash) AS h FROM explanations WHERE version = 1 GROUP BY id), n AS (SELECT id, max_by(spec_hash, version) AS h FROM explanations WHERE created_at % 10 <> 3 GROUP BY id)
-SELECT coalesce(n.id, o.id) AS id, CASE WHEN o.id IS NULL THEN 'added' WHEN n.id IS NULL THEN 'removed' WHEN n.h IS NOT DISTINCT FROM o.h THEN 'unchanged' ELSE 'changed' END AS change FROM n FULL JOIN o ON n.id = o.id""")
+@query(f"""WITH {_FILES}, c AS (SELECT project_id || '/' || path AS key, max(hash) AS h FROM f WHERE NOT coalesce(is_excluded, FALSE) GROUP BY ALL), p AS (SELECT project_id || '/' || path AS key, min(hash) AS h FROM f GROUP BY ALL)
+SELECT coalesce(c.key, p.key) AS key, CASE WHEN p.key IS NULL THEN 'added' WHEN c.key IS NULL THEN 'removed' WHEN c.h IS NOT DISTINCT FROM p.h THEN 'unchanged' ELSE 'changed' END AS change FROM (SELECT * FROM c WHERE key IS NOT NULL) c FULL JOIN (SELECT * FROM p WHERE key IS NOT NULL) p ON c.key = p.key""")
 def u05_diff(spark: SparkSession, sf: str) -> DataFrame:
-    """U-05: what was added, removed or changed between two states of a table."""
-    e = load(spark, sf, "explanations")
-    old = e.where("version = 1").groupBy("id").agg(F.min("spec_hash").alias("h"))
-    new = e.where("created_at % 10 <> 3").groupBy("id").agg(F.max_by("spec_hash", "version").alias("h"))
-    return op.diff(new, old, "id", "h")
+    """U-05: what was added, removed or changed between two states: files that are not excluded, against all files."""
+    f = files(spark, sf).where("project_id is not null and path is not null").select(F.concat_ws("/", "project_id", "path").alias("key"), "hash", F.coalesce("is_excluded", F.lit(False)).alias("out"))
+    new = f.where("not out").groupBy("key").agg(F.max("hash").alias("h"))
+    return op.diff(new, f.groupBy("key").agg(F.min("hash").alias("h")), "key", "h")
 
 
 @query("SELECT id, max_by(spec, struct_pack(a := version, b := updated_at)) AS spec, CAST(max(version) AS BIGINT) AS version FROM explanations GROUP BY id")

@@ -41,7 +41,7 @@ def test_against_sql(spark, db, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, name):
-    assert QUERIES[name](spark, SF).count() >= 0
+    assert not QUERIES[name](spark, SF).isEmpty()
 
 
 def test_entry(spark):
